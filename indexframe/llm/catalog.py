@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import chat, fingerprint, mixing, sharding
 from .common import ship
 
 
@@ -19,7 +19,7 @@ def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [sharding.op5_sharding, mixing.op9_mixing]
+    own = [fingerprint.op2_fingerprint, sharding.op5_sharding, chat.op8_chat, mixing.op9_mixing]
     return {q.__name__: _shipping(q) for q in own}
 
 
