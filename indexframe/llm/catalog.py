@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, fingerprint, mixing, sharding, simhash
+from . import ann, chat, fingerprint, mixing, quality, sharding, simhash
 from .common import ship
 
 
@@ -19,7 +19,7 @@ def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [fingerprint.op2_fingerprint, simhash.op3_simhash, sharding.op5_sharding, ann.op7_ann, chat.op8_chat, mixing.op9_mixing]
+    own = [fingerprint.op2_fingerprint, simhash.op3_simhash, quality.op4_quality, sharding.op5_sharding, ann.op7_ann, chat.op8_chat, mixing.op9_mixing]
     return {q.__name__: _shipping(q) for q in own}
 
 

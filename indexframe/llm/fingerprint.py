@@ -22,56 +22,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import no_null_text, shuffle_width, table
+from .wordhash import SLICE, SPACE, Prefix, bounds, mix
 
 STRONG, SKETCH = 16, 128
 HEX = 2 * (8 * STRONG + 2 * SKETCH)
-#: Bytes that are hashed at once; a longer paragraph is cut at multiples of it.
-SLICE = 1 << 18
 #: Words over this many bytes count as several words.
 LONG_WORD = 48
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    if not _tables:
-        inverse = pow(_BASE, -1, 1 << 64)
-        for name, base in (("up", _BASE), ("down", inverse)):
-            p = np.full(SLICE + 1, base, np.uint64)
-            p[0] = 1
-            _tables[name] = np.multiply.accumulate(p)
-    return _tables["up"], _tables["down"]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    h = h ^ (h >> np.uint64(29))
-    return h * np.uint64(0x94D049BB133111EB)
-
-
 def _word_pairs(data: bytes) -> np.ndarray:
     """Hashes of the distinct pairs of a word and the word before it, of each paragraph.  ``data``: at most SLICE bytes."""
     buf = np.frombuffer(data, np.uint8)
-    gap = np.concatenate(([True], _SPACE[buf], [True]))
-    edge = np.flatnonzero(gap[1:] != gap[:-1])
-    start, end = edge[::2], edge[1::2]
+    start, end = bounds(SPACE[buf])
     if not len(start):
         return np.empty(0, np.uint64)
     if (end - start).max() > LONG_WORD:
         cuts = [np.arange(s, e, LONG_WORD) for s, e in zip(start, end, strict=True)]
         ends = [np.minimum(c + LONG_WORD, e) for c, e in zip(cuts, end, strict=True)]
         start, end = np.concatenate(cuts), np.concatenate(ends)
-    up, down = _powers()
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], dtype=np.uint64)))
-    words = _mix((sums[end] - sums[start]) * down[start])
+    words = Prefix(buf).hash(start, end)
     before = np.concatenate((np.zeros(1, np.uint64), words[:-1]))
     line = np.searchsorted(np.flatnonzero(buf == 10), start)
     before[np.concatenate(([True], line[1:] != line[:-1]))] = 0
-    pairs = _mix(words + before * np.uint64(3))
+    pairs = mix(words + before * np.uint64(3))
     if line[-1] == line[0]:
         return np.unique(pairs)
     order = np.lexsort((pairs, line))
@@ -80,7 +52,7 @@ def _word_pairs(data: bytes) -> np.ndarray:
 
 
 def _slices(data: bytes, lines: list[bytes]) -> Iterator[bytes]:
-    if len(data) <= SLICE:
+    if len(data) <= SLICE:  # a longer paragraph is cut at multiples of it
         yield data
         return
     held: list[bytes] = []
