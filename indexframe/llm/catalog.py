@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bytebpe, chat, fingerprint, mixing, quality, sharding, simhash, toxicity
+from . import ann, bytebpe, chat, fingerprint, mixing, quality, sharding, simhash, tokenfile, toxicity
 from .common import ship
 
 
@@ -19,7 +19,7 @@ def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [toxicity.op1_toxicity, fingerprint.op2_fingerprint, simhash.op3_simhash, quality.op4_quality, sharding.op5_sharding, ann.op7_ann, chat.op8_chat, mixing.op9_mixing, bytebpe.op10_bpe]
+    own = [toxicity.op1_toxicity, fingerprint.op2_fingerprint, simhash.op3_simhash, quality.op4_quality, sharding.op5_sharding, tokenfile.op6_token_file, ann.op7_ann, chat.op8_chat, mixing.op9_mixing, bytebpe.op10_bpe]
     return {q.__name__: _shipping(q) for q in own}
 
 
