@@ -51,20 +51,31 @@ class Params:
     ``cache``: words that a worker keeps with their ids."""
 
     block: int = 1 << 20
-    lanes: int = 2048
-    every: int = 128
-    cache: int = 400_000
+    lanes: int = 4096
+    every: int = 64
+    cache: int = 600_000
 
 
 # --- tokenizing -------------------------------------------------------------------------------
 
 
+class _Numbers(dict):
+    """Numbers keys as they are first looked up."""
+
+    def __missing__(self, key: bytes) -> int:
+        number = self[key] = len(self)
+        return number
+
+
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
 class WordTokenizer:
     """The library's ids of whole texts, found by encoding each distinct word once.
 
     The vocabulary drops white space and no match of its pattern spans it, so a text's ids are those of its words in
-    turn.  ASCII words are lower-cased, as the vocabulary's normalizer does, and lose a full stop or comma after
-    a letter, which is a match of its own.  Words are encoded together, parted by a control character.
+    turn.  Words of Latin-1 letters are lower-cased, as the vocabulary's normalizer does, and punctuation after a letter
+    is a match of its own.  Words are encoded together, parted by a control character.
     """
 
     PART = "\x01"
@@ -78,65 +89,74 @@ class WordTokenizer:
         if len(ids) != 1:
             raise ValueError("the parting character must be one token")
         self.part = ids[0]
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.leads = sorted({s[:1] for s in self.special})
+        self.known: dict[bytes, bytes] = {}  # words with their 16-bit ids
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, tuple[int, ...]]:
+    def _learn(self, words: list[bytes], risky: bool) -> dict[bytes, bytes]:
         found, plain = {}, []
         for w in words:
-            if b"\x01" in w or b"<" in w and any(s in w for s in self.special):
-                found[w] = tuple(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)
+            if b"\x01" in w or risky and self._special(w):
+                found[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes()
             else:
                 plain.append(w)
-        joint = f" {self.PART} "
+        joint = b" \x01 "
         groups = [plain[i : i + 400] for i in range(0, len(plain), 400)]
         for at in range(0, len(groups), 64):
-            texts = [joint.join([w.decode() for w in g]) for g in groups[at : at + 64]]
-            for g, e in zip(groups[at : at + 64], self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                ids, now, k = e.ids, 0, 0
-                for w in g[:-1]:
-                    k = ids.index(self.part, now)
-                    found[w] = tuple(ids[now:k])
-                    now = k + 1
-                found[g[-1]] = tuple(ids[now:])
+            some = groups[at : at + 64]
+            for g, e in zip(some, self.tokenizer.encode_batch_fast([joint.join(g).decode() for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u2")
+                cuts = np.flatnonzero(ids == self.part)
+                raw, starts, ends = ids.tobytes(), [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), 2 * len(ids)]
+                found.update(zip(g, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
         return found
 
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, ...]:
+    def _special(self, word: bytes) -> bool:
+        return any(x in word for x in self.leads) and any(s in word.lower() for s in self.special)
+
+    def _parts(self, word: bytes, risky: bool) -> tuple[bytes, bytes]:
+        """A word as it is encoded, and the punctuation that ends it; one that may hold a special token stays as it is."""
+        if risky and self._special(word):
+            return word, b""
         if word.isascii():
             word = word.lower()
-            if len(word) > 1 and word[-1:] in (b".", b",") and word[-2:-1].isalpha():
-                return word[:-1], word[-1:]
-        return (word,)
+        else:
+            text = word.decode()
+            if max(text) > "\xff":
+                return word, b""
+            word = text.lower().encode()
+        base = word.rstrip(_PUNCTUATION)
+        if len(base) < len(word) and base[-1:].isalpha():
+            return base, word[len(base) :]
+        return word, b""
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        number: dict[bytes, int] = {}
-        codes = [np.array([number.setdefault(w, len(number)) for w in t.split()], np.int32) for t in texts]
-        parts = [self._parts(w) for w in number]
-        new = {p for x in parts for p in x if p not in self.known}
-        fresh = self._learn(sorted(new))
-        get = lambda p: self.known.get(p) or fresh.get(p, ())
-        flat: list[int] = []
-        ends = [0]
-        for x in parts:
-            for p in x:
-                flat.extend(get(p))
-            ends.append(len(flat))
-        ids, start = np.array(flat, np.uint16), np.array(ends[:-1], np.int64)
-        size = np.diff(ends)
+        numbers = _Numbers()
+        number = numbers.__getitem__
+        codes = [np.array(list(map(number, t.split())), np.int32) for t in texts]
+        risky = any(s in t for t in map(bytes.lower, texts) for s in self.special)
+        parts = [self._parts(w, risky) for w in numbers]
+        known = self.known
+        fresh = self._learn(list({p for x in parts for p in x if p and p not in known}), risky)
+        get = lambda p: known.get(p) or fresh[p]
+        raw = [get(a) + get(b) if b else get(a) for a, b in parts]
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
+        ids = np.frombuffer(b"".join(raw), "<u2")
+        start = np.cumsum(size) - size
+        del numbers, parts, raw
         for c in codes:
             n = size[c]
             total = int(n.sum())
             yield ids[np.repeat(start[c] - (np.cumsum(n) - n), n) + np.arange(total)] if total else np.empty(0, np.uint16)
-        room = self.cache - len(self.known)
+        room = self.cache - len(known)
         if room > 0:
-            self.known.update((w, x) for w, x in list(fresh.items())[:room] if x)
+            known.update((w, x) for w, x in list(fresh.items())[:room] if x)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
 _TOKENS = "doc_id long, n int, ids binary, counts array<long>"
-_TEXTS = 12_000_000  # bytes of text that share a dictionary
+_TEXTS = 16_000_000  # bytes of text that share a dictionary
 
 
 def tokenized(docs: DataFrame, path: str, p: Params) -> DataFrame:
