@@ -116,25 +116,32 @@ def pivotal_winners(items: DataFrame, seed: int) -> DataFrame:
     raise AssertionError
 
 
+def _nth(key: str, size: Column) -> Column:
+    """Numbers the rows of one key; rows that tie have the same source and size, so it doesn't matter which is which."""
+    return F.row_number().over(Window.partitionBy(key).orderBy(F.col("source").asc_nulls_last(), size))
+
+
 def mix(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, seed: int = 42) -> DataFrame:
-    """Copies of each row for the mix.  ``rows``: key (any unique columns in ``id``), source, size long.
+    """Copies of each row for the mix.  ``rows``: id long, source, size long.
 
-    Returns id, source, size, source_size long, target double, copies int.  A row of size 0, or of a
-    source that has no words at all, gets as many copies as its source's ratio says (none if the source is
-    empty).  Repeated ids are told apart by the caller.
+    Returns id, nth (1, 2 ... among rows of one id, null ids included), source, size, source_size long, target double,
+    copies int.  A row of size 0 gets as many copies as its source's ratio says; a source without words has none.
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("size"))
     targets = water_fill(sizes, weights, cap).select(F.col("source").alias("__s"), F.col("size").alias("source_size"), "target")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     near = F.when(F.abs(ratio - F.round(ratio)) < _EPS, F.round(ratio)).otherwise(ratio)
-    with_ratio = rows.join(targets, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("__r", near)
+    numbered = rows.withColumn("nth", _nth("id", F.col("size")))
+    # Further rows of an id are told apart by a hash.
+    numbered = numbered.withColumn("__uid", F.when((F.col("nth") == 1) & F.col("id").isNotNull(), F.col("id")).otherwise(F.xxhash64("id", "nth", F.lit(seed))))
+    with_ratio = numbered.join(targets, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("__r", near)
     with_ratio = checkpoint(with_ratio.withColumn("__whole", F.floor("__r").cast("int")).withColumn("__p", F.col("__r") - F.floor("__r")))
-    fractional = with_ratio.where(F.col("__p") > _EPS).select("id", "source", "size", F.col("__p").alias("p"))
-    won = pivotal_winners(fractional, seed).withColumn("__won", F.lit(1))
+    fractional = with_ratio.where(F.col("__p") > _EPS).select(F.col("__uid").alias("id"), "source", "size", F.col("__p").alias("p"))
+    won = pivotal_winners(fractional, seed).select(F.col("id").alias("__w")).distinct()
     return (
-        with_ratio.join(won, "id", "left")
-        .withColumn("copies", F.col("__whole") + F.coalesce("__won", F.lit(0)))
-        .select("id", "source", "size", "source_size", "target", "copies")
+        with_ratio.join(won, F.col("__uid") == F.col("__w"), "left")
+        .withColumn("copies", F.col("__whole") + F.col("__w").isNotNull().cast("int"))
+        .select("id", "nth", "source", "size", "source_size", "target", "copies")
     )
 
 
@@ -147,7 +154,7 @@ def word_count(text: Column | str) -> Column:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with the words that the mix takes of each; doc_id is unique in ``documents``."""
+    """All documents with the words that the mix takes of each; a null text has none."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", word_count("text").alias("size"))
     return mix(docs).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source"
@@ -157,5 +164,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it (0 to 3 times)."""
     sized = docs.select(F.col("doc_id").alias("id"), "source", word_count("text").alias("size"))
-    copies = mix(sized).where("copies > 0").select(F.col("id").alias("doc_id"), "copies")
-    return docs.join(copies, "doc_id").withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    copies = mix(sized).where("copies > 0").select(F.col("id").alias("__id"), F.col("nth").alias("__nth"), F.col("copies").alias("__copies"))
+    on = F.col("doc_id") == F.col("__id")
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").head(1):
+        docs_, on = docs.withColumn("__n", _nth("doc_id", word_count("text"))), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__nth"))
+    else:
+        docs_ = docs
+    return docs_.join(copies, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
