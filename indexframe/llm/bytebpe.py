@@ -1,14 +1,14 @@
 """Byte-level BPE by Spark higher-order functions over the distinct words of a block of documents.
 
-Documents are taken in blocks of some megabytes of text, with no shuffle.  Their words (matches of the
-pattern) are made distinct per block, and every distinct word is folded in the JVM: its byte array becomes the array of
-its bytes' tokens, and each step of ``aggregate`` merges the leftmost pair of least rank, which a
+Documents are taken in blocks of some megabytes of text, with no shuffle, and written in terms of the distinct words of
+their block (matches of the pattern).  Every distinct word is folded in the JVM: its byte array becomes the array of
+its neighbouring pairs, and each step of ``aggregate`` merges the leftmost pair of least rank, which a
 literal rank map gives.  Pieces are named by their ranks, which are the token ids, so the map goes from
-(left rank, right rank) to the rank of the two concatenated; it is a literal perfect hash table, two arrays
+(left rank, right rank) to the rank of the two concatenated; it is a literal perfect hash table, arrays
 that are constants of the plan.  Decoding concatenates the binary pieces of the ids, which another literal has.
 
-The words that most blocks share are folded once: the ``head`` most widespread words, a fixed number, form a
-broadcast dictionary; all others are folded in their block.
+Common words are folded once: a broadcast dictionary of at most ``head`` words that a sample of documents
+shares.  It is a cache: all other words are folded in their block, to the same ids.
 """
 
 from __future__ import annotations
@@ -26,23 +26,27 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, no_null_text, shuffle_width, table
+from .common import checkpoint, no_null_text, shuffle_width, table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-_NONE = 2147483647
+_NONE = 1 << 20
+_EDGE = 65535  # the token beside a word
 
 
 @dataclass(frozen=True)
 class Params:
-    """``block``: characters of a block of documents, about.  ``head``: words of the shared dictionary.
-    ``fold``: bytes of the longest word that is folded as an array; longer ones are merged with a heap, to the same ids."""
+    """``block``: characters of a block of documents, about.  ``head``: words of the shared dictionary, at most, and
+    ``sample``: documents that suggest them, about.  ``fold``: bytes of the longest word that is folded as an array;
+    longer ones are merged with a heap, to the same ids."""
 
-    block: int = 32_000_000
-    head: int = 200_000
+    block: int = 10_000_000
+    head: int = 120_000
+    sample: int = 16_384
     fold: int = 256
 
 
@@ -53,10 +57,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 @dataclass(frozen=True)
 class Tables:
-    """Literals of a vocabulary: tokens of single bytes, hex of each token, and the pair table."""
+    """Literals of a vocabulary.  A pair is rank * 2**32 + left * 2**16 + right, of rank ``_NONE`` if it doesn't merge."""
 
-    first: list[int]
-    pieces: list[str]
+    byte_pairs: list[int]  # of all two bytes, by left * 257 + right; 256 is the edge of a word
+    pieces: list[str]  # hex
     displacement: list[int]
     cells: list[int]  # pair * 2**16 + rank, or -1
 
@@ -67,7 +71,7 @@ _GROUPS, _MODULUS = 65521, 16777213
 @lru_cache(2)
 def tables(path: str) -> Tables:
     ranks = load_ranks(path)
-    if max(ranks.values()) >= 1 << 16:
+    if max(ranks.values()) >= _EDGE:
         raise ValueError("ranks must fit 16 bits")
     pairs = {}
     for token, rank in ranks.items():
@@ -93,7 +97,9 @@ def tables(path: str) -> Tables:
     pieces = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token.hex()
-    return Tables([ranks[bytes([b])] for b in range(256)], pieces, displacement, cells)
+    first = [*(ranks[bytes([b])] for b in range(256)), _EDGE]
+    byte_pairs = [pairs.get(a << 16 | b, _NONE) << 32 | a << 16 | b for a in first for b in first]
+    return Tables(byte_pairs, pieces, displacement, cells)
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -107,43 +113,39 @@ def _let(value: Column, body) -> Column:
 
 
 def fold_words(words: Column, t: Tables) -> Column:
-    """array<array<smallint>> of the bytes of words -> array<array<int>> of their ids."""
+    """array<array<smallint>> of the bytes of words, an edge (256) before and after -> array<array<int>> of their ids."""
 
-    def all_words(first: Column, displacement: Column, cells: Column) -> Column:
-        def cell(k: Column) -> Column:
-            place = (k % F.lit(_MODULUS)).bitwiseXOR(F.get(displacement, (k % F.lit(_GROUPS)).cast("int"))).bitwiseAND(F.lit(len(t.cells) - 1))
-            return _let(F.get(cells, place.cast("int")), lambda e: F.when(F.shiftright(e, 16) == k, e.bitwiseAND(F.lit(65535)).cast("int")).otherwise(F.lit(_NONE)))
+    def all_words(byte_pairs: Column, displacement: Column, cells: Column) -> Column:
+        def pair(left: Column, right: Column) -> Column:
+            def ranked(k: Column) -> Column:
+                place = (k % F.lit(_MODULUS)).bitwiseXOR(F.get(displacement, (k % F.lit(_GROUPS)).cast("int"))).bitwiseAND(F.lit(len(t.cells) - 1))
+                return _let(
+                    F.get(cells, place.cast("int")),
+                    lambda e: F.when(F.shiftright(e, 16) == k, F.shiftleft(e.bitwiseAND(F.lit(65535)), 32)).otherwise(F.lit(_NONE << 32)) + k,
+                )
 
-        def rank(left: Column, right: Column) -> Column:
-            return _let(left.cast("bigint") * 65536 + right, cell)
+            return _let(F.shiftleft(left, 16) + right, ranked)
 
-        def fold(ids: Column) -> Column:
-            pairs = F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda j: rank(F.get(ids, j), F.get(ids, j + 1)))
-            rest = F.lit(1 << 30)
+        def step(e: Column, _: Column) -> Column:
+            def merge(v: Column, j: Column) -> Column:
+                # The pairs on either side get the merged piece for the one that they share with it.
+                m = F.shiftright(v, 32)
+                left = F.shiftright(F.get(e, j - 2), 16).bitwiseAND(F.lit(65535))
+                right = F.get(e, j).bitwiseAND(F.lit(65535))
+                return F.concat(F.slice(e, F.lit(1), j - 2), F.array(pair(left, m), pair(m, right)), F.slice(e, j + 2, F.lit(1 << 30)))
 
-            def merge(s: Column, m: Column, j: Column) -> Column:
-                p, e, none = s["p"], s["e"], F.slice(s["e"], F.lit(1), F.lit(0))
-                merged = F.concat(F.slice(p, F.lit(1), j - 1), F.array(m), F.slice(p, j + 2, rest))
-                left = F.when(j > 1, F.concat(F.slice(e, F.lit(1), j - 2), F.array(rank(F.get(p, j - 2), m)))).otherwise(none)
-                right = F.when(j + 1 < F.size(p), F.concat(F.array(rank(m, F.get(p, j + 1))), F.slice(e, j + 2, rest))).otherwise(none)
-                return F.struct(merged.alias("p"), F.concat(left, right).alias("e"))
-
-            def step(s: Column, _: Column) -> Column:
-                least = F.coalesce(F.array_min(s["e"]), F.lit(_NONE))
-                return _let(least, lambda m: F.when(m == _NONE, s).otherwise(_let(F.array_position(s["e"], m).cast("int"), lambda j: merge(s, m, j))))
-
-            start = F.struct(ids.alias("p"), pairs.alias("e"))
-            return F.aggregate(F.sequence(F.lit(1), F.size(ids) - 1), start, step, lambda s: s["p"])
+            return _let(F.array_min(e), lambda v: F.when(v >= F.lit(_NONE << 32), e).otherwise(_let(F.array_position(e, v).cast("int"), lambda j: merge(v, j))))
 
         def word(w: Column) -> Column:
-            ids = F.transform(w, lambda b: F.get(first, b.cast("int")))
-            return F.when(F.size(w) < 2, ids).otherwise(_let(ids, fold))
+            pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.get(byte_pairs, F.get(w, i).cast("int") * 257 + F.get(w, i + 1)))
+            ids = lambda e: F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda x: x.bitwiseAND(F.lit(65535)).cast("int"))
+            folded = F.aggregate(F.sequence(F.lit(1), F.size(w) - 2), pairs, step, ids)
+            return F.when(F.size(w) < 3, F.slice(F.array(F.lit(0)), F.lit(1), F.lit(0))).otherwise(folded)
 
         return F.transform(words, word)
 
-    literals = F.array(_literal(t.first, "int")), F.array(_literal(t.displacement, "bigint")), F.array(_literal(t.cells, "bigint"))
-    one = lambda xs, body: F.get(F.transform(xs, body), F.lit(0))
-    return one(literals[0], lambda a: one(literals[1], lambda b: one(literals[2], lambda c: all_words(a, b, c))))
+    one = lambda values, body: F.get(F.transform(F.array(_literal(values, "bigint")), body), F.lit(0))
+    return one(t.byte_pairs, lambda a: one(t.displacement, lambda b: one(t.cells, lambda c: all_words(a, b, c))))
 
 
 def decode_words(ids: Column, t: Tables) -> Column:
@@ -207,18 +209,19 @@ class _Block:
         number = self.chunks.__getitem__
         words = text.split(" ")
         try:
-            if any(m in text for m in _MARKS):
+            if any(m in text for m in _MARKS) or len(words) > 1 and words[0][-1:].isspace():
                 raise _Irregular
-            codes = [number(_START + words[0])] if words[0] else []
-            codes += map(number, words[1:-1])
             if len(words) > 1:
-                codes.append(number(_END + words[-1]))
-            if len(words) > 1 and (words[0][-1:].isspace()):
-                raise _Irregular
+                words[-1] = _END + words[-1]
+            if words[0]:
+                words[0] = _START + words[0]
+            else:
+                del words[0]
+            codes = np.fromiter(map(number, words), np.uint32, len(words))
         except _Irregular:
-            codes = [number(_WORD + w) for w in _find(text)]
+            codes = np.array([number(_WORD + w) for w in _find(text)], np.uint32)
         self.doc_ids.append(doc_id)
-        self.codes.append(np.array(codes, np.uint32))
+        self.codes.append(codes)
         self.sizes.append(len(codes))
         self.chars += len(text)
 
@@ -228,6 +231,15 @@ class _Block:
         flat, sizes = [], []
         for key in self.chunks:
             mark = key[0]
+            if key.isalpha():  # letters only: one match
+                flat.append(number.setdefault(" " + key, len(number)))
+                sizes.append(1)
+                continue
+            if mark not in _MARKS and key[-1] in ".,;:!?" and key[:-1].isalpha():
+                flat.append(number.setdefault(" " + key[:-1], len(number)))
+                flat.append(number.setdefault(key[-1], len(number)))
+                sizes.append(2)
+                continue
             found = [key[1:]] if mark == _WORD else _find(key[1:]) if mark == _START else _find(" " + key[1:]) if mark == _END else _find(" " + key)
             sizes.append(len(found))
             for w in found:
@@ -250,18 +262,24 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[_Block]:
 
 
 def _byte_arrays(words: list[bytes]) -> pa.Array:
-    flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int16)
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, words)]), pa.int32()), pa.array(flat))
+    """The bytes of each word between two edges."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(size)
+    flat, inside = np.full(int(size.sum()), 256, np.int16), np.ones(int(size.sum()), bool)
+    inside[ends - 1] = inside[ends - size] = False
+    flat[inside] = np.frombuffer(b"".join(words), np.uint8)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat))
 
 
 def head_words(docs: DataFrame, t: Tables, p: Params) -> pa.Table:
-    """word, ids and piece of the words that stand in most blocks (two at least), ``head`` at most."""
+    """word, ids and piece of the words that stand in most blocks (two at least) of a sample of documents."""
+    one_in = max(1, docs.count() // p.sample)
+    docs = docs.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(one_in)) == 0)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, p.block):
             words = pa.array(block.words()[0], pa.string())
-            for i in range(0, len(words), 1 << 16):
-                yield pa.RecordBatch.from_arrays([words[i : i + (1 << 16)]], ["w"])
+            yield pa.RecordBatch.from_arrays([words], ["w"])
 
     counted = docs.mapInArrow(distinct, "w string").where(F.octet_length("w") <= p.fold).groupBy("w").count().where("count > 1")
     top = checkpoint(counted.orderBy(F.desc("count"), "w").limit(p.head))
@@ -299,6 +317,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, p: Params = Params()) -> Dat
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {w: i for i, w in enumerate(head.value.column("w").to_pylist())}
+        press = zstandard.ZstdCompressor(level=1).compress
         for block in _blocks(batches, p.block):
             words, flat, sizes = block.words()
             place, rest, long_at, long_ids = np.empty(len(words), np.int32), [], [], []
@@ -313,47 +332,57 @@ def encode(docs: DataFrame, path: str = VOCABULARY, p: Params = Params()) -> Dat
                     long_ids.append(merge_long(raw, shared.value))
                     raw = b""
                 rest.append(raw)
+            block.chunks, words = _Chunks(), []
             nested = _byte_arrays(rest)
             arrays = [
-                pa.array([block.doc_ids], pa.list_(pa.int64())), pa.array([block.sizes], pa.list_(pa.int32())), pa.array([np.concatenate(block.codes).tobytes()], pa.binary()),
+                pa.array([block.doc_ids], pa.list_(pa.int64())), pa.array([block.sizes], pa.list_(pa.int32())), pa.array([press(np.concatenate(block.codes).tobytes())], pa.binary()),
                 pa.array([sizes.tobytes()], pa.binary()), pa.array([place[flat].tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(nested)], pa.int32()), nested),
                 pa.array([long_at], pa.list_(pa.int32())), pa.array([long_ids], pa.list_(pa.list_(pa.int32()))),
             ]
-            del words, block
+            del rest, nested, place, flat, sizes, block
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in _PACKED.split(", ")])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_ids = [",".join(map(str, x)) for x in head.value.column("ids").to_pylist()]
+        known_ids = [",".join(map(str, x.as_py())) for x in head.value.column("ids")]
         known_pieces = head.value.column("piece").to_pylist()
         pieces = {i: x for x, i in shared.value.items()}
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+        unpress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for r in range(batch.num_rows):
                 col = lambda name: batch.column(batch.schema.get_field_index(name))[r]  # noqa: B023,E731
-                ids = [",".join(map(str, x)) for x in col("ids").as_py()]
-                decoded = col("piece").as_py()
+                own = col("ids").values
+                names, ends = list(map(str, own.flatten().to_pylist())), own.offsets.to_pylist()
+                ids = [",".join(names[a - ends[0] : b - ends[0]]) for a, b in zip(ends, ends[1:], strict=False)]
+                decoded = col("piece").values.to_pylist()
+                del names, ends
                 for at, long in zip(col("long_at").as_py(), col("long_ids").as_py(), strict=True):
                     ids[at], decoded[at] = ",".join(map(str, long)), b"".join(map(pieces.__getitem__, long))
-                place, sizes = (np.frombuffer(col(name).as_py(), np.int32) for name in ("chunk_words", "chunk_sizes"))
-                place, texts, raws, at = place.tolist(), [], [], 0
-                for n in sizes.tolist():
-                    own = place[at : at + n]
-                    texts.append(",".join([ids[k] if k >= 0 else known_ids[-1 - k] for k in own]))
-                    raws.append(b"".join([decoded[k] if k >= 0 else known_pieces[-1 - k] for k in own]))
+                place, sizes = (np.frombuffer(col(name).as_buffer(), np.int32).tolist() for name in ("chunk_words", "chunk_sizes"))
+                texts, raws, at = [], [], 0
+                for n in sizes:
+                    if n == 1:
+                        k = place[at]
+                        texts.append(ids[k] if k >= 0 else known_ids[-1 - k])
+                        raws.append(decoded[k] if k >= 0 else known_pieces[-1 - k])
+                    else:
+                        some = place[at : at + n]
+                        texts.append(",".join([ids[k] if k >= 0 else known_ids[-1 - k] for k in some]))
+                        raws.append(b"".join([decoded[k] if k >= 0 else known_pieces[-1 - k] for k in some]))
                     at += n
-                counts = np.array([x.count(",") + 1 if x else 0 for x in texts], np.int64)
-                codes, doc_sizes = np.frombuffer(col("codes").as_py(), np.uint32), col("sizes").as_py()
-                out, at = [], 0
-                for doc_id, n in zip(col("doc_ids").as_py(), doc_sizes, strict=True):
-                    own = codes[at : at + n]
-                    chosen = own.tolist()
+                del ids, decoded, place, sizes
+                codes, out, at = np.frombuffer(unpress(col("codes").as_py()), np.uint32), [], 0
+                for doc_id, n in zip(col("doc_ids").as_py(), col("sizes").as_py(), strict=True):
+                    chosen = codes[at : at + n].tolist()
                     joined = ",".join(map(texts.__getitem__, chosen))
                     raw = b"".join(map(raws.__getitem__, chosen))
-                    out.append((doc_id, int(counts[own].sum()), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
+                    out.append((doc_id, joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
                     at += n
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+                del texts, raws
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in _OUT.split(", ")])
 
-    packed = docs.mapInArrow(pack, _PACKED)
+    # Written, so that packing and digesting don't hold memory at the same time and a lost task begins at its blocks.
+    packed = written(docs.mapInArrow(pack, _PACKED), "words")
     folded = packed.withColumn("ids", fold_words(F.col("b"), t)).drop("b").withColumn("piece", decode_words(F.col("ids"), t))
     return folded.mapInArrow(digest, _OUT)
 
