@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import flow
@@ -11,7 +11,8 @@ from ..plans import keys as K
 from ..plans.query import Query
 from .registry import Tables, case, orders, rounded
 
-_N = F.count(F.lit(1)).alias("n")
+def _n() -> Column:
+    return F.count(F.lit(1)).alias("n")
 
 
 @case("SELECT * FROM region")
@@ -55,7 +56,7 @@ def find_first(t: Tables) -> DataFrame:
 @case("SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F' OR o_totalprice < 1000")
 def query_count(t: Tables) -> DataFrame:
     o = orders(t)
-    return o.query(o.key("status").is_("F")).or_(o.key("price").less_than(1000.0)).df().agg(_N)
+    return o.query(o.key("status").is_("F")).or_(o.key("price").less_than(1000.0)).df().agg(_n())
 
 
 @case("SELECT DISTINCT p_brand AS key FROM part")
@@ -88,7 +89,7 @@ def subquery_ids(t: Tables) -> DataFrame:
 @case("""SELECT CAST(floor((o_orderkey - lo) / w) AS INTEGER) AS slice, count(*) AS n FROM orders,
 (SELECT min(o_orderkey) AS lo, greatest(1, ceil((max(o_orderkey) - min(o_orderkey) + 1) / 8.0)) AS w FROM orders) GROUP BY 1""")
 def sliced_execute(t: Tables) -> DataFrame:
-    return orders(t).query().sliced(8, _N)
+    return orders(t).query().sliced(8, _n())
 
 
 @case("SELECT o_orderkey, upper(o_orderstatus) || '!' AS label FROM orders WHERE o_orderkey < 100")
@@ -150,12 +151,12 @@ def flow_reduce(t: Tables) -> DataFrame:
 
 @case("SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 2) AS mean, round(sum(o_totalprice), 0) AS total FROM orders GROUP BY 1")
 def flow_grouping(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_orderpriority").agg(_N, rounded(F.avg("o_totalprice")).alias("mean"), rounded(F.sum("o_totalprice"), 0).alias("total"))
+    return t.orders.groupBy("o_orderpriority").agg(_n(), rounded(F.avg("o_totalprice")).alias("mean"), rounded(F.sum("o_totalprice"), 0).alias("total"))
 
 
 @case("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2")
 def flow_group_composite(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_orderstatus", "o_orderpriority").agg(_N)
+    return t.orders.groupBy("o_orderstatus", "o_orderpriority").agg(_n())
 
 
 @case("SELECT p AS partition, (SELECT count(*) FROM orders WHERE (o_totalprice > 1e12) = p) AS count FROM (VALUES (TRUE), (FALSE)) v(p)")

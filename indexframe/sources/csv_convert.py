@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 # The dialect.
 SEPARATOR, TRUE, FALSE, LIST_OPEN, LIST_CLOSE, LIST_SEPARATOR = ";", "t", "f", "[", "]", ","
+NULL = "\\N"
 
 
 def _out(f: T.StructField) -> Column:
@@ -43,10 +44,10 @@ def from_strings(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Nulls are written bare and empty strings quoted."""
-    to_strings(df).write.mode("overwrite").csv(path, sep=SEPARATOR, header=True, nullValue="", emptyValue='""', escape='"')
+    """Nulls are written as a mark and empty strings quoted."""
+    to_strings(df).write.mode("overwrite").csv(path, sep=SEPARATOR, header=True, nullValue=NULL, emptyValue='""', escape='"')
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     strings = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    return from_strings(spark.read.schema(strings).csv(path, sep=SEPARATOR, header=True, nullValue="", emptyValue="", escape='"', multiLine=True), schema)
+    return from_strings(spark.read.schema(strings).csv(path, sep=SEPARATOR, header=True, nullValue=NULL, emptyValue="", escape='"', multiLine=True), schema)
