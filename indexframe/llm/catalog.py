@@ -24,4 +24,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the queries that SQL can express."""
+    return {"op5_sharding": sharding.SQL, "op8_chat": chat.sql()}

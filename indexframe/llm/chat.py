@@ -220,3 +220,25 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
     formatted = format_records(conversation_records(rows.unionByName(extra)), "record")
     return formatted.select("conv_id", "formatted", "loss_spans", "layout").mapInArrow(_digest, _DIGEST)
+
+
+def sql() -> str:
+    """The same rows in DuckDB, from the conversations themselves."""
+    special = "|".join([re.escape(ESCAPE), *(re.escape(c) for c in CONTROL)])
+    escaped = lambda c: f"(length({c}) + len(regexp_extract_all({c}, '{special}')))"
+    newlines = "(length(role) - length(replace(role, chr(10), '')))"
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""
+WITH said AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), talks AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' {order}) AS turns,
+    coalesce(string_agg(text, '' {order}) FILTER (WHERE role = 'assistant'), '') AS loss, list(role {order}) AS roles,
+    CAST(sum({len(OPEN) + len(CLOSE) + 2} + {escaped('role')} + {newlines} + {escaped('text')}) AS BIGINT) AS formatted_chars
+  FROM said GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
+  CASE WHEN roles = ['user', 'assistant'] THEN 'response' WHEN roles = ['system', 'user', 'assistant'] THEN 'system prompt' ELSE 'messages' END AS layout
+FROM talks
+"""

@@ -71,3 +71,20 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(docs, "doc_id", "size", SHARDS).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+#: The same rows in DuckDB: sums over all documents, and CRC-32 by its table of 256 remainders.
+SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab
+), sized AS (
+  SELECT doc_id, coalesce(text, '') AS body, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size FROM documents
+), placed AS (
+  SELECT doc_id, body, size, CAST((2 * (sum(size) OVER (ORDER BY doc_id) - size) + size) * 8 // (2 * sum(size) OVER ()) AS INTEGER) AS shard FROM sized
+)
+SELECT doc_id, size,
+  xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+    lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1])), 4294967295) AS text_crc32,
+  'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed, crc
+"""
