@@ -16,6 +16,12 @@ def dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
 
+def unit(a: Column) -> Column:
+    """The vector at length one, in double precision; a zero vector stays zero."""
+    length = F.sqrt(dot(a, a))
+    return F.get(F.transform(F.array(length), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))), F.lit(0))
+
+
 def similarity(a: Column, b: Column, kind: str = COSINE) -> Column:
     """Higher is more alike.  COSINE and DOT_PRODUCT are the plain measures, EUCLIDEAN is 1 / (1 + squared distance)."""
     if kind == DOT_PRODUCT:

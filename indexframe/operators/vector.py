@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import COSINE, DOT_PRODUCT, EUCLIDEAN, similarity
+from ..functions.vectors import COSINE, DOT_PRODUCT, EUCLIDEAN, dot, similarity, unit
 
 #: Parameters of graph indices; taken and without effect, as search here is exact.
 PRESETS = {"small": (8, 50), "medium": (16, 100), "large": (32, 200), "high_precision": (64, 400)}
@@ -91,7 +92,7 @@ class VectorIndex:
         Exact for ``tables == 0``: rows meet by blocks.  Else random hyperplanes deal the rows into ``tables`` times
         2**``bits`` buckets, and only rows of one bucket meet: faster, and pairs may be missed.
         """
-        rows = self.df.where(F.col(self.vector).isNotNull()).select(F.col(self.id).alias("i"), F.col(self.vector).alias("v"))
+        rows = self.df.where(F.col(self.vector).isNotNull()).select(F.col(self.id).alias("i"), unit(F.col(self.vector)).alias("v"))
         if tables:
             plane = lambda t, b: F.transform(F.sequence(F.lit(1), F.lit(self.dimension)), lambda d: F.when(F.xxhash64(F.lit(seed), F.lit(t), F.lit(b), d) % 2 == 0, 1.0).otherwise(-1.0))
             side = lambda t, b: F.when(F.aggregate(F.zip_with("v", plane(t, b), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x) >= 0, F.lit(1 << b)).otherwise(F.lit(0))
@@ -103,5 +104,43 @@ class VectorIndex:
             left = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("k", F.struct(F.pmod(F.xxhash64("i"), F.lit(n)).cast("int").alias("b"), "c")).drop("c")
             right = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("k", F.struct("b", F.pmod(F.xxhash64("i"), F.lit(n)).cast("int").alias("c"))).drop("b")
         met = left.alias("x").join(right.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.i") < F.col("y.i")))
-        found = met.select(F.col("x.i").alias("a"), F.col("y.i").alias("b"), similarity(F.col("x.v"), F.col("y.v"), COSINE).alias("score")).where(F.col("score") >= least)
+        found = met.select(F.col("x.i").alias("a"), F.col("y.i").alias("b"), dot(F.col("x.v"), F.col("y.v")).alias("score")).where(F.col("score") >= least)
         return found.dropDuplicates(["a", "b"]) if tables else found
+
+
+def vectorized(rows: DataFrame, source: str, name: str, vectorizer: Callable[[list], list[Sequence[float] | None]]) -> DataFrame:
+    """Adds vectors that a function makes of whole batches of a column's values; it may give None for some."""
+    at = rows.columns.index(source)
+    kept = rows.drop(name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array(vectorizer(batch.column(at).to_pylist()), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
+
+    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{name}` array<float>"]))
+
+
+@dataclass
+class VectorIndices:
+    """Indices by name."""
+
+    named: dict[str, VectorIndex] = field(default_factory=dict)
+
+    def add(self, name: str, index: VectorIndex) -> VectorIndex:
+        if name in self.named:
+            raise ValueError(f"there is an index {name!r}")
+        self.named[name] = index
+        return index
+
+    def ensure(self, name: str, index: VectorIndex) -> VectorIndex:
+        return self.named.setdefault(name, index)
+
+    def get(self, name: str) -> VectorIndex:
+        if name not in self.named:
+            raise KeyError(f"no index {name!r}; there are {sorted(self.named)}")
+        return self.named[name]
+
+    def remove(self, name: str) -> None:
+        self.get(name)
+        del self.named[name]

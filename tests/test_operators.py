@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from indexframe.functions.vectors import DOT_PRODUCT, EUCLIDEAN
 from indexframe.operators import flow, fulltext, retention
 from indexframe.operators.collection import Collection, ConstraintViolation, Custom, CustomChange, Unique
-from indexframe.operators.vector import VectorIndex
+from indexframe.operators.vector import VectorIndex, VectorIndices, vectorized
 from indexframe.plans import keys as K
 from indexframe.sources import csv_convert, store
 from indexframe.streaming import windows
@@ -111,6 +111,19 @@ def test_vectors(spark):
     assert pairs == {(1, 2)} and {(r.a, r.b) for r in index.near_duplicates(0.9, tables=4, bits=2).collect()} <= pairs
 
 
+def test_vectorizers_and_names(spark):
+    df = vectorized(spark.createDataFrame([(1, "aa"), (2, None), (3, "b")], "i int, t string"), "t", "v", lambda ts: [None if t is None else [float(len(t)), 1.0] for t in ts])
+    indices = VectorIndices()
+    indices.add("len", VectorIndex(df, "i", "v", 2, DOT_PRODUCT))
+    assert [r.i for r in indices.get("len").search([1.0, 0.0], 5).collect()] == [1, 3]
+    assert indices.ensure("len", None) is indices.get("len")
+    with pytest.raises(ValueError):
+        indices.add("len", None)
+    indices.remove("len")
+    with pytest.raises(KeyError):
+        indices.get("len")
+
+
 def test_full_text(spark):
     df = spark.createDataFrame([(1, "The quick brown fox"), (2, "quick, QUICK fox"), (3, "brown the quick"), (4, None)], "i int, t string")
     index = fulltext.TextIndex.of(df, "i", fulltext.Field("t", F.col("t")))
