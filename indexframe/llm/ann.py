@@ -116,10 +116,8 @@ def _rows(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _best(score: np.ndarray, own: int, k: int) -> np.ndarray:
-    """Places of the k best scores but ``own``, ties at the edge by place; ids ascend with place."""
-    if own >= 0:
-        score[own] = -np.inf
+def _best(score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties at the edge by place (ids ascend with it); never one of minus infinity."""
     if len(score) <= k:
         return np.flatnonzero(score > -np.inf)
     edge = np.partition(score, len(score) - k)[len(score) - k]
@@ -184,7 +182,7 @@ def top_k(vectors: DataFrame, is_query: str, k: int, p: Params = Params()) -> Da
                     for j in range(1, len(both)):
                         score += lut[j][both[j]]
                     score[ids == qid] = -np.inf
-                    near = _best(score, -1, max(p.rerank, k))
+                    near = _best(score, max(p.rerank, k))
                     exact = x[near] @ q[i]
                     order = np.lexsort((ids[near], -exact))[:k]
                     out.append((np.full(len(order), qid), ids[near][order], exact[order]))
