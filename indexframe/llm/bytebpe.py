@@ -3,9 +3,10 @@
 Documents are taken in blocks of some megabytes of text, with no shuffle, and written in terms of the distinct words of
 their block (matches of the pattern).  Every distinct word is folded in the JVM: its byte array becomes the array of
 its neighbouring pairs, and each step of ``aggregate`` merges the leftmost pair of least rank, which a
-literal rank map gives.  Pieces are named by their ranks, which are the token ids, so the map goes from
-(left rank, right rank) to the rank of the two concatenated; it is a literal perfect hash table, arrays
-that are constants of the plan.  Decoding concatenates the binary pieces of the ids, which another literal has.
+constant rank map gives.  Pieces are named by their ranks, which are the token ids, so the map goes from
+(left rank, right rank) to the rank of the two concatenated; it is a perfect hash table in arrays.  Decoding
+concatenates the binary pieces of the ids, which another array has.  The arrays are one literal row, which is broadcast: written
+into the expressions they would make every plan's text megabytes long, and the driver keeps such texts.
 
 Common words are folded once: a broadcast dictionary of at most ``head`` words that a sample of documents
 shares.  It is a cache: all other words are folded in their block, to the same ids.
@@ -16,15 +17,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,8 +46,8 @@ class Params:
     ``sample``: documents that suggest them, about.  ``fold``: bytes of the longest word that is folded as an array;
     longer ones are merged with a heap, to the same ids."""
 
-    block: int = 10_000_000
-    head: int = 120_000
+    block: int = 12_000_000
+    head: int = 200_000
     sample: int = 16_384
     fold: int = 256
 
@@ -57,12 +59,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 @dataclass(frozen=True)
 class Tables:
-    """Literals of a vocabulary.  A pair is rank * 2**32 + left * 2**16 + right, of rank ``_NONE`` if it doesn't merge."""
+    """Constants of a vocabulary.  A pair is rank * 2**32 + left * 2**16 + right, of rank ``_NONE`` if it doesn't merge."""
 
     byte_pairs: list[int]  # of all two bytes, by left * 257 + right; 256 is the edge of a word
     pieces: list[str]  # hex
     displacement: list[int]
-    cells: list[int]  # pair * 2**16 + rank, or -1
+    cells: list[int]  # pairs, or -1
 
 
 _GROUPS, _MODULUS = 65521, 16777213
@@ -93,7 +95,7 @@ def tables(path: str) -> Tables:
             d += 2654435
         displacement[g] = d
         for k, x in zip(groups[g], at, strict=True):
-            used[x], cells[x] = 1, k << 16 | pairs[k]
+            used[x], cells[x] = 1, pairs[k] << 32 | k
     pieces = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token.hex()
@@ -102,9 +104,11 @@ def tables(path: str) -> Tables:
     return Tables(byte_pairs, pieces, displacement, cells)
 
 
-def _literal(values: list, kind: str) -> Column:
-    """A constant of the plan; the optimizer parses it once."""
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
+def with_tables(rows: DataFrame, t: Tables, version: str) -> DataFrame:
+    """Adds the arrays of a vocabulary to each row of a few large rows; ``version`` is a column of ones."""
+    arrays = [pa.array([t.byte_pairs]), pa.array([t.displacement]), pa.array([t.cells]), pa.array([t.pieces])]
+    literal = pa.table([pa.array([1], pa.int32()), *arrays], ["__version", "byte_pairs", "displacement", "cells", "hexes"])
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(literal)), F.col(version) == F.col("__version"))  # one row, as large as the vocabulary
 
 
 def _let(value: Column, body) -> Column:
@@ -113,45 +117,39 @@ def _let(value: Column, body) -> Column:
 
 
 def fold_words(words: Column, t: Tables) -> Column:
-    """array<array<smallint>> of the bytes of words, an edge (256) before and after -> array<array<int>> of their ids."""
+    """array<array<smallint>> of the bytes of words, an edge (256) before and after -> array<array<int>> of their ids.
 
-    def all_words(byte_pairs: Column, displacement: Column, cells: Column) -> Column:
-        def pair(left: Column, right: Column) -> Column:
-            def ranked(k: Column) -> Column:
-                place = (k % F.lit(_MODULUS)).bitwiseXOR(F.get(displacement, (k % F.lit(_GROUPS)).cast("int"))).bitwiseAND(F.lit(len(t.cells) - 1))
-                return _let(
-                    F.get(cells, place.cast("int")),
-                    lambda e: F.when(F.shiftright(e, 16) == k, F.shiftleft(e.bitwiseAND(F.lit(65535)), 32)).otherwise(F.lit(_NONE << 32)) + k,
-                )
-
-            return _let(F.shiftleft(left, 16) + right, ranked)
+    For rows with the arrays of ``with_tables``.
+    """
+    byte_pairs, displacement, cells = F.col("byte_pairs"), F.col("displacement"), F.col("cells")
 
-        def step(e: Column, _: Column) -> Column:
-            def merge(v: Column, j: Column) -> Column:
-                # The pairs on either side get the merged piece for the one that they share with it.
-                m = F.shiftright(v, 32)
-                left = F.shiftright(F.get(e, j - 2), 16).bitwiseAND(F.lit(65535))
-                right = F.get(e, j).bitwiseAND(F.lit(65535))
-                return F.concat(F.slice(e, F.lit(1), j - 2), F.array(pair(left, m), pair(m, right)), F.slice(e, j + 2, F.lit(1 << 30)))
+    def ranked(k: Column) -> Column:
+        """The pair of a key left * 2**16 + right."""
+        place = (k % F.lit(_MODULUS)).bitwiseXOR(F.get(displacement, (k % F.lit(_GROUPS)).cast("int"))).bitwiseAND(F.lit(len(t.cells) - 1))
+        return _let(F.get(cells, place.cast("int")), lambda e: F.when(e.bitwiseAND(F.lit(0xFFFFFFFF)) == k, e).otherwise(k + F.lit(_NONE << 32)))
 
-            return _let(F.array_min(e), lambda v: F.when(v >= F.lit(_NONE << 32), e).otherwise(_let(F.array_position(e, v).cast("int"), lambda j: merge(v, j))))
+    def step(e: Column, _: Column) -> Column:
+        def merge(v: Column, j: Column) -> Column:
+            # The pairs on either side get the merged piece for the one that they share with it.
+            m = F.shiftright(v, 32)
+            left = F.get(e, j - 2).bitwiseAND(F.lit(0xFFFF0000)) + m
+            right = F.shiftleft(m, 16) + F.get(e, j).bitwiseAND(F.lit(65535))
+            return F.concat(F.slice(e, F.lit(1), j - 2), F.transform(F.array(left, right), ranked), F.slice(e, j + 2, F.lit(1 << 30)))
 
-        def word(w: Column) -> Column:
-            pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.get(byte_pairs, F.get(w, i).cast("int") * 257 + F.get(w, i + 1)))
-            ids = lambda e: F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda x: x.bitwiseAND(F.lit(65535)).cast("int"))
-            folded = F.aggregate(F.sequence(F.lit(1), F.size(w) - 2), pairs, step, ids)
-            return F.when(F.size(w) < 3, F.slice(F.array(F.lit(0)), F.lit(1), F.lit(0))).otherwise(folded)
+        return _let(F.array_min(e), lambda v: F.when(v >= F.lit(_NONE << 32), e).otherwise(_let(F.array_position(e, v).cast("int"), lambda j: merge(v, j))))
 
-        return F.transform(words, word)
+    def word(w: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.get(byte_pairs, F.get(w, i).cast("int") * 257 + F.get(w, i + 1)))
+        ids = lambda e: F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda x: x.bitwiseAND(F.lit(65535)).cast("int"))
+        folded = F.aggregate(F.sequence(F.lit(1), F.size(w) - 2), pairs, step, ids)
+        return F.when(F.size(w) < 3, F.slice(F.array(F.lit(0)), F.lit(1), F.lit(0))).otherwise(folded)
 
-    one = lambda values, body: F.get(F.transform(F.array(_literal(values, "bigint")), body), F.lit(0))
-    return one(t.byte_pairs, lambda a: one(t.displacement, lambda b: one(t.cells, lambda c: all_words(a, b, c))))
+    return F.transform(words, word)
 
 
-def decode_words(ids: Column, t: Tables) -> Column:
+def decode_words(ids: Column) -> Column:
     """array<array<int>> of ids -> array<binary>: the pieces of each word, concatenated."""
-    pieces = F.array(_literal(t.pieces, "string"))
-    return F.get(F.transform(pieces, lambda hexes: F.transform(ids, lambda w: F.unhex(F.array_join(F.transform(w, lambda i: F.get(hexes, i)), "")))), F.lit(0))
+    return F.transform(ids, lambda w: F.unhex(F.array_join(F.transform(w, lambda i: F.get(F.col("hexes"), i)), "")))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -283,24 +281,63 @@ def head_words(docs: DataFrame, t: Tables, p: Params) -> pa.Table:
 
     counted = docs.mapInArrow(distinct, "w string").where(F.octet_length("w") <= p.fold).groupBy("w").count().where("count > 1")
     top = checkpoint(counted.orderBy(F.desc("count"), "w").limit(p.head))
-    # Arrays of some hundred words, so that the literals are bound once an array.
-    grouped = top.repartition(shuffle_width(docs.sparkSession)).withColumn("g", F.pmod(F.xxhash64("w"), F.lit(max(1, p.head // 500)))).groupBy("g").agg(F.collect_list("w").alias("w"))
+    # Arrays of some thousand words, so that the tables are joined once an array.
+    grouped = top.repartition(shuffle_width(docs.sparkSession)).withColumn("g", F.pmod(F.xxhash64("w"), F.lit(max(1, p.head // 2000)))).groupBy("g").agg(F.collect_list("w").alias("w"))
 
     def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.column(1):
                 words = row.as_py()
-                arrays = [pa.array([words], pa.list_(pa.string())), pa.array([_byte_arrays([w.encode() for w in words]).to_pylist()], pa.list_(pa.list_(pa.int16())))]
-                yield pa.RecordBatch.from_arrays(arrays, ["w", "b"])
+                nested = _byte_arrays([w.encode() for w in words])
+                arrays = [pa.array([words], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(nested)], pa.int32()), nested), pa.array([1], pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, ["w", "b", "version"])
 
-    folded = grouped.mapInArrow(as_bytes, "w array<string>, b array<array<smallint>>").withColumn("ids", fold_words(F.col("b"), t))
-    rows = folded.withColumn("piece", decode_words(F.col("ids"), t)).select(F.explode(F.arrays_zip("w", "ids", "piece")).alias("x")).select("x.*")
+    by_array = with_tables(grouped.mapInArrow(as_bytes, "w array<string>, b array<array<smallint>>, version int"), t, "version")
+    folded = by_array.select("w", fold_words(F.col("b"), t).alias("ids"), "hexes")
+    rows = folded.withColumn("piece", decode_words(F.col("ids"))).select(F.explode(F.arrays_zip("w", "ids", "piece")).alias("x")).select("x.*")
     return rows.toArrow()
 
 
+def _hashes(words: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(words, object), categorize=False) if words else np.empty(0, np.uint64)
+
+
+class Head:
+    """The shared dictionary as flat arrays: hashes of its words in order, and Arrow columns in the same order."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        rows = rows.combine_chunks()
+        hashes = _hashes(rows.column("w").to_pylist())
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        take = lambda name: rows.column(name).take(pa.array(order)).combine_chunks()
+        self.words, self.ids, self.pieces = take("w"), take("ids"), take("piece")
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """The row of each word, or -1; words of equal hash are told apart by themselves."""
+        if not len(self.hashes) or not words:
+            return np.full(len(words), -1)
+        hashes = _hashes(words)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        near = np.flatnonzero(self.hashes[at] == hashes)
+        same = pc.equal(self.words.take(pa.array(at[near])), pa.array([words[i] for i in near.tolist()], pa.string())).to_numpy(zero_copy_only=False)
+        found = np.full(len(words), -1)
+        found[near[same]] = at[near[same]]
+        return found
+
+    def take(self, rows: np.ndarray) -> tuple[list[str], list[bytes]]:
+        """Ids, joined by commas, and pieces of some rows."""
+        return _joined(self.ids.take(pa.array(rows))), self.pieces.take(pa.array(rows)).to_pylist()
+
+
+def _joined(lists: pa.ListArray) -> list[str]:
+    names, ends = list(map(str, lists.flatten().to_pylist())), lists.offsets.to_pylist()
+    return [",".join(names[a - ends[0] : b - ends[0]]) for a, b in zip(ends, ends[1:], strict=False)]
+
+
 _PACKED = (
     "doc_ids array<long>, sizes array<int>, codes binary, chunk_sizes binary, chunk_words binary, b array<array<smallint>>,"
-    " long_at array<int>, long_ids array<array<int>>"
+    " long_at array<int>, long_ids array<array<int>>, version int"
 )
 _OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -316,61 +353,58 @@ def encode(docs: DataFrame, path: str = VOCABULARY, p: Params = Params()) -> Dat
     shared = spark.sparkContext.broadcast({bytes.fromhex(x): i for i, x in enumerate(t.pieces) if x})  # the vocabulary
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: i for i, w in enumerate(head.value.column("w").to_pylist())}
+        own_head = Head(head.value)
         press = zstandard.ZstdCompressor(level=1).compress
         for block in _blocks(batches, p.block):
             words, flat, sizes = block.words()
-            place, rest, long_at, long_ids = np.empty(len(words), np.int32), [], [], []
-            for i, w in enumerate(words):
-                at = known.get(w)
-                if at is not None:
-                    place[i] = -1 - at
-                    continue
-                place[i], raw = len(rest), w.encode()
+            at = own_head.find(words)
+            new = np.flatnonzero(at < 0)
+            place = (-1 - at).astype(np.int32)
+            place[new] = np.arange(len(new))
+            rest, long_at, long_ids = [words[i].encode() for i in new.tolist()], [], []
+            for i, raw in enumerate(rest):
                 if len(raw) > p.fold:
-                    long_at.append(len(rest))
+                    long_at.append(i)
                     long_ids.append(merge_long(raw, shared.value))
-                    raw = b""
-                rest.append(raw)
+                    rest[i] = b""
             block.chunks, words = _Chunks(), []
             nested = _byte_arrays(rest)
             arrays = [
                 pa.array([block.doc_ids], pa.list_(pa.int64())), pa.array([block.sizes], pa.list_(pa.int32())), pa.array([press(np.concatenate(block.codes).tobytes())], pa.binary()),
                 pa.array([sizes.tobytes()], pa.binary()), pa.array([place[flat].tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(nested)], pa.int32()), nested),
-                pa.array([long_at], pa.list_(pa.int32())), pa.array([long_ids], pa.list_(pa.list_(pa.int32()))),
+                pa.array([long_at], pa.list_(pa.int32())), pa.array([long_ids], pa.list_(pa.list_(pa.int32()))), pa.array([1], pa.int32()),
             ]
-            del rest, nested, place, flat, sizes, block
+            del rest, nested, place, at, new, flat, sizes, block
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in _PACKED.split(", ")])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_ids = [",".join(map(str, x.as_py())) for x in head.value.column("ids")]
-        known_pieces = head.value.column("piece").to_pylist()
         pieces = {i: x for x, i in shared.value.items()}
         types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+        own_head = Head(head.value)
         unpress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for r in range(batch.num_rows):
                 col = lambda name: batch.column(batch.schema.get_field_index(name))[r]  # noqa: B023,E731
-                own = col("ids").values
-                names, ends = list(map(str, own.flatten().to_pylist())), own.offsets.to_pylist()
-                ids = [",".join(names[a - ends[0] : b - ends[0]]) for a, b in zip(ends, ends[1:], strict=False)]
-                decoded = col("piece").values.to_pylist()
-                del names, ends
+                ids, decoded = _joined(col("ids").values), col("piece").values.to_pylist()
                 for at, long in zip(col("long_at").as_py(), col("long_ids").as_py(), strict=True):
                     ids[at], decoded[at] = ",".join(map(str, long)), b"".join(map(pieces.__getitem__, long))
-                place, sizes = (np.frombuffer(col(name).as_buffer(), np.int32).tolist() for name in ("chunk_words", "chunk_sizes"))
+                place, sizes = (np.frombuffer(col(name).as_buffer(), np.int32) for name in ("chunk_words", "chunk_sizes"))
+                # Words of the dictionary that the block has follow its own.
+                old = np.unique(place[place < 0])
+                more = own_head.take(-1 - old)
+                place = np.where(place < 0, len(ids) + np.searchsorted(old, place), place).tolist()
+                ids += more[0]
+                decoded += more[1]
                 texts, raws, at = [], [], 0
-                for n in sizes:
+                for n in sizes.tolist():
                     if n == 1:
-                        k = place[at]
-                        texts.append(ids[k] if k >= 0 else known_ids[-1 - k])
-                        raws.append(decoded[k] if k >= 0 else known_pieces[-1 - k])
+                        texts.append(ids[place[at]])
+                        raws.append(decoded[place[at]])
                     else:
-                        some = place[at : at + n]
-                        texts.append(",".join([ids[k] if k >= 0 else known_ids[-1 - k] for k in some]))
-                        raws.append(b"".join([decoded[k] if k >= 0 else known_pieces[-1 - k] for k in some]))
+                        texts.append(",".join([ids[k] for k in place[at : at + n]]))
+                        raws.append(b"".join([decoded[k] for k in place[at : at + n]]))
                     at += n
-                del ids, decoded, place, sizes
+                del ids, decoded, place, sizes, old, more
                 codes, out, at = np.frombuffer(unpress(col("codes").as_py()), np.uint32), [], 0
                 for doc_id, n in zip(col("doc_ids").as_py(), col("sizes").as_py(), strict=True):
                     chosen = codes[at : at + n].tolist()
@@ -383,7 +417,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY, p: Params = Params()) -> Dat
 
     # Written, so that packing and digesting don't hold memory at the same time and a lost task begins at its blocks.
     packed = written(docs.mapInArrow(pack, _PACKED), "words")
-    folded = packed.withColumn("ids", fold_words(F.col("b"), t)).drop("b").withColumn("piece", decode_words(F.col("ids"), t))
+    kept = ["doc_ids", "sizes", "codes", "chunk_sizes", "chunk_words", "long_at", "long_ids"]
+    folded = with_tables(packed, t, "version").select(*kept, fold_words(F.col("b"), t).alias("ids"), "hexes").select(*kept, "ids", decode_words(F.col("ids")).alias("piece"))
     return folded.mapInArrow(digest, _OUT)
 
 
