@@ -31,6 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -53,20 +54,12 @@ class Params:
     block: int = 1 << 20
     lanes: int = 4096
     every: int = 64
-    cache: int = 600_000
+    cache: int = 1_200_000
 
 
 # --- tokenizing -------------------------------------------------------------------------------
 
 
-class _Numbers(dict):
-    """Numbers keys as they are first looked up."""
-
-    def __missing__(self, key: bytes) -> int:
-        number = self[key] = len(self)
-        return number
-
-
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -91,24 +84,42 @@ class WordTokenizer:
         self.part = ids[0]
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.leads = sorted({s[:1] for s in self.special})
+        self.ends = np.zeros(1 << 16, bool)  # ids of tokens that end a word
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}  # words with their 16-bit ids
 
     def _learn(self, words: list[bytes], risky: bool) -> dict[bytes, bytes]:
-        found, plain = {}, []
+        found, letters, plain = {}, [], []
         for w in words:
-            if b"\x01" in w or risky and self._special(w):
+            if w.isalpha() if w.isascii() else w.decode().isalpha():
+                letters.append(w)
+            elif b"\x01" in w or risky and self._special(w):
                 found[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes()
             else:
                 plain.append(w)
-        joint = b" \x01 "
-        groups = [plain[i : i + 400] for i in range(0, len(plain), 400)]
+        # A word of letters is one match, whose last token says that it ends a word; others are parted by a character.
+        found.update(self._together(letters, b" ", lambda ids: np.flatnonzero(self.ends[ids]) + 1, 0) or self._together(letters, b" \x01 ", self._parted, 1))
+        found.update(self._together(plain, b" \x01 ", self._parted, 1))
+        return found
+
+    def _parted(self, ids: np.ndarray) -> np.ndarray:
+        return np.append(np.flatnonzero(ids == self.part), len(ids))
+
+    def _together(self, words: list[bytes], joint: bytes, ends_of, skip: int) -> dict[bytes, bytes] | None:
+        """The ids of words encoded as one text; ``skip`` ids stand between two.  None if the ends don't fit the words."""
+        found = {}
+        groups = [words[i : i + 400] for i in range(0, len(words), 400)]
         for at in range(0, len(groups), 64):
             some = groups[at : at + 64]
             for g, e in zip(some, self.tokenizer.encode_batch_fast([joint.join(g).decode() for g in some], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u2")
-                cuts = np.flatnonzero(ids == self.part)
-                raw, starts, ends = ids.tobytes(), [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), 2 * len(ids)]
-                found.update(zip(g, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+                ends = ends_of(ids)
+                if len(ends) != len(g):
+                    return None
+                raw, stop = ids.tobytes(), (2 * ends).tolist()
+                start = [0, *[x + 2 * skip for x in stop[:-1]]]
+                found.update(zip(g, [raw[a:b] for a, b in zip(start, stop, strict=True)], strict=True))
         return found
 
     def _special(self, word: bytes) -> bool:
@@ -130,33 +141,44 @@ class WordTokenizer:
             return base, word[len(base) :]
         return word, b""
 
-    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+    def encode(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        numbers = _Numbers()
-        number = numbers.__getitem__
-        codes = [np.array(list(map(number, t.split())), np.int32) for t in texts]
-        risky = any(s in t for t in map(bytes.lower, texts) for s in self.special)
-        parts = [self._parts(w, risky) for w in numbers]
+        split = pc.ascii_split_whitespace(texts)
+        ends, words = split.offsets.to_numpy() - split.offsets[0].as_py(), split.flatten().dictionary_encode()
+        codes, distinct = words.indices.to_numpy(), words.dictionary.cast(pa.binary()).to_pylist()
         known = self.known
-        fresh = self._learn(list({p for x in parts for p in x if p and p not in known}), risky)
-        get = lambda p: known.get(p) or fresh[p]
-        raw = [get(a) + get(b) if b else get(a) for a, b in parts]
+        raw = list(map(known.get, distinct))
+        missing = [i for i, x in enumerate(raw) if x is None]
+        if missing:
+            words_ = [distinct[i] for i in missing]
+            risky = any(s in t for t in map(bytes.lower, words_) for s in self.special)
+            parts = [self._parts(w, risky) for w in words_]
+            new = {a for a, _ in parts if a not in known}
+            new.update(b for _, b in parts if b and b not in known)
+            new.discard(b"")  # white space at an end of a text gives an empty word
+            fresh = self._learn(list(new), risky)
+            fresh[b""] = b""
+            get = lambda p: x if (x := fresh.get(p)) is not None else known[p]
+            found = [get(a) + get(b) if b else get(a) for a, b in parts]
+            for i, x in zip(missing, found, strict=True):
+                raw[i] = x
+            for more in (fresh, dict(zip(words_, found, strict=True))):
+                room = self.cache - len(known)
+                known.update(more if len(more) <= room else list(more.items())[: max(0, room)])
         size = np.fromiter(map(len, raw), np.int64, len(raw)) // 2
         ids = np.frombuffer(b"".join(raw), "<u2")
         start = np.cumsum(size) - size
-        del numbers, parts, raw
-        for c in codes:
+        del raw, distinct, split, words
+        for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+            c = codes[a:b]
             n = size[c]
             total = int(n.sum())
             yield ids[np.repeat(start[c] - (np.cumsum(n) - n), n) + np.arange(total)] if total else np.empty(0, np.uint16)
-        room = self.cache - len(known)
-        if room > 0:
-            known.update((w, x) for w, x in list(fresh.items())[:room] if x)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
 _TOKENS = "doc_id long, n int, ids binary, counts array<long>"
-_TEXTS = 16_000_000  # bytes of text that share a dictionary
+_TEXTS = 40_000_000  # bytes of text that share a dictionary
 
 
 def tokenized(docs: DataFrame, path: str, p: Params) -> DataFrame:
@@ -171,29 +193,23 @@ def tokenized(docs: DataFrame, path: str, p: Params) -> DataFrame:
             raise ValueError("ids must fit 16 bits")
         names = [x.split()[0] for x in _TOKENS.split(", ")]
 
-        def flush(keys: list, texts: list[bytes]) -> pa.RecordBatch:
-            sizes, packed = [], []
+        def ids_of(keys: pa.Array, texts: pa.StringArray) -> pa.RecordBatch:
+            sizes, packed, every = [], [], []
             for ids in words.encode(texts):
                 ids = np.append(ids, np.uint16(END))
-                np.add(counts, np.bincount(ids, minlength=len(counts)), out=counts) if len(ids) > 20_000 else np.add.at(counts, ids, 1)
+                every.append(ids)
                 sizes.append(len(ids))
                 packed.append(pack.compress(ids.astype("<u2").tobytes()))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary()), pa.array([None] * len(keys), pa.list_(pa.int64()))], names
-            )
+            np.add(counts, np.bincount(np.concatenate(every), minlength=len(counts)), out=counts)
+            return pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(keys), pa.list_(pa.int64()))], names)
 
-        keys, texts, held = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                if held and held + len(raw) > _TEXTS:
-                    yield flush(keys, texts)
-                    keys, texts, held = [], [], 0
-                keys.append(doc_id)
-                texts.append(raw)
-                held += len(raw)
-        if keys:
-            yield flush(keys, texts)
+            size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // _TEXTS
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    yield ids_of(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a))
+        if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([None], pa.binary()), pa.array([counts], pa.list_(pa.int64()))], names)
 
     return docs.mapInArrow(run, _TOKENS)
@@ -290,6 +306,8 @@ class Coder:
                 y[more] = (y[more] << np.uint64(32)) | stream[place : place + m]
                 place += m
             x[:k] = y
+        if stop == n and (place != len(stream) or (x != _LOW).any()):
+            raise ValueError("a block's stream doesn't end as it began")
         if first == 0 and stop == n and zlib.crc32(ids.astype("<u4").tobytes()) != check:
             raise ValueError("a block's ids don't fit its checksum")
         return [None if d == -(1 << 63) else int(d) for d in docs["id"]], docs["n"].astype(np.int64), ids
