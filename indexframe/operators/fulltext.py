@@ -70,10 +70,14 @@ def phrase(name: str, text: str) -> Clause:
     words = [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()]
     wanted = F.array(*map(F.lit, words))
 
-    def test(own: Column) -> Column:
+    def found(own: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(own) - len(words) + 1)
         return F.when(F.size(own) >= len(words), F.exists(starts, lambda i: F.slice(own, i, F.lit(len(words))) == wanted)).otherwise(False)
 
+    def test(own: Column) -> Column:
+        # Bound once: inside the lambda of exists the tokens would be made anew for every start.
+        return F.get(F.transform(F.array(own), found), F.lit(0))
+
     return Clause(name, on_tokens=test)
 
 
