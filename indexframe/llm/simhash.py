@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import checkpoint, shuffle_width, table
 from .components import connected
 
@@ -221,9 +222,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document of least doc_id stays, once."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    stays = found.where("doc_id = component_id").select("doc_id").distinct()
+    """Pipeline stage: texts that are 0.8 alike (Jaccard, sets of five-word shingles) are linked; of each component the document of least doc_id stays, once.
+
+    All texts without words are alike.
+    """
+    rows = checkpoint(jaccard.keyed(docs.where("doc_id is not null"), "doc_id"))
+    roots = jaccard.components(docs, rows)
+    named = rows.select("doc_id", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", F.coalesce("root", "key").alias("root"))
+    stays = named.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     kept = docs.join(stays, "doc_id")
     if docs.groupBy("doc_id").count().where("count > 1").head(1):
         kept = kept.dropDuplicates(["doc_id"])
