@@ -222,15 +222,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts that are 0.8 alike (Jaccard, sets of five-word shingles) are linked; of each component the document of least doc_id stays, once.
+    """Pipeline stage: texts that are 0.8 alike (Jaccard, sets of five-word shingles) are linked; of each component one row stays.
 
-    All texts without words are alike.
+    All texts without words are alike.  The row of least doc_id stays, one without doc_id only if none has one (ties go by a hash of the
+    row, so reruns agree).  Rows are told apart by their texts: unlike texts under one doc_id, or under none, are unlike rows.
     """
-    rows = checkpoint(jaccard.keyed(docs.where("doc_id is not null"), "doc_id"))
+    whole = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+    rows = checkpoint(jaccard.keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("row"), "text"), "doc_id", "row"))
     roots = jaccard.components(docs, rows)
-    named = rows.select("doc_id", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", F.coalesce("root", "key").alias("root"))
-    stays = named.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    kept = docs.join(stays, "doc_id")
-    if docs.groupBy("doc_id").count().where("count > 1").head(1):
-        kept = kept.dropDuplicates(["doc_id"])
+    named = rows.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "row", F.coalesce("root", "key").alias("root"))
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
+    stays = checkpoint(best.select(F.col("least.row").alias("__stays")).distinct())
+    kept = docs.withColumn("__whole", whole).join(stays, F.col("__whole") == F.col("__stays"), "left_semi")
+    twice = rows.groupBy("row").count().where("count > 1")
+    if twice.join(stays, F.col("row") == F.col("__stays"), "left_semi").head(1):
+        kept = kept.dropDuplicates(["__whole"])
     return kept.select(*docs.columns)

@@ -70,3 +70,22 @@ def test_common_shingles_do_not_change_the_result(spark, texts, monkeypatch):
     monkeypatch.setattr(jaccard, "_common", lambda d: (np.empty(0, np.int64), np.empty(0, np.int32)))
     got = {r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()}
     assert got == {i for i, root in plain_roots(texts).items() if i == root}
+
+
+def test_rows_without_or_of_one_doc_id(spark):
+    copied = "one two three four five six seven"
+    rows = [
+        (None, "nothing is like this text without an id", "en", "a", 1),
+        (None, copied, "en", "a", 1),
+        (3, copied, "en", "b", 1),
+        (5, "the first of two unlike texts of five", "en", "a", 1),
+        (5, "a second text that shares its id only", "en", "a", 1),
+        (7, "said twice in full by one id", "en", "a", 1),
+        (7, "said twice in full by one id", "en", "a", 1),
+        (8, "said twice in full by one id", "en", None, 1),
+        (None, "twice without an id at all here", None, "a", 1),
+        (None, "twice without an id at all here", None, "a", 1),
+    ]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    got = [tuple(r) for r in simhash.stage_simhash(spark, docs.repartition(3), "").collect()]
+    assert sorted(got, key=str) == sorted((rows[i] for i in (0, 2, 3, 4, 5, 8)), key=str)
