@@ -30,13 +30,14 @@ _HEADS = (4, 5)
 
 @dataclass(frozen=True)
 class Params:
-    """``sample``: labelled rows that become examples, at most.  ``terms``: vocabulary, at most.  ``least`` and ``rate``:
-    examples a term stands in, as a number and as a share.  ``chi2``: least association with the label.  ``prior``: weight of the prior's vote."""
+    """``sample``: labelled rows that become examples, at most.  ``terms``: vocabulary, at most.  ``least``, ``rate`` and ``enough``:
+    examples a term stands in, as a number and as a share, but no more than ``enough`` are asked for.  ``chi2``: least association with the label.  ``prior``: weight of the prior's vote."""
 
     sample: int = 8000
     terms: int = 4096
     least: int = 3
     rate: float = 0.002
+    enough: int = 7
     chi2: float = 20.0
     neighbours: int = 15
     prior: float = 0.2
@@ -174,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, p: Params = Params(
     b, c, d = F.col("df") - F.col("a"), F.lit(ones) - F.col("a"), F.lit(n - ones) - (F.col("df") - F.col("a"))
     chi2 = F.lit(n) * F.pow(F.col("a") * d - b * c, F.lit(2)) / (F.col("df") * (F.lit(n) - F.col("df")) * max(1.0, ones) * max(1.0, n - ones))
     # Terms of the toxic class only: a text is toxic by what it holds, not by what it lacks.
-    tells = (F.col("a") * n > F.col("df") * ones) & (F.col("df") >= max(p.least, p.rate * n)) & (F.col("df") < n)
+    tells = (F.col("a") * n > F.col("df") * ones) & (F.col("df") >= max(p.least, min(p.rate * n, p.enough))) & (F.col("df") < n)
     picked = cells.where(tells).withColumn("chi2", chi2).where(F.col("chi2") >= p.chi2).orderBy(F.desc("chi2"), "h").limit(p.terms).collect()
     vocabulary = Vocabulary(np.array([r["h"] for r in picked], np.int64).view(np.uint64), np.array([np.log(1 + n / r["df"]) for r in picked]))
 

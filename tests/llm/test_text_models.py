@@ -212,3 +212,12 @@ def test_chat_query(spark):
         assert got[i].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert (got[i].n_turns, got[i].loss_chars, got[i].loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert len({r.layout for r in got.values()}) > 1
+
+
+def test_rare_toxic_word_counts_in_a_full_sample(spark):
+    """A word that 8 of 5000 examples hold, all toxic, is a term; 0.2 % of the examples would be 10."""
+    rows = [(i, 1 if i < 500 else 0, "rareword text" if i < 8 else "insult text" if i < 500 else "plain text") for i in range(5000)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, y, _ in rows], "doc_id long, toxic int")
+    m = toxicity.fit(docs, labels, labels.doc_id >= 0)
+    assert len(m.search("a rareword here")[0]) and m.score("a rareword here") > 0.5 > m.score("a plain text")
