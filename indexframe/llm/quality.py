@@ -167,11 +167,12 @@ def remainder(key: str, n: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, size: int, seed: int) -> DataFrame:
-    """doc_id, y and text of at most ``size`` labelled rows, drawn by a hash of doc_id.
+    """doc_id, y and text of at most ``size`` labelled documents among ``docs``, drawn by a hash of doc_id.
 
     Null labels and labels other than 0 and 1 don't count; a doc_id with several labels counts as its largest.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    known = known.join(docs.select(F.col("doc_id").alias("__there")), F.col("doc_id") == F.col("__there"), "left_semi")
     drawn = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(size)
     return docs.select("doc_id", no_null_text().alias("text")).join(F.broadcast(drawn), "doc_id")  # at most ``size`` pairs of numbers
 
@@ -233,7 +234,7 @@ def keep_if(docs: DataFrame, model_score, wanted) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that score below the cut go.  Learns from all labels of the documents it gets but the held-out ones."""
+    """Pipeline stage: documents that score below the cut go.  Learns from at most ``Params.sample`` labelled ones of the documents it gets, held-out ones left out."""
     m = fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
     shared = spark.sparkContext.broadcast((m.weights, m.ratio, m.slope, m.offset))
     return keep_if(docs, lambda: Model(*shared.value).score, lambda s: s >= CUT)

@@ -216,6 +216,6 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that score at the cut or above go."""
+    """Pipeline stage: documents that score at the cut or above go.  Learns from at most ``Params.sample`` labelled ones of the documents it gets, held-out ones left out."""
     shared = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0))
     return keep_if(docs, lambda: shared.value.score, lambda s: s < CUT)

@@ -221,3 +221,10 @@ def test_rare_toxic_word_counts_in_a_full_sample(spark):
     labels = spark.createDataFrame([(i, y) for i, y, _ in rows], "doc_id long, toxic int")
     m = toxicity.fit(docs, labels, labels.doc_id >= 0)
     assert len(m.search("a rareword here")[0]) and m.score("a rareword here") > 0.5 > m.score("a plain text")
+
+
+def test_sample_is_drawn_among_the_documents_at_hand(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(0, 200, 2)] + [(None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 4 // 2) for i in range(200)] + [(None, 1)], "doc_id long, quality int")
+    got = quality.labelled_sample(docs, labels, "quality", labels.doc_id >= 0, 60, 1).collect()
+    assert len({r.doc_id for r in got}) == len(got) == 60 and all(r.text == f"text {r.doc_id}" and r.y == r.doc_id % 4 // 2 for r in got)
