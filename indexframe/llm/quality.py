@@ -169,12 +169,15 @@ def remainder(key: str, n: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, size: int, seed: int) -> DataFrame:
     """doc_id, y and text of at most ``size`` labelled documents among ``docs``, drawn by a hash of doc_id.
 
-    Null labels and labels other than 0 and 1 don't count; a doc_id with several labels counts as its largest.
+    Null labels and labels other than 0 and 1 don't count; a doc_id with several labels counts as its largest.  Of several
+    rows of a doc_id one counts, by a hash of its text, so the sample has ``size`` rows at most whatever is repeated.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     known = known.join(docs.select(F.col("doc_id").alias("__there")), F.col("doc_id") == F.col("__there"), "left_semi")
     drawn = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(size)
-    return docs.select("doc_id", no_null_text().alias("text")).join(F.broadcast(drawn), "doc_id")  # at most ``size`` pairs of numbers
+    texts = docs.select("doc_id", no_null_text().alias("text")).join(F.broadcast(drawn), "doc_id")  # at most ``size`` pairs of numbers
+    one = texts.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))  # combined before it moves
+    return one.select("doc_id", "y", "one.text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, p: Params = Params(), label: str = "quality") -> Model:
@@ -213,7 +216,13 @@ CUT = 0.7
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality scores of all documents, learnt from labels whose crc32 remainder isn't 2."""
+    """Quality scores of all documents, learnt from labels whose crc32 remainder isn't 2.
+
+    A row of ``documents`` gives a row: repeated ones score alike, a null text as the empty one (the bias alone), a null doc_id
+    counts as not held out.  Null labels and labels other than 0 and 1 teach nothing; of a doc_id with several labels the
+    largest counts, of one with several texts one by a hash.  With labels of one class only, or none, all scores are that
+    class's smoothed share.  Other columns aren't read.
+    """
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
     return scored(docs, model).select(
@@ -234,7 +243,11 @@ def keep_if(docs: DataFrame, model_score, wanted) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that score below the cut go.  Learns from at most ``Params.sample`` labelled ones of the documents it gets, held-out ones left out."""
+    """Pipeline stage: documents that score below the cut go; all columns of the others stay as they were.
+
+    Learns from at most ``Params.sample`` labelled ones of the documents it gets, held-out ones left out.  Nulls, repeated rows and
+    ties as in ``op4_quality``.
+    """
     m = fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
     shared = spark.sparkContext.broadcast((m.weights, m.ratio, m.slope, m.offset))
     return keep_if(docs, lambda: Model(*shared.value).score, lambda s: s >= CUT)

@@ -1,12 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased words and, for words that come in many endings, their first four and five letters.  The
-vocabulary is the terms that tell the labels apart.  Examples, sorted so that like ones stand
+vocabulary is all terms of the examples but stop words, those that more than a share of the examples hold; every example and
+every document has its full TF-IDF vector.  Examples, sorted so that like ones stand
 together, are cut into blocks; the index keeps for each term its postings by block and the
-largest weight in each block.  A search takes blocks by falling upper bound and stops when no
-further block can hold one of the k best, so the neighbours are exact.  Neighbours vote with weights that
+largest weight in each block.  A search bounds the cosines of every block, scores the most promising blocks, and then those
+that the k-th cosine so far doesn't rule out, so the neighbours are exact.  Neighbours vote with weights that
 fall with their distance, against a prior; a logistic fit on the examples' own votes (each
-without itself) makes scores of them.  The neighbours are the evidence.
+without itself) makes scores of them.  The nearest neighbours are the evidence.
 """
 
 from __future__ import annotations
@@ -30,18 +31,17 @@ _HEADS = (4, 5)
 
 @dataclass(frozen=True)
 class Params:
-    """``sample``: labelled rows that become examples, at most.  ``terms``: vocabulary, at most.  ``least``, ``rate`` and ``enough``:
-    examples a term stands in, as a number and as a share, but no more than ``enough`` are asked for.  ``chi2``: least association with the label.  ``prior``: weight of the prior's vote."""
+    """``sample``: labelled rows that become examples, at most.  ``stop``: a term that more than this share of the examples
+    (and more than ``stop_least`` of them) hold is a stop word.  ``neighbours``: examples that vote; ``evidence``: the nearest of
+    them that are returned.  ``prior``: weight of the prior's vote."""
 
     sample: int = 8000
-    terms: int = 4096
-    least: int = 3
-    rate: float = 0.002
-    enough: int = 7
-    chi2: float = 20.0
-    neighbours: int = 15
+    stop: float = 0.06
+    stop_least: int = 30
+    neighbours: int = 200
+    evidence: int = 5
     prior: float = 0.2
-    block: int = 64
+    block: int = 512
     seed: int = 23
 
 
@@ -61,22 +61,30 @@ def terms(text: str | None) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms of a text, ascending, and how often it has them."""
+    return np.unique(terms(text), return_counts=True)
+
+
 class Vocabulary:
     """Known terms by hash; a table of the hashes' upper bits turns most other words away at once."""
 
     def __init__(self, hashes: np.ndarray, idf: np.ndarray) -> None:
         order = np.argsort(hashes)
         self.hashes, self.idf = hashes[order], idf[order]
-        self.gate = np.zeros(1 << 18, bool)
-        self.gate[(self.hashes >> np.uint64(46)).astype(np.int64)] = True
+        self.gate = np.zeros(1 << 22, bool)
+        self.gate[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms (ascending) and TF-IDF weights of length one; none of either for a text without known terms."""
         h = terms(text)
-        h = h[self.gate[(h >> np.uint64(46)).astype(np.int64)]]
+        return self.weighed(*np.unique(h[self.gate[(h >> np.uint64(42)).astype(np.int64)]], return_counts=True))
+
+    def weighed(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(h) and len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            at, n = np.unique(at[self.hashes[at] == h], return_counts=True)
+            known = self.hashes[at] == h
+            at, n = at[known], n[known]
             if len(at):
                 w = (1 + np.log(n)) * self.idf[at]
                 return at, w / np.linalg.norm(w)
@@ -84,59 +92,100 @@ class Vocabulary:
 
 
 class BlockMaxIndex:
-    """Postings of example vectors by term and block, with the largest weight of each."""
+    """Postings of example vectors by term and block, with the largest weight of each.
+
+    Bounds and cosines add up in the order of terms, so no rounding lifts a cosine over the bound of its block.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int) -> None:
-        self.block, self.blocks = block, max(1, -(-len(vectors) // block))
-        term = np.concatenate([v[0] for v in vectors] or [np.empty(0, np.int64)]).astype(np.int64)
+        self.n, self.block, self.n_terms = len(vectors), block, n_terms
+        term = np.concatenate([v[0] for v in vectors] or [np.empty(0, np.int64)]).astype(np.int32)
         weight = np.concatenate([v[1] for v in vectors] or [np.empty(0)])
-        doc = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
-        order = np.lexsort((doc, term))
+        doc = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[0]) for v in vectors])
+        order = np.argsort(term, kind="stable")  # within a term by document
         self.doc, self.weight = doc[order], weight[order]
-        cell = term[order] * self.blocks + self.doc // block
-        self.start = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1))
-        most = np.zeros(n_terms * self.blocks)
-        np.maximum.at(most, cell, self.weight)
-        self.most = most.reshape(n_terms, self.blocks)
+        self.first = np.searchsorted(term[order], np.arange(n_terms + 1))
+        self._tables()
+
+    def _tables(self) -> None:
+        self.blocks = max(1, -(-self.n // self.block))
+        cell = np.repeat(np.arange(self.n_terms), np.diff(self.first)) * self.blocks + self.doc // self.block
+        at = np.flatnonzero(np.diff(cell, prepend=-1))
+        most = np.zeros(self.n_terms * self.blocks)
+        most[cell[at]] = np.maximum.reduceat(self.weight, at) if len(at) else 0.0
+        self.most = most.reshape(self.n_terms, self.blocks)
+        size = np.bincount(cell, minlength=len(most)).reshape(self.n_terms, self.blocks)
+        self.start = np.empty((self.n_terms, self.blocks + 1), np.int64)  # a term's postings of block b are start[b] to start[b + 1]
+        self.start[:, 0] = self.first[:-1]
+        self.start[:, 1:] = self.first[:-1, None] + np.cumsum(size, axis=1)
+        self.doc = self.doc.astype(np.int64)
+
+    def __getstate__(self) -> dict:
+        return {"n": self.n, "block": self.block, "n_terms": self.n_terms, "doc": self.doc.astype(np.int32), "weight": self.weight, "first": self.first}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._tables()
+
+    def _add(self, score: np.ndarray, start: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> None:
+        """Adds the cosines of all examples of some blocks."""
+        for run in np.split(blocks, np.flatnonzero(np.diff(blocks) > 1) + 1):
+            lo, hi = start[:, run[0]], start[:, run[-1] + 1]
+            size = hi - lo
+            ends = np.cumsum(size)
+            at = np.repeat(lo - ends + size, size)
+            at += np.arange(len(at))
+            weight = self.weight[at]
+            weight *= np.repeat(w, size)
+            base, top = run[0] * self.block, min(self.n, (run[-1] + 1) * self.block)
+            score[base:top] = np.bincount(self.doc[at] - base, weight, top - base)
 
     def search(self, at: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, ties to the earlier one, and their cosines; never ``but``."""
-        if not len(at):
+        if not len(at) or not self.n:
             return np.empty(0, np.int64), np.empty(0)
-        bound = w @ self.most[at]
-        best_doc, best = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1] - 1e-12:
-                break
-            score = np.zeros(self.block)
-            for t, x in zip(at * self.blocks + b, w, strict=True):
-                lo, hi = self.start[t], self.start[t + 1]
-                score[self.doc[lo:hi] - b * self.block] += x * self.weight[lo:hi]
-            if 0 <= but - b * self.block < self.block:
-                score[but - b * self.block] = 0
-            found = np.flatnonzero(score > 0)
-            best_doc, best = np.concatenate((best_doc, found + b * self.block)), np.concatenate((best, score[found]))
-            order = np.lexsort((best_doc, -best))[:k]
-            best_doc, best = best_doc[order], best[order]
-        return best_doc, best
+        most, start, score = self.most[at], self.start[at], np.zeros(self.n)
+        bound = np.add.reduce(most * w[:, None], axis=0)
+        wave = np.sort(np.argsort(-bound, kind="stable")[: -(-k // self.block)])
+        left = bound > 0
+        left[wave] = False
+        self._add(score, start, w, wave)
+        if 0 <= but:
+            score[but] = 0
+        best = self._best(score, k)
+        if len(best) == k:  # a block that can only tie matters if it begins before the last of the best
+            edge = score[best[-1]]
+            left &= (bound > edge) | (bound == edge) & (np.arange(self.blocks) * self.block < best[-1])
+        if left.any():
+            self._add(score, start, w, np.flatnonzero(left))
+            if 0 <= but:
+                score[but] = 0
+            best = self._best(score, k)
+        return best, score[best]
+
+    @staticmethod
+    def _best(score: np.ndarray, k: int) -> np.ndarray:
+        found = np.flatnonzero(score > 0)
+        if len(found) > k:
+            own = score[found]
+            edge = np.partition(own, len(own) - k)[len(own) - k]
+            above = found[own > edge]
+            found = np.concatenate((above, found[own == edge][: k - len(above)]))
+        return found[np.lexsort((found, -score[found]))]
 
 
 class Model:
     """Examples with their index and the calibration of votes."""
 
     def __init__(self, vocabulary: Vocabulary, examples: list[tuple[int, int, np.ndarray, np.ndarray]], p: Params) -> None:
-        """``examples``: doc_id, label, terms and weights of each."""
+        """``examples``: doc_id, label, terms and weights of each, those that are alike side by side."""
         self.p, self.vocabulary = p, vocabulary
-        bare = [y for _, y, at, _ in examples if not len(at)]
-        self.base = (sum(bare) + 0.5) / (len(bare) + 1)  # the share of label 1 among examples without a known term
-        # Like examples share blocks: by label, then by the term that weighs most.
-        own = sorted((x for x in examples if len(x[2])), key=lambda x: (x[1], int(x[2][np.argmax(x[3])]), x[0]))
-        self.ids, self.labels = np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], float)
-        vectors = [(x[2], x[3]) for x in own]
+        y = np.array([x[1] for x in examples], float)
+        self.base = (y.sum() + 0.5) / (len(y) + 1)
+        self.ids, self.labels = np.array([x[0] for x in examples], np.int64), y
+        vectors = [(x[2], x[3]) for x in examples]
         self.index = BlockMaxIndex(vectors, max(1, len(vocabulary.hashes)), p.block)
         votes = [self.vote(*self.index.search(*v, p.neighbours, but=i)) for i, v in enumerate(vectors)]
-        votes += [self.vote(np.empty(0, np.int64), np.empty(0))] * len(bare)
-        y = np.array([*self.labels, *bare])
         self.slope, self.offset = logistic(np.array(votes), np.where(y == 1, 1, -1)) if len(y) else (1.0, 0.0)
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
@@ -155,42 +204,48 @@ class Model:
     def explain(self, text: str | None) -> tuple[float, list[dict]]:
         near, cosine = self.search(text)
         z = self.slope * self.vote(near, cosine) + self.offset
-        evidence = [{"doc_id": int(self.ids[i]), "cosine": float(c), "label": int(self.labels[i])} for i, c in zip(near[:5], cosine[:5], strict=True)]
+        n = self.p.evidence
+        evidence = [{"doc_id": int(self.ids[i]), "cosine": float(c), "label": int(self.labels[i])} for i, c in zip(near[:n], cosine[:n], strict=True)]
         return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))), evidence
 
 
+def learn(examples: list[tuple[int, int, np.ndarray, np.ndarray]], p: Params = Params()) -> Model:
+    """A model of examples: doc_id, label, distinct terms and their counts."""
+    n = len(examples)
+    hashes, df = np.unique(np.concatenate([x[2] for x in examples] or [np.empty(0, np.uint64)]), return_counts=True)
+    stop = df > max(p.stop * n, p.stop_least)
+    vocabulary, stops = Vocabulary(hashes[~stop], np.log(1 + n / df[~stop])), hashes[stop]
+
+    def kin(x: tuple[int, int, np.ndarray, np.ndarray]) -> tuple:
+        """Like examples share blocks: their commonest stop word tells languages apart; then label and weightiest term."""
+        own = np.flatnonzero(np.isin(x[2], stops, assume_unique=True))
+        common = int(x[2][own[np.argmax(x[3][own])]]) if len(own) else -1
+        at, w = vocabulary.weighed(x[2], x[3])
+        return common, x[1], int(at[np.argmax(w)]) if len(at) else -1, x[0]
+
+    ordered = [(x[0], x[1], *vocabulary.weighed(x[2], x[3])) for x in sorted(examples, key=kin)]
+    return Model(vocabulary, ordered, p)
+
+
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, p: Params = Params(), label: str = "toxic") -> Model:
-    """Terms are counted on the executors; what comes to the driver is bounded by ``sample`` and ``terms``."""
+    """Texts become term counts on the executors; those of ``sample`` documents come to the driver."""
     sample = labelled_sample(docs, labels, label, allowed, p.sample, p.seed)
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.unique(terms(t)).view(np.int64) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "y", "h"])
-
-    found = sample.select("doc_id", "y", "text").mapInArrow(distinct, "doc_id long, y int, h array<long>")
-    size = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("y")).head()
-    n, ones = float(size["n"]), float(size["y"])
-    cells = found.select("y", F.explode("h").alias("h")).groupBy("h").agg(F.sum("y").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("df"))
-    b, c, d = F.col("df") - F.col("a"), F.lit(ones) - F.col("a"), F.lit(n - ones) - (F.col("df") - F.col("a"))
-    chi2 = F.lit(n) * F.pow(F.col("a") * d - b * c, F.lit(2)) / (F.col("df") * (F.lit(n) - F.col("df")) * max(1.0, ones) * max(1.0, n - ones))
-    # Terms of the toxic class only: a text is toxic by what it holds, not by what it lacks.
-    tells = (F.col("a") * n > F.col("df") * ones) & (F.col("df") >= max(p.least, min(p.rate * n, p.enough))) & (F.col("df") < n)
-    picked = cells.where(tells).withColumn("chi2", chi2).where(F.col("chi2") >= p.chi2).orderBy(F.desc("chi2"), "h").limit(p.terms).collect()
-    vocabulary = Vocabulary(np.array([r["h"] for r in picked], np.int64).view(np.uint64), np.array([np.log(1 + n / r["df"]) for r in picked]))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = [vocabulary.vector(t) for t in batch.column(2).to_pylist()]
-            arrays = [pa.array([x[0].tolist() for x in v], pa.list_(pa.int64())), pa.array([x[1].tolist() for x in v], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "y", "at", "w"])
+            found = [counted(t.as_py()) for t in batch.column(2)]
+            arrays = [pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "y", "h", "n"])
 
-    rows = sample.select("doc_id", "y", "text").mapInArrow(vectors, "doc_id long, y int, at array<long>, w array<double>").collect()
-    return Model(vocabulary, [(r["doc_id"], r["y"], np.array(r["at"], np.int64), np.array(r["w"])) for r in rows], p)
+    rows = sample.select("doc_id", "y", "text").mapInArrow(count, "doc_id long, y int, h binary, n binary").collect()
+    return learn([(r["doc_id"], r["y"], np.frombuffer(r["h"], "<u8"), np.frombuffer(r["n"], "<i4")) for r in rows], p)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score and evidence of all documents; a null text scores as the empty one, which has no neighbour."""
+    """doc_id, score and evidence of all documents, repeated rows and rows without doc_id included; other columns go.
+
+    A null text scores as the empty one, which has no neighbour: its score is the prior's.  Texts of any length are read whole.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +263,13 @@ CUT = 0.5
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity scores of all documents, learnt from labels whose crc32 remainder isn't 0."""
+    """Toxicity scores of all documents, learnt from labels whose crc32 remainder isn't 0.
+
+    A row of ``documents`` gives a row: repeated ones score alike, a null text as the empty one, a null doc_id counts as not
+    held out.  Null labels and labels other than 0 and 1 teach nothing; of a doc_id with several labels the largest
+    counts, of one with several texts one by a hash.  Neighbours of equal cosine go by the order of the index.  Without a
+    label every score is one half.  ``evidence`` has the ``Params.evidence`` nearest of the examples that vote.
+    """
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
     held_out = F.coalesce(remainder("doc_id", 5), F.lit(1)) == 0
@@ -216,6 +277,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that score at the cut or above go.  Learns from at most ``Params.sample`` labelled ones of the documents it gets, held-out ones left out."""
-    shared = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0))
-    return keep_if(docs, lambda: shared.value.score, lambda s: s < CUT)
+    """Pipeline stage: documents that score at the cut or above go; all columns of the others stay as they were.
+
+    Learns from at most ``Params.sample`` labelled ones of the documents it gets, held-out ones left out.  Nulls, repeated rows and
+    ties as in ``op1_toxicity``; without a label no document goes.
+    """
+    model = fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    shared = spark.sparkContext.broadcast(model)
+    return keep_if(docs, lambda: shared.value.score, lambda s: s < CUT or not len(shared.value.labels))
