@@ -5,8 +5,8 @@ fingerprint is the sum of these vectors modulo powers of two, so it doesn't depe
 paragraphs, and a paragraph is inserted or deleted by adding or subtracting its vector.
 
 * 16 lanes modulo 2**64 are a BLAKE2b digest of the paragraph: they decide equality.
-* 128 lanes modulo 2**16 are a signed count sketch of the paragraph's distinct word pairs: their inner products
-  estimate how much two multisets have in common.
+* 128 lanes modulo 2**32 are a signed count sketch of the paragraph's distinct word pairs: their inner products
+  estimate how much two multisets have in common.  A lane would have to count 2**31 pairs to wrap, more than a text can hold.
 
 Null texts count as empty.  The empty text has no paragraph and the fingerprint zero.
 """
@@ -25,25 +25,43 @@ from .common import no_null_text, shuffle_width, table
 from .wordhash import SLICE, SPACE, Prefix, bounds, mix
 
 STRONG, SKETCH = 16, 128
-HEX = 2 * (8 * STRONG + 2 * SKETCH)
-#: Words over this many bytes count as several words.
+HEX = 2 * (8 * STRONG + 4 * SKETCH)
+#: Words over this many bytes count as several words, whatever the text.
 LONG_WORD = 48
 
+def _slices(data: bytes) -> Iterator[bytes]:
+    """Pieces of at most SLICE bytes that cut no word, but one over SLICE bytes where it is cut anyway."""
+    at = 0
+    while len(data) - at > SLICE:
+        to = max(data.rfind(s, at, at + SLICE) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) + 1
+        if to <= at:
+            to = at + SLICE - SLICE % LONG_WORD
+        yield data[at:to]
+        at = to
+    yield data[at:]
+
+
 def _word_pairs(data: bytes) -> np.ndarray:
-    """Hashes of the distinct pairs of a word and the word before it, of each paragraph.  ``data``: at most SLICE bytes."""
-    buf = np.frombuffer(data, np.uint8)
-    start, end = bounds(SPACE[buf])
-    if not len(start):
+    """Hashes of the distinct pairs of a word and the word before it, of each paragraph."""
+    words, lines, above = [], [], 0
+    for part in _slices(data):
+        buf = np.frombuffer(part, np.uint8)
+        start, end = bounds(SPACE[buf])
+        breaks = np.flatnonzero(buf == 10)
+        if len(start):
+            if (end - start).max() > LONG_WORD:
+                cuts = [np.arange(s, e, LONG_WORD) for s, e in zip(start, end, strict=True)]
+                ends = [np.minimum(c + LONG_WORD, e) for c, e in zip(cuts, end, strict=True)]
+                start, end = np.concatenate(cuts), np.concatenate(ends)
+            words.append(Prefix(buf).hash(start, end))
+            lines.append(np.searchsorted(breaks, start) + above)
+        above += len(breaks)
+    if not words:
         return np.empty(0, np.uint64)
-    if (end - start).max() > LONG_WORD:
-        cuts = [np.arange(s, e, LONG_WORD) for s, e in zip(start, end, strict=True)]
-        ends = [np.minimum(c + LONG_WORD, e) for c, e in zip(cuts, end, strict=True)]
-        start, end = np.concatenate(cuts), np.concatenate(ends)
-    words = Prefix(buf).hash(start, end)
-    before = np.concatenate((np.zeros(1, np.uint64), words[:-1]))
-    line = np.searchsorted(np.flatnonzero(buf == 10), start)
+    own, line = np.concatenate(words), np.concatenate(lines)
+    before = np.concatenate((np.zeros(1, np.uint64), own[:-1]))
     before[np.concatenate(([True], line[1:] != line[:-1]))] = 0
-    pairs = mix(words + before * np.uint64(3))
+    pairs = mix(own + before * np.uint64(3))
     if line[-1] == line[0]:
         return np.unique(pairs)
     order = np.lexsort((pairs, line))
@@ -51,47 +69,25 @@ def _word_pairs(data: bytes) -> np.ndarray:
     return pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]) | (line[1:] != line[:-1])))]
 
 
-def _slices(data: bytes, lines: list[bytes]) -> Iterator[bytes]:
-    if len(data) <= SLICE:  # a longer paragraph is cut at multiples of it
-        yield data
-        return
-    held: list[bytes] = []
-    size = 0
-    for line in lines:
-        if held and size + len(line) + 1 > SLICE:
-            yield b"\n".join(held)
-            held, size = [], 0
-        if len(line) > SLICE:
-            yield from (line[i : i + SLICE] for i in range(0, len(line), SLICE))
-        else:
-            held.append(line)
-            size += len(line) + 1
-    if held:
-        yield b"\n".join(held)
-
-
 def lanes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The fingerprint of a text as its two groups of lanes."""
     data = (text or "").encode()
-    sketch = np.zeros(SKETCH, np.int64)
-    lines = data.split(b"\n")
     if len(data) == 0:
-        return np.zeros(STRONG, np.uint64), sketch.astype(np.uint16)
-    digests = b"".join(hashlib.blake2b(x, person=p).digest() for x in lines for p in (b"lanes a", b"lanes b"))
+        return np.zeros(STRONG, np.uint64), np.zeros(SKETCH, np.uint32)
+    digests = b"".join(hashlib.blake2b(x, person=p).digest() for x in data.split(b"\n") for p in (b"lanes a", b"lanes b"))
     strong = np.frombuffer(digests, "<u8").reshape(-1, STRONG).sum(axis=0, dtype=np.uint64)
-    for part in _slices(data, lines):
-        h = _word_pairs(part)
-        sketch += np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=2 * SKETCH).reshape(2, SKETCH).astype(np.int64).T @ np.array([1, -1])
-    return strong, (sketch & 0xFFFF).astype(np.uint16)
+    place = (_word_pairs(data) >> np.uint64(56)).astype(np.int64)
+    sketch = np.bincount(place, minlength=2 * SKETCH).reshape(2, SKETCH).astype(np.int64).T @ np.array([1, -1])
+    return strong, (sketch & 0xFFFFFFFF).astype(np.uint32)
 
 
 def to_hex(strong: np.ndarray, sketch: np.ndarray) -> str:
-    return (strong.astype("<u8").tobytes() + sketch.astype("<u2").tobytes()).hex()
+    return (strong.astype("<u8").tobytes() + sketch.astype("<u4").tobytes()).hex()
 
 
 def from_hex(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw[: 8 * STRONG], "<u8"), np.frombuffer(raw[8 * STRONG :], "<u2")
+    return np.frombuffer(raw[: 8 * STRONG], "<u8"), np.frombuffer(raw[8 * STRONG :], "<u4")
 
 
 def _changed(fingerprint: str, paragraphs: Iterable[str], sign: int) -> str:
@@ -121,7 +117,7 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     """0 to 1: the estimated cosine of two multisets of word pairs; 1 for equal fingerprints."""
     if np.array_equal(a[0], b[0]):
         return 1.0
-    x, y = a[1].view(np.int16).astype(np.float64), b[1].view(np.int16).astype(np.float64)
+    x, y = a[1].view(np.int32).astype(np.float64), b[1].view(np.int32).astype(np.float64)
     scale = (x @ x) * (y @ y)
     return float(min(1.0, max(0.0, (x @ y) / np.sqrt(scale)))) if scale > 0 else 0.0
 
@@ -162,7 +158,7 @@ def with_next(docs: DataFrame, key: str) -> DataFrame:
         docs.withColumn("bucket", bucket)
         .withColumn("__to", F.explode(F.when(F.col(key) == top, F.array(own, lent)).otherwise(F.array(own))))
         .select("__to.bucket", "__to.helper", key, "text")
-        .repartition(width, "bucket")
+        .repartitionById(width, "bucket")
         .sortWithinPartitions("bucket", "helper", F.col(key).desc(), "text")
     )
 
