@@ -177,15 +177,17 @@ def format_records(records: DataFrame, json_col: str) -> DataFrame:
     return kept.mapInArrow(convert, schema)
 
 
-def conversation_records(rows: DataFrame) -> DataFrame:
+def conversation_records(rows: DataFrame, *apart: str) -> DataFrame:
     """Rows (conv_id, turn, role, text) as one JSON record a conversation, in the layout that its turns fit.
 
+    A conversation is the rows of one conv_id (null is one like any other) that agree in the columns ``apart``, too; it is one record,
+    however many turns it has.
     One question and its answer become a prompt record, a conversation that opens with the system and has one
     exchange a system prompt record, all others a list of messages.  Turns of equal number stand in order of role and
     text; null turns first.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn"), role.alias("role"), text.alias("content")))).alias("t"))
+    grouped = rows.groupBy("conv_id", *apart).agg(F.sort_array(F.collect_list(F.struct(F.col("turn"), role.alias("role"), text.alias("content")))).alias("t"))
     roles = F.transform("t", lambda x: x["role"])
     say = lambda i: F.get("t", F.lit(i))["content"]
     asks = F.to_json(F.struct(say(0).alias("prompt"), say(1).alias("response")))
@@ -214,11 +216,17 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -1, formatted and read back."""
+    """All conversations and conversation -1, formatted and read back.
+
+    Null roles and texts count as empty, rows without conv_id are one conversation, repeated rows are turns like any other, and turns of
+    equal number go by role and text, null numbers first.  A table that has a conversation -1 of its own keeps it: there are then two
+    rows of that number.  Other columns aren't read.
+    """
     said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
-    formatted = format_records(conversation_records(rows.unionByName(extra)), "record")
+    both = rows.withColumn("added", F.lit(False)).unionByName(extra.withColumn("added", F.lit(True)))
+    formatted = format_records(conversation_records(both, "added"), "record")
     return formatted.select("conv_id", "formatted", "loss_spans", "layout").mapInArrow(_digest, _DIGEST)
 
 
@@ -230,13 +238,13 @@ def sql() -> str:
     order = "ORDER BY turn NULLS FIRST, role, text"
     return f"""
 WITH said AS (
-  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text, FALSE AS added FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]', TRUE), (-1, 1, 'assistant', '</s>[INST] ok [/INST]', TRUE))
 ), talks AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' {order}) AS turns,
     coalesce(string_agg(text, '' {order}) FILTER (WHERE role = 'assistant'), '') AS loss, list(role {order}) AS roles,
     CAST(sum({len(OPEN) + len(CLOSE) + 2} + {escaped('role')} + {newlines} + {escaped('text')}) AS BIGINT) AS formatted_chars
-  FROM said GROUP BY conv_id
+  FROM said GROUP BY conv_id, added
 )
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
   CASE WHEN roles = ['user', 'assistant'] THEN 'response' WHEN roles = ['system', 'user', 'assistant'] THEN 'system prompt' ELSE 'messages' END AS layout

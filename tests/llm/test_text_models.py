@@ -4,12 +4,15 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from indexframe.llm import bytebpe, chat, quality, queries, tokenfile, toxicity
+from indexframe.llm import bytebpe, chat, oracle_sql, quality, queries, tokenfile, toxicity
+
+from .conftest import write_tables
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -228,3 +231,14 @@ def test_sample_is_drawn_among_the_documents_at_hand(spark):
     labels = spark.createDataFrame([(i, i % 4 // 2) for i in range(200)] + [(None, 1)], "doc_id long, quality int")
     got = quality.labelled_sample(docs, labels, "quality", labels.doc_id >= 0, 60, 1).collect()
     assert len({r.doc_id for r in got}) == len(got) == 60 and all(r.text == f"text {r.doc_id}" and r.y == r.doc_id % 4 // 2 for r in got)
+
+
+def test_conversation_of_the_added_number_stays_apart(spark, tmp_path):
+    path = write_tables(spark, tmp_path, [], conversations=[(-1, 0, "user", "own"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (3, 0, "user", "x" * 400_000)])
+    rows = queries()["op8_chat"](spark, path).collect()
+    assert sorted((r.conv_id if r.conv_id is not None else 0, r.n_turns, r.loss_chars) for r in rows) == [(-1, 1, 0), (-1, 2, 21), (0, 2, 1), (3, 1, 0)]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{path}/conversations.parquet/*.parquet'")
+    found = con.sql(oracle_sql()["op8_chat"])
+    names = found.columns
+    assert sorted((tuple(r[c] for c in names) for r in rows), key=repr) == sorted(found.fetchall(), key=repr)
