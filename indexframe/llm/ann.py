@@ -4,8 +4,10 @@ Product quantisation with four-bit codes, trained score-aware: the part of a vec
 parallel to the vector changes its inner products with the queries that matter (those it scores high with), so
 the loss weighs it ``eta`` times the orthogonal part.  Codes are chosen by coordinate descent over the
 subspaces and codebooks by solving the weighted least squares.  A query turns the codebooks into tables,
-a scan adds up one table entry a subspace for every vector of a block, and the best of each block are
-scored exactly; the exact scores of all blocks are merged.
+a scan adds up one table entry a subspace for every vector of a block; the best of all blocks are merged, and those that are left are
+scored exactly on the original vectors.
+
+Blocks of codes and blocks of queries meet; original vectors don't: they are read once, where the last candidates are scored.
 """
 
 from __future__ import annotations
@@ -24,32 +26,26 @@ from .common import checkpoint, shuffle_width, table
 @dataclass(frozen=True)
 class Params:
     """``sample``: vectors that fit the codebooks, at most (every row is indexed).  ``sub``: dimensions of a subspace.
-    ``threshold``: cosine from which a query matters, which gives eta.  ``rerank``: exact scores a query and block.
-    ``block``: vectors of a block; ``queries``: queries of a block."""
+    ``threshold``: cosine from which a query matters, which gives eta.  ``rerank``: candidates of a query that are scored exactly.
+    ``block``: vectors of a block, at most, and ``block_mb``: its vectors' megabytes, about; ``queries``: queries of a block."""
 
     sample: int = 4096
     sub: int = 2
     threshold: float = 0.2
     rounds: int = 6
-    rerank: int = 120
-    block: int = 4096
-    queries: int = 512
+    rerank: int = 400
+    block: int = 8192
+    block_mb: int = 64
+    queries: int = 1024
     seed: int = 7
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """id and v of the rows that take part: a key and a vector that is finite throughout and not zero.
-
-    Vectors of another length than most (ties: the shorter) take no part either, as they have no inner product with them.
-    """
-    v = F.col(vector).cast("array<float>")
-    # Double sees a value that single precision would make infinite.
+    """id and v (double) of the rows that take part: a key and a vector that is finite throughout and not zero."""
     fine = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     some = F.exists(F.col(vector), lambda x: x != 0)
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(fine & some)
-    rows = rows.select(F.col(key).cast("long").alias("id"), v.alias("v"))
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").head()
-    return rows.where(F.size("v") == (length[0] if length else 0))
+    return rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
 
 def eta_of(threshold: float, dims: int) -> float:
@@ -106,14 +102,9 @@ def fit(x: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
     return books, eta
 
 
-def _padded(flat: np.ndarray, n: int, sub: int) -> np.ndarray:
-    x = flat.reshape(n, -1).astype(np.float64)
-    return np.pad(x, ((0, 0), (0, -x.shape[1] % sub)))
-
-
 def _rows(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    """Vectors of equal length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def _best(score: np.ndarray, k: int) -> np.ndarray:
@@ -125,76 +116,137 @@ def _best(score: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate((above, np.flatnonzero((score == edge) & (score > -np.inf))[: k - len(above)]))
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Runs of rows of equal first column, in sorted batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and held[0].column(0)[0].as_py() != keys[lo]:
+                yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held).combine_chunks()
+
+
 def top_k(vectors: DataFrame, is_query: str, k: int, p: Params = Params()) -> DataFrame:
     """The k nearest of every query among all other vectors: query_id, rank, vec_id, score.
 
-    ``vectors``: id (unique), v, as from ``usable``; ``is_query``: SQL that says which rows are queries.  Nearness is
-    the inner product; ties go to the smaller id.  Queries and vectors meet in blocks: a block of vectors is
-    scanned for a block of queries, and the best ``rerank`` of it are scored exactly in double precision, whose
-    first k are kept.  Repeated ids are candidates like any other row, but never their own id's.
+    ``vectors``: id, v, as from ``usable``; ``is_query``: SQL that says which rows are queries.  Nearness is
+    the inner product in double precision; ties go to the smaller id.  Only vectors of equal length have one, so each length is
+    searched by itself.  Repeated ids are candidates like any other row, but never their own id's; of the rows of a repeated
+    query id the one with the least vector asks.  No rows give no rows.
     """
+    lengths = sorted(r[0] for r in vectors.select(F.size("v")).distinct().collect())  # one, in a sound table
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for i, n in enumerate(lengths):
+        one = _top_k(vectors if len(lengths) == 1 else vectors.where(F.size("v") == n), is_query, k, n, p)
+        found = found.unionByName(one) if i else one
+    return found
+
+
+def _top_k(vectors: DataFrame, is_query: str, k: int, dims: int, p: Params) -> DataFrame:
     spark = vectors.sparkSession
-    sample = vectors.orderBy(F.xxhash64(F.lit(p.seed), "id"), "id").limit(p.sample).select("v").toPandas()["v"]
-    empty = "query_id long, rank int, vec_id long, score double"
-    if not len(sample):
-        return spark.createDataFrame([], empty)
-    x = np.stack([np.asarray(v, np.float64) for v in sample])
-    books, eta = fit(np.pad(x, ((0, 0), (0, -x.shape[1] % p.sub))), p)
-    n = vectors.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.expr(is_query), 1)).alias("q")).head()
-    blocks, asks = max(1, -(-n["n"] // p.block)), max(1, -(-n["q"] // p.queries))
-    packed = lambda rows, at: rows.groupBy(at).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
-    # Hashed into blocks of about equal size; a block's bytes are bounded, whatever the table.
-    pad = lambda m: np.pad(m, ((0, 0), (0, -m.shape[1] % p.sub)))
+    pad = lambda m: np.pad(m, ((0, 0), (0, -dims % p.sub)))
+    sample = vectors.orderBy(F.xxhash64(F.lit(p.seed), "id"), "id", "v").limit(p.sample).select("v").toArrow().column(0).combine_chunks()
+    x = pad(_rows(sample))
+    scale = np.abs(x).max()
+    books, eta = fit(x / scale, p)  # tiny and huge numbers keep their squares
+    asking = vectors.where(is_query).groupBy(F.col("id").alias("query_id")).agg(F.min("v").alias("q"))
+    asked = checkpoint(asking)
+    n, q = vectors.count(), asked.count()
+    per_block = max(64, min(p.block, (p.block_mb << 20) // (8 * dims)))
+    blocks, asks = max(1, -(-n // per_block)), max(1, -(-q // p.queries))
+    # Of a query's best candidates a block, which is a random part, holds about an equal share; six deviations are allowed.
+    wanted = max(p.rerank, 2 * k)
+    share = int(min(wanted, wanted / blocks + 6 * (wanted / blocks) ** 0.5 + 8))
+    dealt = vectors.withColumn("b", F.pmod(F.xxhash64(F.lit(1), "id", "v"), F.lit(blocks)))
+    width = shuffle_width(spark)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = []
-            for row in range(batch.num_rows):
-                found = _encode(pad(_rows(batch.column(1)[row].values.field(1)).astype(np.float64)), books, eta)
-                codes.append(np.pad(found, ((0, 0), (0, found.shape[1] % 2))))
+        for b, rows in _grouped(batches):
+            v, codes = pad(_rows(rows.column(2).combine_chunks())) / scale, []
+            for at in range(0, len(v), 2048):
+                codes.append(_encode(v[at : at + 2048], books, eta))
+            c = np.concatenate(codes)
+            c = np.pad(c, ((0, 0), (0, c.shape[1] % 2)))
             # Two four-bit codes a byte; a byte addresses one table of 256 entries.
-            packs = [np.ascontiguousarray((c[:, ::2] << 4 | c[:, 1::2]).T).tobytes() for c in codes]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packs, pa.binary())], ["b", "rows", "codes"])
-
-    blocked = packed(vectors.withColumn("b", F.pmod(F.xxhash64(F.lit(1), "id", "v"), F.lit(blocks))), "b")
-    held = checkpoint(blocked.mapInArrow(index, "b long, rows array<struct<id:long,v:array<float>>>, codes binary"))
-    asked = checkpoint(packed(vectors.where(is_query).withColumn("a", F.pmod(F.xxhash64(F.lit(2), "id", "v"), F.lit(asks))), "a"))
-    width = max(shuffle_width(spark), blocks)
-    meets = held.withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asks - 1).cast("long")))).select("a", "b", "codes", F.col("rows").alias("held"))
-    meets = meets.join(asked.select("a", F.col("rows").alias("asked")), "a").repartition(width, "a", "b")
+            arrays = [pa.array([b], pa.int64()), pa.array([rows.column(1).to_numpy().tobytes()], pa.binary()), pa.array([np.ascontiguousarray((c[:, ::2] << 4 | c[:, 1::2]).T).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["b", "ids", "codes"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, rows in _grouped(batches):
+            arrays = [pa.array([a], pa.int64()), pa.array([rows.column(1).to_numpy().tobytes()], pa.binary()), pa.array([_rows(rows.column(2).combine_chunks()).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["a", "qids", "qs"])
+
+    held = dealt.select("b", "id", "v").repartition(width, "b").sortWithinPartitions("b", "id", "v")
+    held = checkpoint(held.mapInArrow(index, "b long, ids binary, codes binary"))
+    packed = asked.select(F.pmod(F.xxhash64(F.lit(2), "query_id"), F.lit(asks)).alias("a"), "query_id", "q").repartition(width, "a").sortWithinPartitions("a", "query_id")
+    packed = checkpoint(packed.mapInArrow(pack, "a long, qids binary, qs binary"))
+    every = lambda name, size: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))).alias(name)
+    pairs = max(width, min(blocks * asks, 8192))
+    left = held.select("b", "ids", "codes", every("a", asks)).repartition(pairs, "a", "b")
+    right = packed.select(F.col("a").alias("a2"), "qids", "qs", every("b2", blocks)).repartition(pairs, "a2", "b2")
+    meets = left.join(right.hint("merge"), (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))).select("b", "ids", "codes", "qids", "qs")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = books.shape[0]
         for batch in batches:
-            for row in range(batch.num_rows):
-                own, ask = (batch.column(c)[row].values for c in (0, 1))
-                ids, qids = own.field(0).to_numpy(), ask.field(0).to_numpy()
-                x, q = _rows(own.field(1)).astype(np.float64), _rows(ask.field(1)).astype(np.float64)
-                s = books.shape[0]
-                both = np.frombuffer(batch.column(2)[row].as_py(), np.uint8).reshape((s + 1) // 2, len(ids))
-                qp = pad(q).reshape(len(q), s, p.sub)
-                out = []
+            for b, *packs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, qids = np.frombuffer(packs[0], np.int64), np.frombuffer(packs[2], np.int64)
+                both = np.frombuffer(packs[1], np.uint8).reshape((s + 1) // 2, len(ids)).astype(np.intp)
+                qp = pad(np.frombuffer(packs[3], np.float64).reshape(len(qids), dims)).reshape(len(qids), s, p.sub)
+                top = np.abs(qp).max(axis=(1, 2))
+                part, score, out = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32), []
                 for i, qid in enumerate(qids):
-                    lut = np.einsum("skd,sd->sk", books, qp[i]).astype(np.float32)
+                    lut = np.einsum("skd,sd->sk", books, qp[i] / top[i]).astype(np.float32)
                     if s % 2:
                         lut = np.pad(lut, ((0, 1), (0, 0)))
                     lut = (lut[::2, :, None] + lut[1::2, None, :]).reshape(len(both), 256)
-                    score = lut[0][both[0]]
-                    for j in range(1, len(both)):
-                        score += lut[j][both[j]]
-                    score[ids == qid] = -np.inf
-                    near = _best(score, max(p.rerank, k))
-                    exact = x[near] @ q[i]
-                    order = np.lexsort((ids[near], -exact))[:k]
-                    out.append((np.full(len(order), qid), ids[near][order], exact[order]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
-
-    found = meets.select("held", "asked", "codes").mapInArrow(scan, "query_id long, vec_id long, score double")
+                    score[:] = 0
+                    for row, codes in zip(lut, both, strict=True):
+                        np.take(row, codes, out=part, mode="clip")
+                        score += part
+                    lo, hi = np.searchsorted(ids, (qid, qid + 1))
+                    score[lo:hi] = -np.inf
+                    near = _best(score, share)
+                    out.append((np.full(len(near), qid), np.full(len(near), b), near, score[near], ids[near]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "b", "at", "near", "id"])
+
+    found = meets.mapInArrow(scan, "query_id long, b long, at long, near float, id long")
+    near = Window.partitionBy("query_id").orderBy(F.desc("near"), "id", "b", "at")  # copies have equal codes, so they go by id
+    kept = found.withColumn("__n", F.row_number().over(near)).where(F.col("__n") <= wanted)
+    kept = kept.groupBy("b", "query_id").agg(F.collect_list("at").alias("at"))
+    asks_of = kept.join(asked, "query_id").select("b", F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.col("q").alias("v"), "at")
+    both = dealt.select("b", F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("array<long>").alias("at")).unionByName(asks_of)
+
+    def rescore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _grouped(batches):
+            kind = rows.column(1).to_numpy()
+            cut = int(np.searchsorted(kind, 1))
+            ids, v = rows.column(2).to_numpy(), _rows(rows.column(3).combine_chunks())
+            out = []
+            for i in range(cut, len(ids)):
+                at = np.array(rows.column(4)[i].as_py(), np.int64)
+                out.append((np.full(len(at), ids[i]), ids[at], (v[at] * v[i]).sum(axis=1)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+    # A block's vectors, in the order its codes have, and then the queries that have candidates in it.
+    exact = both.repartition(max(width, min(blocks, 8192)), "b").sortWithinPartitions("b", "kind", "id", "v").mapInArrow(rescore, "query_id long, vec_id long, score double")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return exact.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 nearest by inner product of every vector whose vec_id is divisible by 20, among all others."""
+    """The 20 nearest by inner product of every vector whose vec_id is divisible by 20, among all others.
+
+    Rows without vec_id, and vectors that are null, zero or hold null or non-finite numbers, take no part.  Vectors of several
+    lengths, repeated ids, ties and empty tables as in ``top_k``; other columns aren't read.
+    """
     rows = usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return top_k(rows, "id % 20 = 0", 20)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -155,3 +156,118 @@ def test_neighbour_ties_and_copies(spark):
     rows = ann.usable(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), "vec_id", "embedding")
     got = ann.top_k(rows, "id = 1", 5, ann.Params(block=64, rerank=20)).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [2, 4, 5, 7, 8]
+
+
+# --- fingerprints against plain sums and exact cosines ------------------------------------------
+
+
+def plain_lanes(text):
+    """The BLAKE2b sums, by Python's own integers."""
+    sums = [0] * 16
+    for line in text.split("\n") if text else []:
+        raw = b"".join(hashlib.blake2b(line.encode(), person=p).digest() for p in (b"lanes a", b"lanes b"))
+        sums = [(s + int.from_bytes(raw[8 * i : 8 * i + 8], "little")) % 2**64 for i, s in enumerate(sums)]
+    return b"".join(s.to_bytes(8, "little") for s in sums).hex()
+
+
+def pair_cosine(a, b):
+    """The cosine of the multisets of the distinct word pairs of each line; words are pieces of 48 bytes at most."""
+
+    def counts(text):
+        found = Counter()
+        for line in text.split("\n"):
+            words = [w.encode()[i : i + 48] for w in re.findall(r"[^\x20\x09-\x0D]+", line) for i in range(0, len(w.encode()), 48)]
+            found.update({(words[i - 1] if i else None, w) for i, w in enumerate(words)})
+        return found
+
+    x, y = counts(a), counts(b)
+    scale = sum(v * v for v in x.values()) * sum(v * v for v in y.values())
+    return sum(v * y[k] for k, v in x.items()) / scale**0.5 if scale else 0.0
+
+
+def test_fingerprints_against_plain_sums_and_cosines(spark):
+    docs = sorted(((r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()), reverse=True)
+    got = {r.doc_id: r for r in queries()["op2_fingerprint"](spark, SMALL).collect()}
+    off = []
+    for k, (i, text) in enumerate(docs):
+        after, n = docs[(k + 1) % len(docs)][1], len(text)
+        edited = text[: n - n // 3] + after[: n // 3]
+        assert got[i].fingerprint[:256] == plain_lanes(text) and got[i].edited_fingerprint[:256] == plain_lanes(edited)
+        off += [abs(got[i].near_edited - pair_cosine(text, edited)), abs(got[i].near_next - pair_cosine(text, after))]
+    assert np.quantile(off, 0.98) < 0.3 and np.mean(off) < 0.08  # 128 lanes have a deviation of some 0.09; of texts of one or two words a collision is more
+
+
+@pytest.mark.parametrize("times", [400, 40_000])
+def test_likeness_of_lines_repeated_many_times(times):
+    text, after = "a b\n" * times, "quite other words\n" * times
+    edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+    got = fingerprint.likeness(fingerprint.lanes(text), fingerprint.lanes(edited))
+    assert abs(got - pair_cosine(text, edited)) < 0.1
+
+
+def test_long_paragraphs_lose_no_pair(monkeypatch):
+    text = " ".join(f"w{i}" for i in range(60_000)) + " " + "x" * 700_000 + " tail\nnext line"
+    whole = fingerprint.lanes(text)
+    monkeypatch.setattr(fingerprint, "SLICE", 1 << 12)
+    cut = fingerprint.lanes(text)
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+    assert len(fingerprint._word_pairs(" ".join(map(str, range(200_000))).encode())) == 200_000
+
+
+# --- nearest neighbours of odd and clustered vectors --------------------------------------------
+
+
+def exact_neighbours(ids, x, q, k):
+    score = x @ x[ids == q][0]
+    return [i for i in ids[np.lexsort((ids, -score))] if i != q][:k]
+
+
+def recall_of(spark, rows, p, k=20):
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    got = {}
+    for r in ann.top_k(ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding"), "id % 20 = 0", k, p).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return np.mean([len(set(got[q]) & set(exact_neighbours(ids, x, q, k))) / k for q in got])
+
+
+@pytest.mark.parametrize("kind", ["even", "clustered", "nearly equal"])
+def test_recall_of_blocks_of_production_density(spark, kind):
+    """Three blocks and the production parameters; an exact search would score all 6000 rows, this one ``rerank`` of them."""
+    rng = np.random.default_rng(8)
+    if kind == "even":
+        x = rng.normal(size=(6000, 32))
+    elif kind == "clustered":
+        x = rng.normal(size=(60, 32))[rng.integers(0, 60, 6000)] + 0.3 * rng.normal(size=(6000, 32))
+    else:
+        x = rng.normal(size=32) + 0.05 * rng.normal(size=(6000, 32))
+    rows = [(i, [float(t) for t in v]) for i, v in enumerate(x)]
+    assert recall_of(spark, rows, ann.Params(block=2000)) >= 0.9
+
+
+def test_vectors_of_several_lengths_meet_their_own(spark, tmp_path):
+    vectors = [(i, [1.0 + i, 2.0], 0) for i in range(60)] + [(i, [float(i % 7), 1.0, float(i % 5)], 0) for i in range(60, 100)]
+    path = write_tables(spark, tmp_path, [], embeddings=vectors)
+    got = {}
+    for r in queries()["op7_ann"](spark, path).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == {0, 20, 40, 60, 80} and all(len(v) == 20 for v in got.values())
+    assert all(max(v) < 60 for q, v in got.items() if q < 60) and all(min(v) >= 60 for q, v in got.items() if q >= 60)
+
+
+def test_scores_are_those_of_double_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(t) for t in rng.normal(size=5) * (1e-60 if i % 3 == 0 else 1)]) for i in range(50)]
+    got = ann.top_k(ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding"), "id % 10 = 0", 49).collect()
+    x = dict(rows)
+    assert len(got) == 5 * 49
+    for r in got:
+        assert r.score == pytest.approx(float(np.dot(x[r.query_id], x[r.vec_id])), rel=1e-12, abs=0)
+
+
+def test_repeated_ids_and_queries(spark):
+    vectors = [(i, [float(i), 1.0]) for i in range(30)] + [(5, [50.0, 1.0]), (5, [50.0, 1.0]), (10, [0.0, 1.0])]
+    rows = ann.usable(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    got = ann.top_k(rows, "id = 10 or id = 5", 3).collect()
+    ten = [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 10]
+    assert ten == [(1, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0)]  # the lesser vector of id 10 asks
+    assert all(r.vec_id != 5 for r in got if r.query_id == 5)
