@@ -12,6 +12,7 @@ without itself) makes scores of them.  The nearest neighbours are the evidence.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -115,7 +116,7 @@ class BlockMaxIndex:
         most[cell[at]] = np.maximum.reduceat(self.weight, at) if len(at) else 0.0
         self.most = most.reshape(self.n_terms, self.blocks)
         size = np.bincount(cell, minlength=len(most)).reshape(self.n_terms, self.blocks)
-        self.start = np.empty((self.n_terms, self.blocks + 1), np.int64)  # a term's postings of block b are start[b] to start[b + 1]
+        self.start = np.empty((self.n_terms, self.blocks + 1), np.int32)  # a term's postings of block b are start[b] to start[b + 1]
         self.start[:, 0] = self.first[:-1]
         self.start[:, 1:] = self.first[:-1, None] + np.cumsum(size, axis=1)
         self.doc = self.doc.astype(np.int64)
@@ -129,22 +130,20 @@ class BlockMaxIndex:
 
     def _add(self, score: np.ndarray, start: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> None:
         """Adds the cosines of all examples of some blocks."""
-        for run in np.split(blocks, np.flatnonzero(np.diff(blocks) > 1) + 1):
-            lo, hi = start[:, run[0]], start[:, run[-1] + 1]
-            size = hi - lo
-            ends = np.cumsum(size)
-            at = np.repeat(lo - ends + size, size)
-            at += np.arange(len(at))
-            weight = self.weight[at]
-            weight *= np.repeat(w, size)
-            base, top = run[0] * self.block, min(self.n, (run[-1] + 1) * self.block)
-            score[base:top] = np.bincount(self.doc[at] - base, weight, top - base)
+        gap = np.flatnonzero(np.diff(blocks) > 1)
+        lo = start[:, blocks[np.append(0, gap + 1)]].ravel()  # by term, then by run of neighbouring blocks
+        size = start[:, blocks[np.append(gap, len(blocks) - 1)] + 1].ravel() - lo
+        at = np.repeat(lo - np.cumsum(size) + size, size)
+        at += np.arange(len(at))
+        weight = self.weight[at]
+        weight *= np.repeat(np.repeat(w, len(gap) + 1), size)
+        score += np.bincount(self.doc[at], weight, self.n)
 
     def search(self, at: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, ties to the earlier one, and their cosines; never ``but``."""
         if not len(at) or not self.n:
             return np.empty(0, np.int64), np.empty(0)
-        most, start, score = self.most[at], self.start[at], np.zeros(self.n)
+        most, start, score = self.most[at], self.start[at].astype(np.int64), np.zeros(self.n)
         bound = np.add.reduce(most * w[:, None], axis=0)
         wave = np.sort(np.argsort(-bound, kind="stable")[: -(-k // self.block)])
         left = bound > 0
@@ -227,8 +226,24 @@ def learn(examples: list[tuple[int, int, np.ndarray, np.ndarray]], p: Params = P
     return Model(vocabulary, ordered, p)
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, p: Params = Params(), label: str = "toxic") -> Model:
-    """Texts become term counts on the executors; those of ``sample`` documents come to the driver."""
+class Packed:
+    """A model as bytes, which a process opens when it first needs it; all that the driver holds of it."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self._model = data, None
+
+    @property
+    def model(self) -> Model:
+        if self._model is None:
+            self._model, self.data = pickle.loads(self.data), b""
+        return self._model
+
+    def __reduce__(self) -> tuple:
+        return Packed, (self.data or pickle.dumps(self._model),)
+
+
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, p: Params = Params(), label: str = "toxic") -> Packed:
+    """Texts become term counts on the executors; those of the sample, which is bounded, meet in one task, which learns the model."""
     sample = labelled_sample(docs, labels, label, allowed, p.sample, p.seed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,11 +252,16 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, p: Params = Params(
             arrays = [pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "y", "h", "n"])
 
-    rows = sample.select("doc_id", "y", "text").mapInArrow(count, "doc_id long, y int, h binary, n binary").collect()
-    return learn([(r["doc_id"], r["y"], np.frombuffer(r["h"], "<u8"), np.frombuffer(r["n"], "<i4")) for r in rows], p)
+    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        examples = [(i, y, np.frombuffer(h, "<u8"), np.frombuffer(n, "<i4")) for i, y, h, n in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(examples, p))], pa.binary())], ["model"])
+
+    counts = sample.select("doc_id", "y", "text").mapInArrow(count, "doc_id long, y int, h binary, n binary")
+    return Packed(bytes(counts.repartition(1).mapInArrow(teach, "model binary").head()[0]))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
+def scored(docs: DataFrame, model: Packed) -> DataFrame:
     """doc_id, score and evidence of all documents, repeated rows and rows without doc_id included; other columns go.
 
     A null text scores as the empty one, which has no neighbour: its score is the prior's.  Texts of any length are read whole.
@@ -249,7 +269,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = shared.value.model
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
             found = [m.explain(t.as_py()) for t in batch.column(1)]
@@ -284,4 +304,4 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     model = fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
     shared = spark.sparkContext.broadcast(model)
-    return keep_if(docs, lambda: shared.value.score, lambda s: s < CUT or not len(shared.value.labels))
+    return keep_if(docs, lambda: shared.value.model.score, lambda s: s < CUT or not len(shared.value.model.labels))

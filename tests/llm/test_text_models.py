@@ -222,7 +222,7 @@ def test_rare_toxic_word_counts_in_a_full_sample(spark):
     rows = [(i, 1 if i < 500 else 0, "rareword text" if i < 8 else "insult text" if i < 500 else "plain text") for i in range(5000)]
     docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, y, _ in rows], "doc_id long, toxic int")
-    m = toxicity.fit(docs, labels, labels.doc_id >= 0)
+    m = toxicity.fit(docs, labels, labels.doc_id >= 0).model
     assert len(m.search("a rareword here")[0]) and m.score("a rareword here") > 0.5 > m.score("a plain text")
 
 

@@ -94,9 +94,10 @@ def test_repeated_documents_teach_once(spark, tmp_path):
     rows = [(1, "awful idiot", "en", "a", 11)] * 500 + [(1, "another text of one id", "en", "a", 22)] + [(i, f"fine words {i}", "en", "a", 12) for i in range(2, 40)]
     path = write_tables(spark, tmp_path, rows, [(i, 1, int(i == 1)) for i in range(1, 40)])
     docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
-    m = toxicity.fit(docs, labels, labels.doc_id > 0)
+    packed = toxicity.fit(docs, labels, labels.doc_id > 0)
+    assert toxicity.scored(docs, packed).count() == len(rows)
+    m = packed.model
     assert sorted(m.ids.tolist()) == list(range(1, 40)) and m.labels.sum() == 1
-    assert toxicity.scored(docs, m).count() == len(rows)
 
 
 def test_very_long_and_empty_texts():
