@@ -73,23 +73,36 @@ class Vocabulary:
     def __init__(self, hashes: np.ndarray, idf: np.ndarray) -> None:
         order = np.argsort(hashes)
         self.hashes, self.idf = hashes[order], idf[order]
+        self._gate()
+
+    def _gate(self) -> None:
         self.gate = np.zeros(1 << 22, bool)
         self.gate[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
 
+    def __getstate__(self) -> tuple:
+        return self.hashes, self.idf
+
+    def __setstate__(self, state: tuple) -> None:
+        self.hashes, self.idf = state
+        self._gate()
+
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms (ascending) and TF-IDF weights of length one; none of either for a text without known terms."""
         h = terms(text)
         return self.weighed(*np.unique(h[self.gate[(h >> np.uint64(42)).astype(np.int64)]], return_counts=True))
 
+    def known(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct hashes and their counts the known ones, as terms and counts."""
+        if not len(h) or not len(self.hashes):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        known = self.hashes[at] == h
+        return at[known], n[known].astype(np.int64)
+
     def weighed(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(h) and len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            known = self.hashes[at] == h
-            at, n = at[known], n[known]
-            if len(at):
-                w = (1 + np.log(n)) * self.idf[at]
-                return at, w / np.linalg.norm(w)
-        return np.empty(0, np.int64), np.empty(0)
+        at, n = self.known(h, n)
+        w = (1 + np.log(n)) * self.idf[at]
+        return at, w / np.linalg.norm(w) if len(at) else w
 
 
 class BlockMaxIndex:
@@ -104,11 +117,18 @@ class BlockMaxIndex:
         weight = np.concatenate([v[1] for v in vectors] or [np.empty(0)])
         doc = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[0]) for v in vectors])
         order = np.argsort(term, kind="stable")  # within a term by document
-        self.doc, self.weight = doc[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(n_terms + 1))
-        self._tables()
-
-    def _tables(self) -> None:
+        self._tables(doc[order], weight[order], np.searchsorted(term[order], np.arange(n_terms + 1)))
+
+    @classmethod
+    def of_postings(cls, n: int, block: int, doc: np.ndarray, weight: np.ndarray, first: np.ndarray) -> BlockMaxIndex:
+        """From postings by term and document; those of term t are first[t] to first[t + 1]."""
+        made = cls.__new__(cls)
+        made.n, made.block, made.n_terms = n, block, len(first) - 1
+        made._tables(doc, weight, first)
+        return made
+
+    def _tables(self, doc: np.ndarray, weight: np.ndarray, first: np.ndarray) -> None:
+        self.doc, self.weight, self.first = doc.astype(np.int64), weight, first
         self.blocks = max(1, -(-self.n // self.block))
         cell = np.repeat(np.arange(self.n_terms), np.diff(self.first)) * self.blocks + self.doc // self.block
         at = np.flatnonzero(np.diff(cell, prepend=-1))
@@ -119,14 +139,6 @@ class BlockMaxIndex:
         self.start = np.empty((self.n_terms, self.blocks + 1), np.int32)  # a term's postings of block b are start[b] to start[b + 1]
         self.start[:, 0] = self.first[:-1]
         self.start[:, 1:] = self.first[:-1, None] + np.cumsum(size, axis=1)
-        self.doc = self.doc.astype(np.int64)
-
-    def __getstate__(self) -> dict:
-        return {"n": self.n, "block": self.block, "n_terms": self.n_terms, "doc": self.doc.astype(np.int32), "weight": self.weight, "first": self.first}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._tables()
 
     def _add(self, score: np.ndarray, start: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> None:
         """Adds the cosines of all examples of some blocks."""
@@ -177,16 +189,36 @@ class Model:
     """Examples with their index and the calibration of votes."""
 
     def __init__(self, vocabulary: Vocabulary, examples: list[tuple[int, int, np.ndarray, np.ndarray]], p: Params) -> None:
-        """``examples``: doc_id, label, terms and weights of each, those that are alike side by side."""
+        """``examples``: doc_id, label, terms and their counts of each, those that are alike side by side."""
         self.p, self.vocabulary = p, vocabulary
         y = np.array([x[1] for x in examples], float)
         self.base = (y.sum() + 0.5) / (len(y) + 1)
         self.ids, self.labels = np.array([x[0] for x in examples], np.int64), y
-        vectors = [(x[2], x[3]) for x in examples]
-        self.index = BlockMaxIndex(vectors, max(1, len(vocabulary.hashes)), p.block)
-        votes = [self.vote(*self.index.search(*v, p.neighbours, but=i)) for i, v in enumerate(vectors)]
+        term = np.concatenate([x[2] for x in examples] or [np.empty(0, np.int64)]).astype(np.int32)
+        order = np.argsort(term, kind="stable")  # within a term by document
+        self.first = np.searchsorted(term[order], np.arange(max(1, len(vocabulary.hashes)) + 1))
+        self.doc = np.repeat(np.arange(len(examples), dtype=np.int32), [len(x[2]) for x in examples])[order]
+        self.counts = np.concatenate([x[3] for x in examples] or [np.empty(0, np.int64)]).astype(np.int32)[order]
+        weigh = lambda at, n: (1 + np.log(n)) * vocabulary.idf[at]
+        self.norms = np.array([np.linalg.norm(weigh(x[2], x[3])) if len(x[2]) else 1.0 for x in examples])
+        self._open()
+        votes = [self.vote(*self.index.search(x[2], weigh(x[2], x[3]) / self.norms[i], p.neighbours, but=i)) for i, x in enumerate(examples)]
         self.slope, self.offset = logistic(np.array(votes), np.where(y == 1, 1, -1)) if len(y) else (1.0, 0.0)
 
+    def _open(self) -> None:
+        term = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        weight = (1 + np.log(self.counts.astype(np.int64))) * self.vocabulary.idf[term] / self.norms[self.doc] if len(term) else np.empty(0)
+        self.index = BlockMaxIndex.of_postings(len(self.ids), self.p.block, self.doc, weight, self.first)
+
+    def __getstate__(self) -> dict:
+        """Counts instead of weights, and no more bytes a number than it needs."""
+        small = lambda x: x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x
+        return {k: v for k, v in self.__dict__.items() if k != "index"} | {"doc": small(self.doc), "counts": small(self.counts), "first": self.first.astype(np.int32)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._open()
+
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         """Log odds of the neighbours' votes, each weighing one over its distance, and the prior's."""
         weight = 1 / (1.05 - np.minimum(cosine, 1.0))
@@ -222,7 +254,7 @@ def learn(examples: list[tuple[int, int, np.ndarray, np.ndarray]], p: Params = P
         at, w = vocabulary.weighed(x[2], x[3])
         return common, x[1], int(at[np.argmax(w)]) if len(at) else -1, x[0]
 
-    ordered = [(x[0], x[1], *vocabulary.weighed(x[2], x[3])) for x in sorted(examples, key=kin)]
+    ordered = [(x[0], x[1], *vocabulary.known(x[2], x[3])) for x in sorted(examples, key=kin)]
     return Model(vocabulary, ordered, p)
 
 

@@ -1,6 +1,7 @@
 """The toxicity query against plain TF-IDF cosines, votes and a calibration at its optimum."""
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -106,3 +107,10 @@ def test_very_long_and_empty_texts():
     assert m.score(long) == pytest.approx(m.explain(long)[0]) and len(m.search(long)[0]) == 2
     assert m.explain(None) == m.explain("") and m.explain("")[1] == []
     assert toxicity.learn([]).score("anything") == 0.5
+
+
+def test_a_model_comes_through_bytes_as_it_was():
+    m = toxicity.learn(examples([(i % 3 == 0, f"word{i % 7} more{i % 5} vile" if i % 3 == 0 else f"word{i % 7} calm{i % 4} " * (i % 6)) for i in range(60)]))
+    again = toxicity.Packed(pickle.dumps(m)).model
+    for text in ("word1 vile", "calm2 more3", "", "word6 " * 70_000):
+        assert again.explain(text) == m.explain(text)
