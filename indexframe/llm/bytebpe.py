@@ -1,15 +1,14 @@
-"""Byte-level BPE by Spark higher-order functions over the distinct words of a block of documents.
+"""Byte-level BPE by Spark higher-order functions over the distinct words of all documents.
 
 Documents are taken in blocks of some megabytes of text, with no shuffle, and written in terms of the distinct words of
-their block (matches of the pattern).  Every distinct word is folded in the JVM: its byte array becomes the array of
+their block (matches of the pattern).  The words of all blocks meet by hash, in buckets of about equal size whatever the
+corpus, and every distinct word is folded once, in the JVM: its byte array becomes the array of
 its neighbouring pairs, and each step of ``aggregate`` merges the leftmost pair of least rank, which a
 constant rank map gives.  Pieces are named by their ranks, which are the token ids, so the map goes from
-(left rank, right rank) to the rank of the two concatenated; it is a perfect hash table in arrays.  Decoding
-concatenates the binary pieces of the ids, which another array has.  The arrays are one literal row, which is broadcast: written
-into the expressions they would make every plan's text megabytes long, and the driver keeps such texts.
-
-Common words are folded once: a broadcast dictionary of at most ``head`` words that a sample of documents
-shares.  It is a cache: all other words are folded in their block, to the same ids.
+(left rank, right rank) to the rank of the two concatenated; it is a perfect hash table in arrays.  The arrays are one literal
+row, which is broadcast: written into the expressions they would make every plan's text megabytes long, and the driver keeps such
+texts.  Ids go back to the blocks that have the word, as one small array a bucket and block.  Decoding concatenates the binary pieces of
+the ids.
 """
 
 from __future__ import annotations
@@ -26,13 +25,13 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, no_null_text, shuffle_width, table, written
+from .common import no_null_text, shuffle_width, table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -42,13 +41,11 @@ _EDGE = 65535  # the token beside a word
 
 @dataclass(frozen=True)
 class Params:
-    """``block``: characters of a block of documents, about.  ``head``: words of the shared dictionary, at most, and
-    ``sample``: documents that suggest them, about.  ``fold``: bytes of the longest word that is folded as an array;
-    longer ones are merged with a heap, to the same ids."""
+    """``block``: characters of a block of documents, about.  ``bucket``: bytes of text for which there is a bucket of
+    words.  ``fold``: bytes of the longest word that is folded as an array; longer ones are merged with a heap, to the same ids."""
 
-    block: int = 12_000_000
-    head: int = 200_000
-    sample: int = 16_384
+    block: int = 24_000_000
+    bucket: int = 4_000_000
     fold: int = 256
 
 
@@ -106,8 +103,8 @@ def tables(path: str) -> Tables:
 
 def with_tables(rows: DataFrame, t: Tables, version: str) -> DataFrame:
     """Adds the arrays of a vocabulary to each row of a few large rows; ``version`` is a column of ones."""
-    arrays = [pa.array([t.byte_pairs]), pa.array([t.displacement]), pa.array([t.cells]), pa.array([t.pieces])]
-    literal = pa.table([pa.array([1], pa.int32()), *arrays], ["__version", "byte_pairs", "displacement", "cells", "hexes"])
+    arrays = [pa.array([t.byte_pairs]), pa.array([t.displacement]), pa.array([t.cells])]
+    literal = pa.table([pa.array([1], pa.int32()), *arrays], ["__version", "byte_pairs", "displacement", "cells"])
     return rows.join(F.broadcast(rows.sparkSession.createDataFrame(literal)), F.col(version) == F.col("__version"))  # one row, as large as the vocabulary
 
 
@@ -147,11 +144,6 @@ def fold_words(words: Column, t: Tables) -> Column:
     return F.transform(words, word)
 
 
-def decode_words(ids: Column) -> Column:
-    """array<array<int>> of ids -> array<binary>: the pieces of each word, concatenated."""
-    return F.transform(ids, lambda w: F.unhex(F.array_join(F.transform(w, lambda i: F.get(F.col("hexes"), i)), "")))
-
-
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one word by the same rule (leftmost pair of least rank first), in n log n."""
     n = len(word)
@@ -269,157 +261,176 @@ def _byte_arrays(words: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat))
 
 
-def head_words(docs: DataFrame, t: Tables, p: Params) -> pa.Table:
-    """word, ids and piece of the words that stand in most blocks (two at least) of a sample of documents."""
-    one_in = max(1, docs.count() // p.sample)
-    docs = docs.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(one_in)) == 0)
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, p.block):
-            words = pa.array(block.words()[0], pa.string())
-            yield pa.RecordBatch.from_arrays([words], ["w"])
-
-    counted = docs.mapInArrow(distinct, "w string").where(F.octet_length("w") <= p.fold).groupBy("w").count().where("count > 1")
-    top = checkpoint(counted.orderBy(F.desc("count"), "w").limit(p.head))
-    # Arrays of some thousand words, so that the tables are joined once an array.
-    grouped = top.repartition(shuffle_width(docs.sparkSession)).withColumn("g", F.pmod(F.xxhash64("w"), F.lit(max(1, p.head // 2000)))).groupBy("g").agg(F.collect_list("w").alias("w"))
-
-    def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.column(1):
-                words = row.as_py()
-                nested = _byte_arrays([w.encode() for w in words])
-                arrays = [pa.array([words], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(nested)], pa.int32()), nested), pa.array([1], pa.int32())]
-                yield pa.RecordBatch.from_arrays(arrays, ["w", "b", "version"])
-
-    by_array = with_tables(grouped.mapInArrow(as_bytes, "w array<string>, b array<array<smallint>>, version int"), t, "version")
-    folded = by_array.select("w", fold_words(F.col("b"), t).alias("ids"), "hexes")
-    rows = folded.withColumn("piece", decode_words(F.col("ids"))).select(F.explode(F.arrays_zip("w", "ids", "piece")).alias("x")).select("x.*")
-    return rows.toArrow()
-
-
-def _hashes(words: list[str]) -> np.ndarray:
-    return pd.util.hash_array(np.array(words, object), categorize=False) if words else np.empty(0, np.uint64)
-
-
-class Head:
-    """The shared dictionary as flat arrays: hashes of its words in order, and Arrow columns in the same order."""
-
-    def __init__(self, rows: pa.Table) -> None:
-        rows = rows.combine_chunks()
-        hashes = _hashes(rows.column("w").to_pylist())
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        take = lambda name: rows.column(name).take(pa.array(order)).combine_chunks()
-        self.words, self.ids, self.pieces = take("w"), take("ids"), take("piece")
-
-    def find(self, words: list[str]) -> np.ndarray:
-        """The row of each word, or -1; words of equal hash are told apart by themselves."""
-        if not len(self.hashes) or not words:
-            return np.full(len(words), -1)
-        hashes = _hashes(words)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        near = np.flatnonzero(self.hashes[at] == hashes)
-        same = pc.equal(self.words.take(pa.array(at[near])), pa.array([words[i] for i in near.tolist()], pa.string())).to_numpy(zero_copy_only=False)
-        found = np.full(len(words), -1)
-        found[near[same]] = at[near[same]]
-        return found
-
-    def take(self, rows: np.ndarray) -> tuple[list[str], list[bytes]]:
-        """Ids, joined by commas, and pieces of some rows."""
-        return _joined(self.ids.take(pa.array(rows))), self.pieces.take(pa.array(rows)).to_pylist()
-
-
-def _joined(lists: pa.ListArray) -> list[str]:
-    names, ends = list(map(str, lists.flatten().to_pylist())), lists.offsets.to_pylist()
-    return [",".join(names[a - ends[0] : b - ends[0]]) for a, b in zip(ends, ends[1:], strict=False)]
-
-
-_PACKED = (
-    "doc_ids array<long>, sizes array<int>, codes binary, chunk_sizes binary, chunk_words binary, b array<array<smallint>>,"
-    " long_at array<int>, long_ids array<array<int>>, version int"
-)
+def _pressed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32 by byte planes, compressed."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpressed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs one after another."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _split(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+_PACKED = "block long, bucket int, doc_ids array<long>, sizes array<int>, codes binary, chunk_sizes binary, chunk_words binary, lengths binary, words binary"
+_GATHERED = "bucket int, blocks array<long>, places array<binary>, b array<array<smallint>>, long_at array<int>, long_ids array<array<int>>, version int"
 _OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _pack(batches: Iterator[pa.RecordBatch], limit: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row a block, of bucket -1, with its documents in terms of its words; and one a block and bucket with the words."""
+    whole = TaskContext.get().partitionId() << 32
+    press = zstandard.ZstdCompressor(level=1).compress
+    types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 5]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _names(_PACKED))
+
+    for number, block in enumerate(_blocks(batches, limit)):
+        words, flat, sizes = block.words()
+        bucket = (pd.util.hash_array(np.array(words, object), categorize=False) % np.uint64(buckets)).astype(np.int64) if words else np.empty(0, np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        codes = np.concatenate(block.codes)
+        yield batch([(whole + number, -1, block.doc_ids, block.sizes, _pressed(codes), _pressed(sizes), _pressed(place[flat]), None, None)])
+        block.chunks = _Chunks()
+        held, cuts = [], [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(words)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo < hi:
+                raw = [words[i].encode() for i in order[lo:hi].tolist()]
+                lengths = _pressed(np.fromiter(map(len, raw), np.int64, len(raw)))
+                held.append((whole + number, int(bucket[order[lo]]), None, None, None, None, None, lengths, press(b"".join(raw))))
+            if len(held) >= 1000:
+                yield batch(held)
+                held = []
+        if held:
+            yield batch(held)
+
+
+def _gather(batches: Iterator[pa.RecordBatch], fold: int, ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """bucket, block, lengths, words, sorted by bucket -> the distinct words of each bucket, and where its blocks have them."""
+    number, blocks, places, bucket = {}, [], [], None
+    unpress = zstandard.ZstdDecompressor().decompress
+
+    def made() -> pa.RecordBatch:
+        words, long_at, long_ids = list(number), [], []
+        for i, w in enumerate(words):
+            if len(w) > fold:
+                long_at.append(i)
+                long_ids.append(merge_long(w, ranks))
+                words[i] = b""
+        nested = _byte_arrays(words)
+        arrays = [
+            pa.array([bucket], pa.int32()), pa.array([blocks], pa.list_(pa.int64())), pa.array([places], pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array([0, len(nested)], pa.int32()), nested),
+            pa.array([long_at], pa.list_(pa.int32())), pa.array([long_ids], pa.list_(pa.list_(pa.int32()))), pa.array([1], pa.int32()),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, _names(_GATHERED))
+
+    for batch in batches:
+        for now, block, lengths, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now != bucket and blocks:
+                yield made()
+                number, blocks, places = {}, [], []
+            bucket = now
+            own = [number.setdefault(w, len(number)) for w in _split(unpress(words), _unpressed(lengths))]
+            blocks.append(block)
+            places.append(_pressed(np.array(own, np.int64)))
+    if blocks:
+        yield made()
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folded buckets -> block, bucket and the ids of the block's words of the bucket: how many each has, and all of them."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            bucket, blocks, places, long_at, long_ids, ids = (batch.column(i)[r] for i in range(6))
+            start = ids.values.offsets.to_numpy().astype(np.int64)
+            flat = ids.values.values.to_numpy(zero_copy_only=False)
+            start, size = start[:-1].copy(), np.diff(start)
+            for at, own in zip(long_at.as_py(), long_ids.as_py(), strict=True):
+                start[at], size[at] = len(flat), len(own)
+                flat = np.concatenate((flat, np.array(own, flat.dtype)))
+            found = []
+            for place in places.as_py():
+                at = _unpressed(place).astype(np.int64)
+                found.append((_pressed(size[at]), _pressed(flat[_ragged(start[at], size[at])])))
+            arrays = [blocks.values, pa.array([bucket.as_py()] * len(found), pa.int32()), pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["block", "bucket", "sizes", "ids"])
+
+
+def _digest(batches: Iterator[pa.RecordBatch], pieces: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+    """doc_ids, sizes, codes, chunk_sizes, chunk_words and the block's ids by bucket -> digests of each document."""
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = {i: str(i) for i in pieces}
+    for batch in batches:
+        for r in range(batch.num_rows):
+            doc_ids, doc_sizes, codes, chunk_sizes, chunk_words, found = (batch.column(i)[r].as_py() for i in range(6))
+            ids, decoded = [], []
+            for one in found or []:
+                flat, at = _unpressed(one["ids"]).tolist(), 0
+                for n in _unpressed(one["sizes"]).tolist():
+                    own = flat[at : at + n]
+                    ids.append(",".join([names[i] for i in own]))
+                    decoded.append(b"".join([pieces[i] for i in own]))
+                    at += n
+            place, texts, raws, at = _unpressed(chunk_words).tolist(), [], [], 0
+            for n in _unpressed(chunk_sizes).tolist():
+                if n == 1:
+                    texts.append(ids[place[at]])
+                    raws.append(decoded[place[at]])
+                else:
+                    texts.append(",".join([ids[k] for k in place[at : at + n]]))
+                    raws.append(b"".join([decoded[k] for k in place[at : at + n]]))
+                at += n
+            del ids, decoded, place
+            codes, out, at = _unpressed(codes), [], 0
+            for doc_id, n in zip(doc_ids, doc_sizes, strict=True):
+                chosen = codes[at : at + n].tolist()
+                joined = ",".join(map(texts.__getitem__, chosen))
+                raw = b"".join(map(raws.__getitem__, chosen))
+                out.append((doc_id, joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
+                at += n
+            del texts, raws, codes
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], _names(_OUT))
+
+
 def encode(docs: DataFrame, path: str = VOCABULARY, p: Params = Params()) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of all rows (doc_id, text); a null text counts as empty.
 
-    Repeated rows stay repeated.  The digests come from the ids of the folds and from the pieces these decode to.
+    Repeated rows stay repeated, rows without doc_id stay too, other columns go.  The digests come from the ids of the folds and from the
+    pieces these decode to.
     """
     t, spark = tables(path), docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), no_null_text().alias("text"))
-    head = spark.sparkContext.broadcast(head_words(docs, t, p))  # ``head`` words of at most ``fold`` bytes
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    buckets, width = max(1, -(-size // p.bucket)), shuffle_width(spark)
     shared = spark.sparkContext.broadcast({bytes.fromhex(x): i for i, x in enumerate(t.pieces) if x})  # the vocabulary
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_head = Head(head.value)
-        press = zstandard.ZstdCompressor(level=1).compress
-        for block in _blocks(batches, p.block):
-            words, flat, sizes = block.words()
-            at = own_head.find(words)
-            new = np.flatnonzero(at < 0)
-            place = (-1 - at).astype(np.int32)
-            place[new] = np.arange(len(new))
-            rest, long_at, long_ids = [words[i].encode() for i in new.tolist()], [], []
-            for i, raw in enumerate(rest):
-                if len(raw) > p.fold:
-                    long_at.append(i)
-                    long_ids.append(merge_long(raw, shared.value))
-                    rest[i] = b""
-            block.chunks, words = _Chunks(), []
-            nested = _byte_arrays(rest)
-            arrays = [
-                pa.array([block.doc_ids], pa.list_(pa.int64())), pa.array([block.sizes], pa.list_(pa.int32())), pa.array([press(np.concatenate(block.codes).tobytes())], pa.binary()),
-                pa.array([sizes.tobytes()], pa.binary()), pa.array([place[flat].tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(nested)], pa.int32()), nested),
-                pa.array([long_at], pa.list_(pa.int32())), pa.array([long_ids], pa.list_(pa.list_(pa.int32()))), pa.array([1], pa.int32()),
-            ]
-            del rest, nested, place, at, new, flat, sizes, block
-            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in _PACKED.split(", ")])
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = {i: x for x, i in shared.value.items()}
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-        own_head = Head(head.value)
-        unpress = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for r in range(batch.num_rows):
-                col = lambda name: batch.column(batch.schema.get_field_index(name))[r]  # noqa: B023,E731
-                ids, decoded = _joined(col("ids").values), col("piece").values.to_pylist()
-                for at, long in zip(col("long_at").as_py(), col("long_ids").as_py(), strict=True):
-                    ids[at], decoded[at] = ",".join(map(str, long)), b"".join(map(pieces.__getitem__, long))
-                place, sizes = (np.frombuffer(col(name).as_buffer(), np.int32) for name in ("chunk_words", "chunk_sizes"))
-                # Words of the dictionary that the block has follow its own.
-                old = np.unique(place[place < 0])
-                more = own_head.take(-1 - old)
-                place = np.where(place < 0, len(ids) + np.searchsorted(old, place), place).tolist()
-                ids += more[0]
-                decoded += more[1]
-                texts, raws, at = [], [], 0
-                for n in sizes.tolist():
-                    if n == 1:
-                        texts.append(ids[place[at]])
-                        raws.append(decoded[place[at]])
-                    else:
-                        texts.append(",".join([ids[k] for k in place[at : at + n]]))
-                        raws.append(b"".join([decoded[k] for k in place[at : at + n]]))
-                    at += n
-                del ids, decoded, place, sizes, old, more
-                codes, out, at = np.frombuffer(unpress(col("codes").as_py()), np.uint32), [], 0
-                for doc_id, n in zip(col("doc_ids").as_py(), col("sizes").as_py(), strict=True):
-                    chosen = codes[at : at + n].tolist()
-                    joined = ",".join(map(texts.__getitem__, chosen))
-                    raw = b"".join(map(raws.__getitem__, chosen))
-                    out.append((doc_id, joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
-                    at += n
-                del texts, raws
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in _OUT.split(", ")])
-
-    # Written, so that packing and digesting don't hold memory at the same time and a lost task begins at its blocks.
-    packed = written(docs.mapInArrow(pack, _PACKED), "words")
-    kept = ["doc_ids", "sizes", "codes", "chunk_sizes", "chunk_words", "long_at", "long_ids"]
-    folded = with_tables(packed, t, "version").select(*kept, fold_words(F.col("b"), t).alias("ids"), "hexes").select(*kept, "ids", decode_words(F.col("ids")).alias("piece"))
-    return folded.mapInArrow(digest, _OUT)
+    # Written: words and documents are read apart, and a lost task begins at its blocks.
+    packed = written(docs.mapInArrow(lambda rows: _pack(rows, p.block, buckets), _PACKED), "words")
+    words = packed.where("bucket >= 0").select("bucket", "block", "lengths", "words")
+    words = words.repartitionById(width, F.col("bucket") % width).sortWithinPartitions("bucket", "block")
+    gathered = words.mapInArrow(lambda rows: _gather(rows, p.fold, shared.value), _GATHERED)
+    folded = with_tables(gathered, t, "version").select("bucket", "blocks", "places", "long_at", "long_ids", fold_words(F.col("b"), t).alias("ids"))
+    spread = folded.mapInArrow(_spread, "block long, bucket int, sizes binary, ids binary")
+    found = spread.repartition(4 * width, "block").groupBy(F.col("block").alias("own")).agg(F.sort_array(F.collect_list(F.struct("bucket", "sizes", "ids"))).alias("found"))
+    whole = packed.where("bucket = -1").drop("bucket", "lengths", "words").repartition(4 * width, "block")
+    both = whole.join(found, F.col("block") == F.col("own"), "left").select("doc_ids", F.col("sizes"), "codes", "chunk_sizes", "chunk_words", "found")
+    return both.mapInArrow(lambda rows: _digest(rows, {i: x for x, i in shared.value.items()}), _OUT)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
