@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import no_null_text, shuffle_width, table, written
+from .common import no_null_text, shuffle_width, table, written_by_hash
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -420,15 +420,16 @@ def encode(docs: DataFrame, path: str = VOCABULARY, p: Params = Params()) -> Dat
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets, width = max(1, -(-size // p.bucket)), shuffle_width(spark)
     shared = spark.sparkContext.broadcast({bytes.fromhex(x): i for i, x in enumerate(t.pieces) if x})  # the vocabulary
-    # Written: words and documents are read apart, and a lost task begins at its blocks.
-    packed = written(docs.mapInArrow(lambda rows: _pack(rows, p.block, buckets), _PACKED), "words")
+    # Written: words and documents are read apart, and a lost task begins at its blocks.  By block, so that only ids move later.
+    homes = min(4 * width, 100_000)
+    packed = written_by_hash(docs.mapInArrow(lambda rows: _pack(rows, p.block, buckets), _PACKED), "words", "block", homes)
     words = packed.where("bucket >= 0").select("bucket", "block", "lengths", "words")
     words = words.repartitionById(width, F.col("bucket") % width).sortWithinPartitions("bucket", "block")
     gathered = words.mapInArrow(lambda rows: _gather(rows, p.fold, shared.value), _GATHERED)
     folded = with_tables(gathered, t, "version").select("bucket", "blocks", "places", "long_at", "long_ids", fold_words(F.col("b"), t).alias("ids"))
     spread = folded.mapInArrow(_spread, "block long, bucket int, sizes binary, ids binary")
-    found = spread.repartition(4 * width, "block").groupBy(F.col("block").alias("own")).agg(F.sort_array(F.collect_list(F.struct("bucket", "sizes", "ids"))).alias("found"))
-    whole = packed.where("bucket = -1").drop("bucket", "lengths", "words").repartition(4 * width, "block")
+    found = spread.repartition(homes, "block").groupBy(F.col("block").alias("own")).agg(F.sort_array(F.collect_list(F.struct("bucket", "sizes", "ids"))).alias("found"))
+    whole = packed.where("bucket = -1").drop("bucket", "lengths", "words")
     both = whole.join(found, F.col("block") == F.col("own"), "left").select("doc_ids", F.col("sizes"), "codes", "chunk_sizes", "chunk_words", "found")
     return both.mapInArrow(lambda rows: _digest(rows, {i: x for x, i in shared.value.items()}), _OUT)
 

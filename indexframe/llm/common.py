@@ -60,6 +60,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by_hash(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As ``written``, but dealt into hash buckets of a key, so that a join on it that has as many partitions doesn't move the table."""
+    spark, unique = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.write.option("path", f"{shared_dir(spark)}/{unique}").bucketBy(min(buckets, 100_000), key).sortBy(key).saveAsTable(unique)
+    found = spark.table(unique)
+    found.schema  # resolved, so the catalog needn't know the table any longer; its files stay
+    spark.sql(f"DROP TABLE {unique}")
+    return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
