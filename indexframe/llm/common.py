@@ -33,12 +33,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset on a local master (tests), a new one."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
         found = context.getCheckpointDir()
         if not found:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             found = f"file://{tempfile.mkdtemp(prefix='checkpoint')}"
             context.setCheckpointDir(found)
     elif not context.getCheckpointDir():

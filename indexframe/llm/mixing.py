@@ -117,14 +117,20 @@ def pivotal_winners(items: DataFrame, seed: int) -> DataFrame:
 
 
 def _nth(key: str, size: Column) -> Column:
-    """Numbers the rows of one key; rows that tie have the same source and size, so it doesn't matter which is which."""
-    return F.row_number().over(Window.partitionBy(key).orderBy(F.col("source").asc_nulls_last(), size))
+    """Tells the rows of one key apart by numbers; rows that tie have the same source and size, so it doesn't matter which is which.
+
+    The rows of a key are numbered from 1.  Rows without key, which may be any share of all, are numbered by source and
+    size in a thousand parts, each from a number of its own.
+    """
+    source = F.col("source")
+    part = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(source, size), F.lit(1000)) + 1).otherwise(F.lit(0))
+    return F.row_number().over(Window.partitionBy(key, part).orderBy(source.asc_nulls_last(), size)) + F.shiftleft(part, 40)
 
 
 def mix(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, seed: int = 42) -> DataFrame:
     """Copies of each row for the mix.  ``rows``: id long, source, size long.
 
-    Returns id, nth (1, 2 ... among rows of one id, null ids included), source, size, source_size long, target double,
+    Returns id, nth (tells rows of one id apart, see ``_nth``), source, size, source_size long, target double,
     copies int.  A row of size 0 gets as many copies as its source's ratio says; a source without words has none.
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("size"))
@@ -154,7 +160,11 @@ def word_count(text: Column | str) -> Column:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with the words that the mix takes of each; a null text has none."""
+    """All documents with the words that the mix takes of each; a null text has none.
+
+    A row of ``documents`` gives a row, also without doc_id or with one that repeats; null is a source, the last.  Of rows of
+    equal doc_id, source and size it is undefined which gets which of their results.  An empty table gives no rows; other columns aren't read.
+    """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", word_count("text").alias("size"))
     return mix(docs).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source"
@@ -162,7 +172,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it (0 to 3 times)."""
+    """Pipeline stage: each document as often as the mix takes it (0 to 3 times), with all its columns.
+
+    Nulls and repeated ids as in ``op9_mixing``; rows of equal id, source and size are interchangeable, whatever else they hold.
+    """
     sized = docs.select(F.col("doc_id").alias("id"), "source", word_count("text").alias("size"))
     copies = mix(sized).where("copies > 0").select(F.col("id").alias("__id"), F.col("nth").alias("__nth"), F.col("copies").alias("__copies"))
     on = F.col("doc_id") == F.col("__id")

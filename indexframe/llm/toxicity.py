@@ -33,13 +33,14 @@ _HEADS = (4, 5)
 @dataclass(frozen=True)
 class Params:
     """``sample``: labelled rows that become examples, at most.  ``stop``: a term that more than this share of the examples
-    (and more than ``stop_least`` of them) hold is a stop word.  ``neighbours``: examples that vote; ``evidence``: the nearest of
-    them that are returned.  ``prior``: weight of the prior's vote."""
+    (and more than ``stop_least`` of them) hold is a stop word.  ``neighbours``: examples that vote, one in ``one_in`` of all but
+    15 at least and ``neighbours`` at most; ``evidence``: the nearest of them that are returned.  ``prior``: weight of the prior's vote."""
 
     sample: int = 8000
     stop: float = 0.06
     stop_least: int = 30
     neighbours: int = 200
+    one_in: int = 16
     evidence: int = 5
     prior: float = 0.2
     block: int = 512
@@ -94,10 +95,10 @@ class Vocabulary:
     def known(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of distinct hashes and their counts the known ones, as terms and counts."""
         if not len(h) or not len(self.hashes):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return np.empty(0, np.int32), np.empty(0, np.int64)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         known = self.hashes[at] == h
-        return at[known], n[known].astype(np.int64)
+        return at[known].astype(np.int32), n[known]
 
     def weighed(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, n = self.known(h, n)
@@ -128,39 +129,52 @@ class BlockMaxIndex:
         return made
 
     def _tables(self, doc: np.ndarray, weight: np.ndarray, first: np.ndarray) -> None:
-        self.doc, self.weight, self.first = doc.astype(np.int64), weight, first
+        self.doc, self.weight, self.first = doc.astype(np.int32), weight, first
         self.blocks = max(1, -(-self.n // self.block))
-        cell = np.repeat(np.arange(self.n_terms), np.diff(self.first)) * self.blocks + self.doc // self.block
-        at = np.flatnonzero(np.diff(cell, prepend=-1))
-        most = np.zeros(self.n_terms * self.blocks)
-        most[cell[at]] = np.maximum.reduceat(self.weight, at) if len(at) else 0.0
-        self.most = most.reshape(self.n_terms, self.blocks)
-        size = np.bincount(cell, minlength=len(most)).reshape(self.n_terms, self.blocks)
-        self.start = np.empty((self.n_terms, self.blocks + 1), np.int32)  # a term's postings of block b are start[b] to start[b + 1]
-        self.start[:, 0] = self.first[:-1]
-        self.start[:, 1:] = self.first[:-1, None] + np.cumsum(size, axis=1)
-
-    def _add(self, score: np.ndarray, start: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> None:
-        """Adds the cosines of all examples of some blocks."""
+        df = np.diff(first)
+        # Most terms stand in one example; the others have rows in the tables.
+        self.row = np.where(df > 1, np.cumsum(df > 1) - 1, -1).astype(np.int32)
+        rows = int((df > 1).sum())
+        self.most = np.zeros((rows, self.blocks))
+        self.start = np.empty((rows, self.blocks + 1), np.int32)  # a term's postings of block b are start[b] to start[b + 1]
+        self.start[:, 0] = first[:-1][df > 1]
+        row, own = np.repeat(self.row, df), self.doc // self.block
+        for b in range(self.blocks):
+            here = np.flatnonzero((own == b) & (row >= 0))
+            r, w = row[here], weight[here]
+            self.start[:, b + 1] = self.start[:, b] + np.bincount(r, minlength=rows)
+            at = np.flatnonzero(np.diff(r, prepend=-1))
+            if len(at):
+                self.most[r[at], b] = np.maximum.reduceat(w, at)
+
+    def _add(self, score: np.ndarray, blocks: np.ndarray, start: np.ndarray, w: np.ndarray, lone: tuple[np.ndarray, ...]) -> None:
+        """Adds the cosines of all examples of some blocks: of terms with tables first, then of lone postings."""
         gap = np.flatnonzero(np.diff(blocks) > 1)
         lo = start[:, blocks[np.append(0, gap + 1)]].ravel()  # by term, then by run of neighbouring blocks
         size = start[:, blocks[np.append(gap, len(blocks) - 1)] + 1].ravel() - lo
         at = np.repeat(lo - np.cumsum(size) + size, size)
         at += np.arange(len(at))
+        here = np.isin(lone[0], blocks)
         weight = self.weight[at]
         weight *= np.repeat(np.repeat(w, len(gap) + 1), size)
-        score += np.bincount(self.doc[at], weight, self.n)
+        score += np.bincount(np.append(self.doc[at], lone[1][here]), np.append(weight, lone[2][here]), self.n)
 
     def search(self, at: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, ties to the earlier one, and their cosines; never ``but``."""
         if not len(at) or not self.n:
             return np.empty(0, np.int64), np.empty(0)
-        most, start, score = self.most[at], self.start[at].astype(np.int64), np.zeros(self.n)
-        bound = np.add.reduce(most * w[:, None], axis=0)
+        row = self.row[at]
+        alone = (row < 0) & (self.first[at] < self.first[at + 1])
+        single = self.first[at[alone]]
+        lone = self.doc[single] // self.block, self.doc[single], self.weight[single] * w[alone]
+        row, w = row[row >= 0], w[row >= 0]
+        start, score = self.start[row].astype(np.int64), np.zeros(self.n)
+        bound = np.add.reduce(self.most[row] * w[:, None], axis=0)
+        np.add.at(bound, lone[0], lone[2])
         wave = np.sort(np.argsort(-bound, kind="stable")[: -(-k // self.block)])
         left = bound > 0
         left[wave] = False
-        self._add(score, start, w, wave)
+        self._add(score, wave, start, w, lone)
         if 0 <= but:
             score[but] = 0
         best = self._best(score, k)
@@ -168,7 +182,7 @@ class BlockMaxIndex:
             edge = score[best[-1]]
             left &= (bound > edge) | (bound == edge) & (np.arange(self.blocks) * self.block < best[-1])
         if left.any():
-            self._add(score, start, w, np.flatnonzero(left))
+            self._add(score, np.flatnonzero(left), start, w, lone)
             if 0 <= but:
                 score[but] = 0
             best = self._best(score, k)
@@ -191,33 +205,40 @@ class Model:
     def __init__(self, vocabulary: Vocabulary, examples: list[tuple[int, int, np.ndarray, np.ndarray]], p: Params) -> None:
         """``examples``: doc_id, label, terms and their counts of each, those that are alike side by side."""
         self.p, self.vocabulary = p, vocabulary
+        self.k = min(p.neighbours, max(15, len(examples) // p.one_in))
         y = np.array([x[1] for x in examples], float)
         self.base = (y.sum() + 0.5) / (len(y) + 1)
         self.ids, self.labels = np.array([x[0] for x in examples], np.int64), y
         term = np.concatenate([x[2] for x in examples] or [np.empty(0, np.int64)]).astype(np.int32)
         order = np.argsort(term, kind="stable")  # within a term by document
-        self.first = np.searchsorted(term[order], np.arange(max(1, len(vocabulary.hashes)) + 1))
-        self.doc = np.repeat(np.arange(len(examples), dtype=np.int32), [len(x[2]) for x in examples])[order]
-        self.counts = np.concatenate([x[3] for x in examples] or [np.empty(0, np.int64)]).astype(np.int32)[order]
+        small = lambda x: x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x
+        self.first = np.append(0, np.cumsum(np.bincount(term, minlength=max(1, len(vocabulary.hashes))))).astype(np.int32)
+        doc = np.repeat(np.arange(len(examples), dtype=np.int32), [len(x[2]) for x in examples])[order]
+        self.counts = small(np.concatenate([x[3] for x in examples] or [np.empty(0, np.int64)]))[order]
+        del term, order
         weigh = lambda at, n: (1 + np.log(n)) * vocabulary.idf[at]
         self.norms = np.array([np.linalg.norm(weigh(x[2], x[3])) if len(x[2]) else 1.0 for x in examples])
-        self._open()
-        votes = [self.vote(*self.index.search(x[2], weigh(x[2], x[3]) / self.norms[i], p.neighbours, but=i)) for i, x in enumerate(examples)]
+        self._open(doc)
+        votes = [self.vote(*self.index.search(x[2], weigh(x[2], x[3]) / self.norms[i], self.k, but=i)) for i, x in enumerate(examples)]
         self.slope, self.offset = logistic(np.array(votes), np.where(y == 1, 1, -1)) if len(y) else (1.0, 0.0)
+        if self.slope < 0:  # so few examples that likeness tells nothing
+            self.slope, self.offset = 0.0, float(np.log(self.base / (1 - self.base)))
 
-    def _open(self) -> None:
-        term = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        weight = (1 + np.log(self.counts.astype(np.int64))) * self.vocabulary.idf[term] / self.norms[self.doc] if len(term) else np.empty(0)
-        self.index = BlockMaxIndex.of_postings(len(self.ids), self.p.block, self.doc, weight, self.first)
+    def _open(self, doc: np.ndarray) -> None:
+        weight = np.log(self.counts.astype(np.float64))
+        weight += 1
+        weight *= np.repeat(self.vocabulary.idf, np.diff(self.first)[: len(self.vocabulary.idf)])
+        weight /= self.norms[doc]
+        self.index = BlockMaxIndex.of_postings(len(self.ids), self.p.block, doc, weight, self.first)
 
     def __getstate__(self) -> dict:
         """Counts instead of weights, and no more bytes a number than it needs."""
-        small = lambda x: x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x
-        return {k: v for k, v in self.__dict__.items() if k != "index"} | {"doc": small(self.doc), "counts": small(self.counts), "first": self.first.astype(np.int32)}
+        return {k: v for k, v in self.__dict__.items() if k != "index"} | {"doc": self.index.doc.astype(np.uint16 if self.index.n <= 1 << 16 else np.int32)}
 
     def __setstate__(self, state: dict) -> None:
+        doc = state.pop("doc")
         self.__dict__.update(state)
-        self._open()
+        self._open(doc)
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         """Log odds of the neighbours' votes, each weighing one over its distance, and the prior's."""
@@ -227,7 +248,7 @@ class Model:
         return float(np.log(share / (1 - share)))
 
     def search(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        return self.index.search(*self.vocabulary.vector(text), self.p.neighbours)
+        return self.index.search(*self.vocabulary.vector(text), self.k)
 
     def score(self, text: str | None) -> float:
         return self.explain(text)[0]
@@ -241,21 +262,22 @@ class Model:
 
 
 def learn(examples: list[tuple[int, int, np.ndarray, np.ndarray]], p: Params = Params()) -> Model:
-    """A model of examples: doc_id, label, distinct terms and their counts."""
+    """A model of examples: doc_id, label, distinct terms and their counts.  Uses the list up, to hold less memory."""
     n = len(examples)
     hashes, df = np.unique(np.concatenate([x[2] for x in examples] or [np.empty(0, np.uint64)]), return_counts=True)
     stop = df > max(p.stop * n, p.stop_least)
     vocabulary, stops = Vocabulary(hashes[~stop], np.log(1 + n / df[~stop])), hashes[stop]
-
-    def kin(x: tuple[int, int, np.ndarray, np.ndarray]) -> tuple:
-        """Like examples share blocks: their commonest stop word tells languages apart; then label and weightiest term."""
-        own = np.flatnonzero(np.isin(x[2], stops, assume_unique=True))
-        common = int(x[2][own[np.argmax(x[3][own])]]) if len(own) else -1
-        at, w = vocabulary.weighed(x[2], x[3])
-        return common, x[1], int(at[np.argmax(w)]) if len(at) else -1, x[0]
-
-    ordered = [(x[0], x[1], *vocabulary.known(x[2], x[3])) for x in sorted(examples, key=kin)]
-    return Model(vocabulary, ordered, p)
+    del hashes, df, stop
+    keys = []
+    for i, (doc_id, y, h, count) in enumerate(examples):
+        # Like examples share blocks: their commonest stop word tells languages apart; then label and weightiest term.
+        own = np.flatnonzero(np.isin(h, stops, assume_unique=True))
+        common = int(h[own[np.argmax(count[own])]]) if len(own) else -1
+        at, count = vocabulary.known(h, count)
+        w = (1 + np.log(count)) * vocabulary.idf[at]
+        keys.append((common, y, int(at[np.argmax(w)]) if len(at) else -1, doc_id))
+        examples[i] = (doc_id, y, at, count)
+    return Model(vocabulary, [examples[i] for i in sorted(range(n), key=keys.__getitem__)], p)
 
 
 class Packed:
@@ -285,8 +307,10 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, p: Params = Params(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "y", "h", "n"])
 
     def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        examples = [(i, y, np.frombuffer(h, "<u8"), np.frombuffer(n, "<i4")) for i, y, h, n in rows]
+        examples = []
+        for b in batches:
+            for i, y, h, n in zip(*b.columns, strict=True):
+                examples.append((i.as_py(), y.as_py(), np.frombuffer(h.as_buffer(), "<u8").copy(), np.frombuffer(n.as_buffer(), "<i4").copy()))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(examples, p))], pa.binary())], ["model"])
 
     counts = sample.select("doc_id", "y", "text").mapInArrow(count, "doc_id long, y int, h binary, n binary")

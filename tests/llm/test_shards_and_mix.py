@@ -128,3 +128,14 @@ def test_near_duplicates_keep_one_of_each_group(spark, tmp_path):
     docs = spark.read.parquet(f"{path}/documents.parquet")
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, path).collect()}
     assert kept == {0, 3, 4, 6}
+
+
+def test_rows_without_id_are_told_apart(spark):
+    rows = [(None, "a", i % 7) for i in range(200)] + [(None, None, 3)] * 50 + [(4, "b", 5), (4, "b", 5), (5, "b", 2)]
+    df = spark.createDataFrame(rows, "id long, source string, size long")
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and len({(r.id, r.nth) for r in got}) == len(rows)
+    assert sorted((r.nth for r in got if r.id == 4)) == [1, 2]
+    again = mixing.mix(df.repartition(7)).collect()
+    key = lambda r: (r.id is None, r.id or 0, r.source or "", r["size"], r.copies)
+    assert sorted(map(key, got)) == sorted(map(key, again))

@@ -13,7 +13,7 @@ from indexframe.llm import queries, toxicity
 
 from .conftest import write_tables
 
-SMALL = "/root/testdata/sf0.001"
+MIDDLE = "/root/testdata/sf0.01"
 
 
 def plain_terms(text):
@@ -26,7 +26,7 @@ def cosines(own, others):
     return [sum(w * o[t] for t, w in own.items() if t in o) for o in others]
 
 
-def plain_vote(pairs, base, k=200, prior=0.2):
+def plain_vote(pairs, base, k=15, prior=0.2):
     near = sorted((p for p in pairs if p[0] > 0), key=lambda p: -p[0])[:k]
     weight = [1 / (1.05 - min(c, 1.0)) for c, _ in near]
     share = (sum(w * y for w, (_, y) in zip(weight, near, strict=True)) + prior * base) / (sum(weight) + prior)
@@ -35,8 +35,8 @@ def plain_vote(pairs, base, k=200, prior=0.2):
 
 
 def test_query_against_plain_neighbours(spark):
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
     ids = [i for i in labels if i in docs]
     counts = [plain_terms(docs[i]) for i in ids]
     df, n = Counter(t for c in counts for t in c), len(ids)
@@ -48,14 +48,15 @@ def test_query_against_plain_neighbours(spark):
         return {t: x / norm for t, x in w.items()}
 
     vectors, y = [vector(c) for c in counts], [labels[i] for i in ids]
-    base = (sum(y) + 0.5) / (n + 1)
-    own = [plain_vote([p for j, p in enumerate(zip(cosines(v, vectors), y, strict=True)) if j != i], base) for i, v in enumerate(vectors)]
-    rows = queries()["op1_toxicity"](spark, SMALL).collect()
+    base, k = (sum(y) + 0.5) / (n + 1), n // 16
+    assert k > 15
+    own = [plain_vote([p for j, p in enumerate(zip(cosines(v, vectors), y, strict=True)) if j != i], base, k) for i, v in enumerate(vectors)]
+    rows = queries()["op1_toxicity"](spark, MIDDLE).collect()
     assert len(rows) == len(docs)
     votes = {}
     for r in rows:
         near = cosines(vector(plain_terms(docs[r.doc_id])), vectors)
-        votes[r.doc_id] = plain_vote(list(zip(near, y, strict=True)), base)
+        votes[r.doc_id] = plain_vote(list(zip(near, y, strict=True)), base, k)
         want = sorted((c for c in near if c > 0), reverse=True)[:5]
         assert [e.cosine for e in r.evidence] == pytest.approx(want)
         assert all(labels[e.doc_id] == e.label and e.cosine == pytest.approx(near[ids.index(e.doc_id)]) for e in r.evidence)
@@ -79,7 +80,7 @@ def test_search_skips_blocks_that_can_only_tie():
     v = (np.array([0, 1]), np.array([0.6, 0.8]))
     index = toxicity.BlockMaxIndex([v] * 1000, 2, 10)
     seen, add = [], index._add
-    index._add = lambda score, start, w, blocks: (seen.append(len(blocks)), add(score, start, w, blocks))
+    index._add = lambda score, blocks, *more: (seen.append(len(blocks)), add(score, blocks, *more))
     near, cosine = index.search(*v, 15)
     assert near.tolist() == list(range(15)) and np.allclose(cosine, 1) and sum(seen) == 2
 
