@@ -44,7 +44,7 @@ class Params:
     """``block``: characters of a block of documents, about.  ``bucket``: bytes of text for which there is a bucket of
     words.  ``fold``: bytes of the longest word that is folded as an array; longer ones are merged with a heap, to the same ids."""
 
-    block: int = 24_000_000
+    block: int = 14_000_000
     bucket: int = 4_000_000
     fold: int = 256
 
