@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import no_null_text, shuffle_width, table, written_by_hash
+from .common import no_null_text, shuffle_width, table, tidy, written_by_hash
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -291,6 +291,7 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
+@tidy
 def _pack(batches: Iterator[pa.RecordBatch], limit: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """A row a block, of bucket -1, with its documents in terms of its words; and one a block and bucket with the words."""
     whole = TaskContext.get().partitionId() << 32
@@ -308,7 +309,7 @@ def _pack(batches: Iterator[pa.RecordBatch], limit: int, buckets: int) -> Iterat
         place[order] = np.arange(len(words))
         codes = np.concatenate(block.codes)
         yield batch([(whole + number, -1, block.doc_ids, block.sizes, _pressed(codes), _pressed(sizes), _pressed(place[flat]), None, None)])
-        block.chunks = _Chunks()
+        del block, codes, flat, sizes, place
         held, cuts = [], [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(words)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if lo < hi:
@@ -322,6 +323,7 @@ def _pack(batches: Iterator[pa.RecordBatch], limit: int, buckets: int) -> Iterat
             yield batch(held)
 
 
+@tidy
 def _gather(batches: Iterator[pa.RecordBatch], fold: int, ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
     """bucket, block, lengths, words, sorted by bucket -> the distinct words of each bucket, and where its blocks have them."""
     number, blocks, places, bucket = {}, [], [], None
@@ -354,6 +356,7 @@ def _gather(batches: Iterator[pa.RecordBatch], fold: int, ranks: dict[bytes, int
         yield made()
 
 
+@tidy
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Folded buckets -> block, bucket and the ids of the block's words of the bucket: how many each has, and all of them."""
     for batch in batches:
@@ -373,6 +376,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(arrays, ["block", "bucket", "sizes", "ids"])
 
 
+@tidy
 def _digest(batches: Iterator[pa.RecordBatch], pieces: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
     """doc_ids, sizes, codes, chunk_sizes, chunk_words and the block's ids by bucket -> digests of each document."""
     types = [pa.int64(), pa.int64(), pa.string(), pa.string()]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +76,26 @@ def written_by_hash(df: DataFrame, name: str, key: str, buckets: int) -> DataFra
     return found
 
 
+def tidy(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A function over Arrow batches that gives the memory it freed back to the system at its end.
+
+    Python workers are used again and share an executor's memory with its JVM; allocators keep what was freed for themselves.
+    """
+
+    @wraps(run)
+    def tidied(*args, **named) -> Iterator:
+        try:
+            yield from run(*args, **named)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import no_null_text, table
+from .common import no_null_text, table, tidy
 from .wordhash import SPACE, Prefix, bounds, mix, slices
 
 BITS = 18
@@ -183,12 +183,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, p: Params = Params(), label: str = "quality") -> Model:
     sample = labelled_sample(docs, labels, label, allowed, p.sample, p.seed)
 
+    @tidy
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([features(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "y", "x"]
             )
 
+    @tidy
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
         m = train([np.frombuffer(x, np.int32) for _, _, x in got], np.array([y for _, y, _ in got]), p)
@@ -234,10 +236,13 @@ def keep_if(docs: DataFrame, model_score, wanted) -> DataFrame:
     """The rows of ``docs`` whose text's score ``wanted`` accepts, all their columns as they were; no shuffle."""
     at = docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model_score()
         for batch in batches:
-            yield batch.filter(pa.array([bool(wanted(score(t.as_py()))) for t in batch.column(at)], pa.bool_()))
+            for lo in range(0, batch.num_rows, 1000):
+                some = batch.slice(lo, 1000)
+                yield some.filter(pa.array([bool(wanted(score(t.as_py()))) for t in some.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

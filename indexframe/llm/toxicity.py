@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 from .quality import keep_if, labelled_sample, logistic, remainder
 from .wordhash import Prefix, bounds, mix, slices
 
@@ -300,12 +300,14 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, p: Params = Params(
     """Texts become term counts on the executors; those of the sample, which is bounded, meet in one task, which learns the model."""
     sample = labelled_sample(docs, labels, label, allowed, p.sample, p.seed)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [counted(t.as_py()) for t in batch.column(2)]
             arrays = [pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "y", "h", "n"])
 
+    @tidy
     def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = []
         for b in batches:
@@ -324,6 +326,7 @@ def scored(docs: DataFrame, model: Packed) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value.model
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
