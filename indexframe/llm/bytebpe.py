@@ -16,13 +16,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -303,7 +303,8 @@ def _pack(batches: Iterator[pa.RecordBatch], limit: int, buckets: int) -> Iterat
 
     for number, block in enumerate(_blocks(batches, limit)):
         words, flat, sizes = block.words()
-        bucket = (pd.util.hash_array(np.array(words, object), categorize=False) % np.uint64(buckets)).astype(np.int64) if words else np.empty(0, np.int64)
+        words = [w.encode() for w in words]
+        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
@@ -313,7 +314,7 @@ def _pack(batches: Iterator[pa.RecordBatch], limit: int, buckets: int) -> Iterat
         held, cuts = [], [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(words)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if lo < hi:
-                raw = [words[i].encode() for i in order[lo:hi].tolist()]
+                raw = [words[i] for i in order[lo:hi].tolist()]
                 lengths = _pressed(np.fromiter(map(len, raw), np.int64, len(raw)))
                 held.append((whole + number, int(bucket[order[lo]]), None, None, None, None, None, lengths, press(b"".join(raw))))
             if len(held) >= 1000:
