@@ -15,7 +15,8 @@ _FOUND = f"SELECT doc_id FROM {_DOCS} WHERE "
 
 
 def _index(t: Tables) -> ft.TextIndex:
-    return ft.TextIndex.of(t.documents, "doc_id", ft.Field("text", F.col("text")), ft.Field("lang", F.col("lang"), analyzed=False), default="text")
+    fields = ft.Field("text", F.col("text")), ft.Field("lang", F.col("lang"), analyzed=False), ft.Field("n_chars", F.col("n_chars"), number=True)
+    return ft.TextIndex.of(t.documents, "doc_id", *fields, default="text")
 
 
 def _ids(t: Tables, query: ft.TextQuery) -> DataFrame:
@@ -103,6 +104,35 @@ def fts_exact_field(t: Tables) -> DataFrame:
     return _ids(t, ft.all_of(ft.Clause("lang", on_term=lambda x: x == "en"), ft.term("text", "with")))
 
 
+@case(
+    _FOUND + "(list_contains(tok, 'idiot') OR contains(' ' || array_to_string(tok, ' ') || ' ', ' of the ') OR len(list_filter(tok, lambda x: starts_with(x, 'pathe'))) > 0)"
+    " AND lang <> 'de' AND NOT list_contains(tok, 'clown')"
+)
+def fts_query_string(t: Tables) -> DataFrame:
+    return _ids(t, '(idiot OR "of the" OR text:pathe*) AND NOT lang:de AND NOT clown')
+
+
+@case(_FOUND + "list_contains(tok, 'the') AND NOT len(list_filter(tok, lambda x: levenshtein(x, 'moron') <= 1)) > 0 AND n_chars >= 200 AND n_chars < 900")
+def fts_signed_query(t: Tables) -> DataFrame:
+    return _ids(t, "+the -moron~1 +n_chars:[200 TO 900} and")
+
+
+@case(_FOUND + "n_chars > 500 AND n_chars <= 1000")
+def fts_numeric_range(t: Tables) -> DataFrame:
+    return _ids(t, "n_chars:{500 TO 1000]")
+
+
+@case(f"SELECT count(*) AS n FROM {_DOCS} WHERE list_contains(tok, 'the')")
+def fts_default_max(t: Tables) -> DataFrame:
+    return _index(t).search("the").agg(F.count(F.lit(1)).alias("n"))
+
+
+@case(_FOUND + "len(list_filter(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> ''), lambda x: x = 'the')) > 0")
+def fts_custom_analyzer(t: Tables) -> DataFrame:
+    letters = ft.Field("text", F.col("text"), analyzer=lambda c: F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: w != ""))
+    return ft.TextIndex.of(t.documents, "doc_id", letters).query(ft.all_of(ft.term("text", "the"))).select("doc_id")
+
+
 @case("SELECT item_id, regexp_replace(text, '\\b([Tt][Hh][Ee])\\b', '<b>\\1</b>', 'g') AS marked FROM benchmark WHERE regexp_matches(text, '^[\\x00-\\x7f]*$')")
 def fts_highlight(t: Tables) -> DataFrame:
     ascii_only = t.benchmark.where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
@@ -134,6 +164,26 @@ def vec_like_entity(t: Tables) -> DataFrame:
     return _scored(_vectors(t).search_like(3, 10))
 
 
+@case(_top(_COS, k=7))
+def vec_beam(t: Tables) -> DataFrame:
+    v = _vectors(t)
+    return _scored(v.search(v.vector_of(3), 7, beam=3))
+
+
+@case(_top(_COS, "WHERE vec_id % 3 <> 0"))
+def vec_null_vectors(t: Tables) -> DataFrame:
+    rows = t.embeddings.withColumn("embedding", F.when(F.col("vec_id") % 3 != 0, F.col("embedding")))
+    return _scored(VectorIndex(rows, "vec_id", "embedding", 64).search(_vectors(t).vector_of(3), 10))
+
+
+@case("""SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY
+list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b) WHERE rank <= 10""")
+def vec_batch_all(t: Tables) -> DataFrame:
+    """Every vector asks."""
+    asks = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return _vectors(t, DOT_PRODUCT).search_batch(asks, 10).select("query_id", "vec_id", "rank")
+
+
 @case(_top(_DOT))
 def vec_dot(t: Tables) -> DataFrame:
     return _scored(_vectors(t, DOT_PRODUCT).search_like(3, 10))

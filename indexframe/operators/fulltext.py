@@ -19,12 +19,13 @@ K1, B = 1.2, 0.75
 
 @dataclass(frozen=True)
 class Field:
-    """``analyzed``: tokenised text, else an exact value."""
+    """``analyzed``: tokenised text, else an exact value.  ``number``: a number, whose ranges compare as numbers."""
 
     name: str
     column: Column
     analyzed: bool = True
     analyzer: Callable[[Column], Column] = tokens
+    number: bool = False
 
 
 @dataclass(frozen=True)
@@ -65,14 +66,29 @@ def between(name: str, low: str, high: str) -> Clause:
     return Clause(name, on_term=lambda t: t.between(low, high))
 
 
+def number(name: str, low: float | None, high: float | None, *, with_low: bool = True, with_high: bool = True) -> Clause:
+    """A number between bounds; None is no bound.  Ranges don't score."""
+
+    def test(own: Column) -> Column:
+        x = F.get(own, F.lit(0))
+        return (x.isNotNull() if low is None else x >= low if with_low else x > low) & (F.lit(True) if high is None else x <= high if with_high else x < high)
+
+    return Clause(name, on_tokens=test)
+
+
+def everything() -> Clause:
+    return Clause("*", on_tokens=lambda own: F.lit(True))
+
+
 def phrase(name: str, text: str) -> Clause:
-    """The words of a text one after another."""
+    """The words of a text one after another; a text without words matches nothing."""
     words = [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()]
-    wanted = F.array(*map(F.lit, words))
-
     def found(own: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(own) - len(words) + 1)
-        return F.when(F.size(own) >= len(words), F.exists(starts, lambda i: F.slice(own, i, F.lit(len(words))) == wanted)).otherwise(False)
+        return F.when(F.size(own) >= len(words), F.exists(starts, lambda i: F.slice(own, i, F.lit(len(words))) == F.array(*map(F.lit, words)))).otherwise(False)
+
+    if not words:
+        return Clause(name, on_tokens=lambda own: F.lit(False))
 
     def test(own: Column) -> Column:
         # Bound once: inside the lambda of exists the tokens would be made anew for every start.
@@ -83,11 +99,21 @@ def phrase(name: str, text: str) -> Clause:
 
 @dataclass(frozen=True)
 class TextQuery:
-    """``must`` all, ``must_not`` none and, if there is no ``must``, some ``should``; negations alone match nothing."""
+    """``must`` all, ``must_not`` none and, if there is no ``must``, some ``should``; negations alone match nothing.
+
+    A part is a clause or another query.
+    """
+
+    must: tuple[Clause | TextQuery, ...] = ()
+    should: tuple[Clause | TextQuery, ...] = ()
+    must_not: tuple[Clause | TextQuery, ...] = ()
 
-    must: tuple[Clause, ...] = ()
-    should: tuple[Clause, ...] = ()
-    must_not: tuple[Clause, ...] = ()
+    def boost(self, factor: float) -> TextQuery:
+        return TextQuery(*(tuple(p.boost(factor) for p in parts) for parts in (self.must, self.should)), self.must_not)
+
+    def scoring(self) -> list[Clause]:
+        """The clauses over terms that count for the score."""
+        return [c for p in (*self.must, *self.should) for c in (p.scoring() if isinstance(p, TextQuery) else [p]) if c.on_term is not None]
 
 
 def all_of(*clauses: Clause) -> TextQuery:
@@ -109,18 +135,61 @@ class TextIndex:
     def of(rows: DataFrame, entity_id: str, *fields: Field, default: str | None = None) -> TextIndex:
         return TextIndex(rows, entity_id, {f.name: f for f in fields}, default)
 
-    def _tokens(self, name: str) -> Column:
+    def field(self, name: str | None) -> Field:
         found = self.fields.get(name or self.default_field or "")
         if found is None:
             raise KeyError(f"no field {name!r}; there are {sorted(self.fields)}")
+        return found
+
+    def named(self, name: str | None) -> str:
+        return self.field(name).name
+
+    def phrase_of(self, name: str | None, text: str) -> Clause:
+        """What a text without operators asks of a field: a number, an exact value, a term or a phrase."""
+        f = self.field(name)
+        if f.number:
+            return number(f.name, float(text), float(text))
+        if not f.analyzed:
+            return Clause(f.name, on_term=lambda t: t == F.lit(text))
+        words = "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+        return term(f.name, words[0]) if len(words) == 1 else phrase(f.name, text)
+
+    def range_of(self, name: str | None, low: str | None, high: str | None, with_low: bool, with_high: bool) -> Clause:
+        f = self.field(name)
+        if f.number:
+            return number(f.name, None if low is None else float(low), None if high is None else float(high), with_low=with_low, with_high=with_high)
+        bound = (lambda x: x) if not f.analyzed else str.lower
+
+        def test(t: Column) -> Column:
+            above = F.lit(True) if low is None else t >= bound(low) if with_low else t > bound(low)
+            return above & (F.lit(True) if high is None else t <= bound(high) if with_high else t < bound(high))
+
+        return Clause(f.name, on_term=test)
+
+    def _tokens(self, name: str) -> Column:
+        if name == "*":
+            return F.array(F.lit(""))
+        found = self.field(name)
+        if found.number:
+            return F.array(found.column.cast("double"))
         return found.analyzer(found.column) if found.analyzed else F.array(found.column)
 
-    def _hit(self, clause: Clause) -> Column:
+    def _read(self, query: TextQuery | str) -> TextQuery:
+        if isinstance(query, TextQuery):
+            return query
+        from .textquery import parse
+
+        return parse(query, self)
+
+    def _hit(self, clause: Clause | TextQuery) -> Column:
+        if isinstance(clause, TextQuery):
+            return self.matches(clause)
         own = self._tokens(clause.field)
         hit = clause.on_tokens(own) if clause.on_tokens else F.exists(own, clause.on_term)
         return F.coalesce(hit, F.lit(False))
 
-    def matches(self, query: TextQuery) -> Column:
+    def matches(self, query: TextQuery | str) -> Column:
+        query = self._read(query)
         any_, all_ = F.lit(False), F.lit(True)
         for c in query.should:
             any_ = any_ | self._hit(c)
@@ -130,18 +199,19 @@ class TextIndex:
             all_ = all_ & ~self._hit(c)
         return all_ if query.must else all_ & any_
 
-    def query(self, query: TextQuery) -> DataFrame:
-        """The matching documents, unscored."""
+    def query(self, query: TextQuery | str) -> DataFrame:
+        """The matching documents, unscored.  A string is read as ``textquery`` says."""
         return self.df.where(self.matches(query))
 
-    def search(self, query: TextQuery, most: int | None = None, offset: int = 0) -> DataFrame:
+    def search(self, query: TextQuery | str, most: int | None = None, offset: int = 0) -> DataFrame:
         """Matching documents with their BM25 score, best first, ties by id.
 
         A clause over terms scores by the terms it hits together: their count in the document, and the number of
         documents that it hits.  Phrases and must-nots don't score.  One pass counts what scores need, one
-        scores; documents aren't shuffled.
+        scores; documents aren't shuffled.  Without ``most`` all matches come; none do if it isn't positive.
         """
-        clauses = [c for c in (*query.must, *query.should) if c.on_term is not None]
+        query = self._read(query)
+        clauses = query.scoring()
         if most is not None and most <= 0:
             return self.df.withColumn("score", F.lit(0.0)).where(F.lit(False))
         rows, score = self.df, F.lit(0.0)
@@ -163,7 +233,7 @@ class TextIndex:
         scored = scored.offset(offset) if offset else scored
         return scored if most is None else scored.limit(most)
 
-    def facets(self, query: TextQuery, facet: Column) -> DataFrame:
+    def facets(self, query: TextQuery | str, facet: Column) -> DataFrame:
         return self.query(query).groupBy(facet.alias("facet")).agg(F.count(F.lit(1)).alias("count"))
 
 

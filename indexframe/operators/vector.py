@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,65 @@ from ..functions.vectors import COSINE, DOT_PRODUCT, EUCLIDEAN, dot, similarity,
 PRESETS = {"small": (8, 50), "medium": (16, 100), "large": (32, 200), "high_precision": (64, 400)}
 
 
+#: Vectors of a block, at most: blocks are multiplied as matrices, so this bounds a task's memory.
+BLOCK = 4096
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _scores(q: np.ndarray, x: np.ndarray, kind: str) -> np.ndarray:
+    """All scores of the rows of ``q`` with those of ``x``, in double precision."""
+    if kind == DOT_PRODUCT:
+        return q @ x.T
+    if kind == EUCLIDEAN:
+        return 1 / (1 + np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * (q @ x.T), 0.0))
+    lengths = [np.sqrt((m * m).sum(1)) for m in (q, x)]
+    return (q / np.where(lengths[0] > 0, lengths[0], 1)[:, None]) @ (x / np.where(lengths[1] > 0, lengths[1], 1)[:, None]).T
+
+
+def _blocks_of(rows: DataFrame, size: int) -> int:
+    """Blocks for about so many rows each, from a count."""
+    return max(1, -(-rows.count() // size))
+
+
+def _meeting(left: DataFrame, right: DataFrame, n: int, m: int, upper: bool = False) -> DataFrame:
+    """Rows (side, i, v) of both sides dealt into blocks, every pair (x, y) of blocks once; ``upper``: pairs with x <= y."""
+    block = lambda k: F.pmod(F.xxhash64("i"), F.lit(k)).cast("int")
+    others = lambda k: F.sequence(F.lit(0), F.lit(k - 1))
+    a = left.withColumn("x", block(n)).withColumn("y", F.explode(F.sequence("x", F.lit(m - 1)) if upper else others(m)))
+    b = right.withColumn("y", block(m)).withColumn("x", F.explode(F.sequence(F.lit(0), "y") if upper else others(n)))
+    both = a.select("x", "y", F.lit(0).alias("side"), "i", "v").unionByName(b.select("x", "y", F.lit(1).alias("side"), "i", "v"))
+    pairs = n * (n + 1) // 2 if upper else n * m
+    return both.repartition(min(pairs, 8192), "x", "y").sortWithinPartitions("x", "y", "side", "i")
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """ids and vectors of both sides of each pair of blocks."""
+    held: list[pa.RecordBatch] = []
+
+    def made():
+        t = pa.Table.from_batches(held).combine_chunks()
+        cut = int(np.searchsorted(t.column(2).to_numpy(), 1))
+        ids, v = t.column(3).to_numpy(), t.column(4).combine_chunks()
+        if 0 < cut < len(ids):
+            yield ids[:cut], _matrix(v[:cut]), ids[cut:], _matrix(v[cut:])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != tuple(key[lo].tolist()):
+                yield from made()
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield from made()
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     """Rows with a vector of fixed dimension.  Rows whose vector is null take no part."""
@@ -58,20 +118,35 @@ class VectorIndex:
         """Search with a row's own vector; the row itself is among the results."""
         return self.search(self.vector_of(entity_id), k)
 
-    def search_batch(self, queries: DataFrame, k: int, blocks: int = 16) -> DataFrame:
-        """k rows a query (id, vector as in the index, called query_id and query_vector): query_id, rank, id, score.
+    def search_batch(self, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+        """k rows a query (query_id long, query_vector): query_id, rank, id, score.  Ids are whole numbers and unique.
 
-        The index is dealt into blocks and the queries are sent to each; a block keeps its own k best of a
-        query (on the map side of the window), so the merge gets ``blocks * k`` rows a query.
+        Index and queries are dealt into blocks of at most about ``block`` rows; every pair of blocks is one matrix product, of
+        which each query's k best are kept, so the merge gets k rows a query and block.
         """
         if k <= 0:
             raise ValueError("k must be positive")
-        numbers = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        rows = self.df.where(F.col(self.vector).isNotNull()).withColumn("__b", F.pmod(F.xxhash64(self.id), F.lit(blocks)).cast("int"))
-        pairs = rows.join(queries.select("query_id", "query_vector", numbers.alias("__b")), "__b")
-        scored = pairs.select("query_id", "__b", self.id, similarity(F.col(self.vector), F.col("query_vector"), self.kind).alias("score"))
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), self.id)
-        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", self.id, "score")
+        kind = self.kind
+        rows = self.df.where(F.col(self.vector).isNotNull()).select(F.col(self.id).cast("long").alias("i"), F.col(self.vector).alias("v"))
+        asks = queries.where(F.col("query_vector").isNotNull()).select(F.col("query_id").cast("long").alias("i"), F.col("query_vector").cast(rows.schema["v"].dataType).alias("v"))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for qids, q, ids, x in _block_pairs(batches):
+                for at in range(0, len(qids), 256):
+                    score = _scores(q[at : at + 256], x, kind)
+                    out = []
+                    for qid, s in zip(qids[at : at + 256], score, strict=True):
+                        near = np.arange(len(s))
+                        if len(s) > k:
+                            edge = np.partition(s, len(s) - k)[len(s) - k]
+                            near = np.flatnonzero(s >= edge - 1e-9)  # ids ascend, so ties are cut where the order is known
+                            near = near[np.lexsort((ids[near], -s[near]))[:k]]
+                        out.append((np.full(len(near), qid), ids[near], s[near]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "i", "score"])
+
+        found = _meeting(asks, rows, _blocks_of(asks, block), _blocks_of(rows, block)).mapInArrow(best, "query_id long, i long, score double")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "i")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("i").alias(self.id), "score")
 
     def within(self, vector: Sequence[float], k: int, least: float) -> DataFrame:
         """Of the k nearest, those that score at least so much."""
@@ -89,23 +164,34 @@ class VectorIndex:
     def near_duplicates(self, least: float, tables: int = 0, bits: int = 0, seed: int = 3) -> DataFrame:
         """Pairs (a < b) of cosine at least ``least`` with their score.
 
-        Exact for ``tables == 0``: rows meet by blocks.  Else random hyperplanes deal the rows into ``tables`` times
-        2**``bits`` buckets, and only rows of one bucket meet: faster, and pairs may be missed.
+        Exact for ``tables == 0``: rows meet by blocks, each pair of blocks in one matrix product.  Else random hyperplanes deal the
+        rows into ``tables`` times 2**``bits`` buckets, and only rows of one bucket meet: faster, and pairs may be missed.
         """
+        if not tables:
+            plain = self.df.where(F.col(self.vector).isNotNull()).select(F.col(self.id).cast("long").alias("i"), F.col(self.vector).alias("v"))
+            n = _blocks_of(plain, BLOCK)
+
+            def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for ids, x, others, y in _block_pairs(batches):
+                    for at in range(0, len(ids), 512):
+                        score = _scores(x[at : at + 512], y, COSINE)
+                        a, b = np.nonzero(score >= least)
+                        u, v, s = ids[at : at + 512][a], others[b], score[a, b]
+                        # A block with itself sees a pair twice, two blocks once; either way the smaller id comes first.
+                        low, high = np.minimum(u, v), np.maximum(u, v)
+                        keep = (u < v) if np.array_equal(ids, others) else u != v
+                        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (low, high, s)], ["a", "b", "score"])
+
+            return _meeting(plain, plain, n, n, upper=True).mapInArrow(near, "a long, b long, score double")
         rows = self.df.where(F.col(self.vector).isNotNull()).select(F.col(self.id).alias("i"), unit(F.col(self.vector)).alias("v"))
-        if tables:
-            plane = lambda t, b: F.transform(F.sequence(F.lit(1), F.lit(self.dimension)), lambda d: F.when(F.xxhash64(F.lit(seed), F.lit(t), F.lit(b), d) % 2 == 0, 1.0).otherwise(-1.0))
-            side = lambda t, b: F.when(F.aggregate(F.zip_with("v", plane(t, b), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x) >= 0, F.lit(1 << b)).otherwise(F.lit(0))
-            marks = [F.struct(F.lit(t).alias("t"), sum((side(t, b) for b in range(bits)), F.lit(0)).alias("m")) for t in range(tables)]
-            left = rows.withColumn("k", F.explode(F.array(*marks)))
-            right = left
-        else:
-            n = 16
-            left = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("k", F.struct(F.pmod(F.xxhash64("i"), F.lit(n)).cast("int").alias("b"), "c")).drop("c")
-            right = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("k", F.struct("b", F.pmod(F.xxhash64("i"), F.lit(n)).cast("int").alias("c"))).drop("b")
+        plane = lambda t, b: F.transform(F.sequence(F.lit(1), F.lit(self.dimension)), lambda d: F.when(F.xxhash64(F.lit(seed), F.lit(t), F.lit(b), d) % 2 == 0, 1.0).otherwise(-1.0))
+        side = lambda t, b: F.when(F.aggregate(F.zip_with("v", plane(t, b), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x) >= 0, F.lit(1 << b)).otherwise(F.lit(0))
+        marks = [F.struct(F.lit(t).alias("t"), sum((side(t, b) for b in range(bits)), F.lit(0)).alias("m")) for t in range(tables)]
+        left = rows.withColumn("k", F.explode(F.array(*marks)))
+        right = left
         met = left.alias("x").join(right.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.i") < F.col("y.i")))
         found = met.select(F.col("x.i").alias("a"), F.col("y.i").alias("b"), dot(F.col("x.v"), F.col("y.v")).alias("score")).where(F.col("score") >= least)
-        return found.dropDuplicates(["a", "b"]) if tables else found
+        return found.dropDuplicates(["a", "b"])
 
 
 def vectorized(rows: DataFrame, source: str, name: str, vectorizer: Callable[[list], list[Sequence[float] | None]]) -> DataFrame:

@@ -174,3 +174,73 @@ def test_windows_on_a_stream(spark, tmp_path):
     query.stop()
     assert sorted(r.n for r in spark.table("w").collect()) == [1, 1, 2]
     assert windows.sessions(df, "ts", "30 minutes", ["kind"], F.count("*").alias("n")).count() == 3
+
+
+def test_query_strings(spark):
+    from indexframe.operators import fulltext as ft
+    from indexframe.operators.textquery import QuerySyntaxError
+
+    rows = [(1, "The quick brown fox", "en", 5), (2, "quick red fox", "en", 10), (3, "brown bear", "de", 15), (4, None, None, None), (5, "well-known a*b", "fr", 20)]
+    df = spark.createDataFrame(rows, "id long, body string, lang string, year int")
+    index = ft.TextIndex.of(df, "id", ft.Field("body", F.col("body")), ft.Field("lang", F.col("lang"), analyzed=False), ft.Field("year", F.col("year"), number=True), default="body")
+    want = {
+        "fox": {1, 2},
+        '"quick brown"': {1},
+        "quick AND fox AND NOT red": {1},
+        "quick bear": {1, 2, 3},
+        "+brown -fox": {3},
+        "brown AND (fox OR bear)": {1, 3},
+        "lang:(de OR fr)": {3, 5},
+        "year:[5 TO 10]": {1, 2},
+        "year:{5 TO 15}": {2},
+        "year:[* TO 10}": {1},
+        "body:[bear TO brown]": {1, 3},
+        "br*n OR b?ar": {1, 3},
+        "quikc~2": {1, 2},
+        "well-known": {5},
+        "-fox": set(),
+        "*:* -fox": {3, 4, 5},
+        "fox^3 OR bear": {1, 2, 3},
+        "red OR brown AND bear": {2, 3},
+        "lang:DE": set(),
+    }
+    for text, ids in want.items():
+        assert {r.id for r in index.query(text).collect()} == ids, text
+    assert [r.id for r in index.search("fox OR red^5").collect()][0] == 2
+    assert index.search("fox", 0).count() == 0
+    for bad in ("(fox", "fox)", "year:[5]", "", "AND fox", "field:"):
+        with pytest.raises(QuerySyntaxError):
+            index.query(bad)
+    with pytest.raises(KeyError):
+        index.query("nofield:x")
+
+
+def test_hashed_near_duplicates_find_most(spark):
+    import numpy as np
+
+    from indexframe.operators.vector import VectorIndex
+
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(100, 16))
+    rows = [(i, [float(t) for t in base[i % 100] + 0.05 * rng.normal(size=16)]) for i in range(300)]
+    index = VectorIndex(spark.createDataFrame(rows, "id long, v array<float>"), "id", "v", 16)
+    exact = {(r.a, r.b) for r in index.near_duplicates(0.95).collect()}
+    hashed = {(r.a, r.b) for r in index.near_duplicates(0.95, tables=6, bits=4).collect()}
+    assert len(exact) >= 300 and hashed <= exact and len(hashed) >= 0.9 * len(exact)
+
+
+def test_batches_of_many_small_blocks(spark):
+    import numpy as np
+
+    from indexframe.operators.vector import EUCLIDEAN, VectorIndex
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 8))
+    df = spark.createDataFrame([(i, [float(t) for t in v]) for i, v in enumerate(x)] + [(999, None)], "id long, v array<double>")
+    got = VectorIndex(df, "id", "v", 8, EUCLIDEAN).search_batch(df.selectExpr("id query_id", "v query_vector"), 5, block=20).collect()
+    near = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        near.setdefault(r.query_id, []).append(r.id)
+    for q in range(150):
+        assert near[q] == np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[:5].tolist()
+    assert set(near) == set(range(150))
