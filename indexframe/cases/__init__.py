@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fields, flows, predicates, searches, stores  # noqa: F401  they register
+from . import fields, flows, predicates, searches, tables  # noqa: F401  they register
 from .registry import QUERIES, SQL, Query
 
 

@@ -119,9 +119,38 @@ def ts_not_in(t: Tables) -> DataFrame:
     return _events(t, lambda k: k.not_in(at))
 
 
-@case(_EVENTS + "hour(ts) = 8 AND minute(ts) = 15 AND second(ts) < 60")
+@case(_EVENTS + f"date_trunc('second', CAST(ts AS TIMESTAMP))::TIME = (SELECT date_trunc('second', ts)::TIME FROM events ORDER BY event_id LIMIT 1 OFFSET 500)")
 def ts_time(t: Tables) -> DataFrame:
-    return _events(t, lambda k: k.is_hour(8) & k.is_minute(15))
+    at = _middle(t)
+    return _events(t, lambda k: k.is_time(at.hour, at.minute, at.second))
+
+
+@case(_EVENTS + f"date_trunc('second', ts) = date_trunc('second', {_MIDDLE})")
+def ts_date_time(t: Tables) -> DataFrame:
+    at = _middle(t)
+    return _events(t, lambda k: k.is_date_time(at.year, at.month, at.day, at.hour, at.minute, at.second))
+
+
+@case(_IDS + "year(o_orderdate) >= 9999 OR CAST(o_orderdate AS DATE) = DATE '1995-06-17'")
+def ts_end_of_calendar(t: Tables) -> DataFrame:
+    return _orders(t, lambda k: k.is_year(9999) | k.is_date(9999, 12, 31) | k.is_date(1995, 6, 17))
+
+
+_ZONE = "CASE event_id % 4 WHEN 0 THEN '+02:00' WHEN 1 THEN '-05:30' WHEN 2 THEN 'UTC' END"
+_UTC = "CASE event_id % 4 WHEN 0 THEN ts - INTERVAL 2 HOUR WHEN 1 THEN ts + INTERVAL 330 MINUTE WHEN 2 THEN ts END"
+
+
+@case(_EVENTS + f"date_trunc('second', {_UTC}) > date_trunc('second', {_MIDDLE}) - INTERVAL 3 HOUR AND date_trunc('second', {_UTC}) <= date_trunc('second', {_MIDDLE})")
+def ts_zoned(t: Tables) -> DataFrame:
+    key, at = K.ZonedKey("at", "ts", _ZONE), _middle(t)
+    east = at.replace(tzinfo=dt.timezone.utc).astimezone(dt.timezone(dt.timedelta(hours=9)))  # the same instant
+    return Collection(t.events, "event_id").query(key.after(at - dt.timedelta(hours=3)) & key.before_equal(east)).df().select("event_id")
+
+
+@case(_EVENTS + f"hour({_UTC}) = 23 OR event_id % 4 = 3")
+def ts_zoned_fields(t: Tables) -> DataFrame:
+    key = K.ZonedKey("at", "ts", _ZONE)
+    return Collection(t.events, "event_id").query(key.is_hour(23) | key.is_null()).df().select("event_id")
 
 
 @case(_IDS + "date_trunc('month', o_orderdate) >= DATE '1995-02-01' AND date_trunc('month', o_orderdate) <= DATE '1995-04-01'")
@@ -257,13 +286,11 @@ def geo_box_antimeridian(t: Tables) -> DataFrame:
     return _place(t, lambda k: k.within_box(-40, 40, 170, -165))
 
 
-def _near_sql() -> str:
-    south, north, west, east = geo.box(10.0, 20.0, 3000.0)
-    f = geo.fixed_number
-    return _PEOPLE + f"{_FLAT} BETWEEN {f(south)} AND {f(north)} AND {_FLON} BETWEEN {f(west)} AND {f(east)}"
+# 3000 km around 10 N, 20 E, by the definition: degrees to the north and south, and to the east and west.
+_REACH, _SIDE = "degrees(3000.0 / 6371.0)", "degrees(3000.0 / 6371.0) / cos(radians(10.0))"
 
 
-@case(_near_sql())
+@case(_PEOPLE + f"{_LAT} BETWEEN 10.0 - {_REACH} AND 10.0 + {_REACH} AND {_LON} BETWEEN 20.0 - {_SIDE} AND 20.0 + {_SIDE}")
 def geo_near(t: Tables) -> DataFrame:
     return _place(t, lambda k: k.near(10.0, 20.0, 3000.0))
 
@@ -274,7 +301,13 @@ _KM = f"(2 * 6371.0 * atan2(sqrt({_A}), sqrt(1 - {_A})))"
 
 @case(_PEOPLE + f"{_KM} <= 2500")
 def geo_radius(t: Tables) -> DataFrame:
-    return _place(t, lambda k: k.near(10.0, 20.0, 2500.0) & k.within_radius(10.0, 20.0, 2500.0))
+    return _place(t, lambda k: k.within_radius(10.0, 20.0, 2500.0))
+
+
+@case("SELECT c_custkey FROM customer WHERE c_custkey % 4 = 1")
+def geo_null(t: Tables) -> DataFrame:
+    lat, lon = (f"CASE WHEN c_custkey % 4 <> 1 THEN {x} END" for x in (_LAT, _LON))
+    return Collection(t.customer, "c_custkey").query(K.SpatialKey("place", lat, lon).is_null()).df().select("c_custkey")
 
 
 @case(f"SELECT c_custkey, round({_KM}, 4) AS km FROM customer ORDER BY {_KM}, c_custkey LIMIT 10")

@@ -59,6 +59,20 @@ def query_count(t: Tables) -> DataFrame:
     return o.query(o.key("status").is_("F")).or_(o.key("price").less_than(1000.0)).df().agg(_n())
 
 
+@case("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderstatus = 'P'")
+def query_execute(t: Tables) -> DataFrame:
+    """A consumer that runs on the executors and adds up what it gets."""
+    o, count, keys = orders(t), t.spark.sparkContext.accumulator(0), t.spark.sparkContext.accumulator(0)
+
+    def consume(rows):
+        for row in rows:
+            count.add(1)
+            keys.add(row["o_orderkey"])
+
+    o.query(o.key("status").is_("P")).execute(consume)
+    return t.spark.createDataFrame([(count.value, keys.value)], "n long, keys long")
+
+
 @case("SELECT DISTINCT p_brand AS key FROM part")
 def distinct_keys(t: Tables) -> DataFrame:
     return Collection(t.part, "p_partkey").with_keys(K.Key("p_brand")).distinct_keys("p_brand")
@@ -159,9 +173,9 @@ def flow_group_composite(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_orderstatus", "o_orderpriority").agg(_n())
 
 
-@case("SELECT p AS partition, (SELECT count(*) FROM orders WHERE (o_totalprice > 1e12) = p) AS count FROM (VALUES (TRUE), (FALSE)) v(p)")
+@case("SELECT p AS partition, (SELECT count(*) FROM orders WHERE (o_totalprice > 150000) = p) AS count FROM (VALUES (TRUE), (FALSE)) v(p)")
 def flow_partitioning(t: Tables) -> DataFrame:
-    return flow.partitioning_by(t.orders, F.col("o_totalprice") > 1e12, F.count(F.lit(1)).alias("count"))
+    return flow.partitioning_by(t.orders, F.col("o_totalprice") > 150000, F.count(F.lit(1)).alias("count"))
 
 
 @case("""SELECT o_custkey, o_orderkey, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3""")
@@ -188,8 +202,20 @@ def flow_any_match(t: Tables) -> DataFrame:
     return flow.any_match(t.orders, F.col("o_totalprice") > 400000)
 
 
-@case("SELECT coalesce(bool_and(o_totalprice > 0), TRUE) AS all_match FROM orders WHERE o_orderkey < 0")
+@case("SELECT p AS partition, (SELECT count(*) FROM orders WHERE (o_totalprice > 1e12) = p) AS count FROM (VALUES (TRUE), (FALSE)) v(p)")
+def flow_partitioning_empty_side(t: Tables) -> DataFrame:
+    return flow.partitioning_by(t.orders, F.col("o_totalprice") > 1e12, F.count(F.lit(1)).alias("count"))
+
+
+@case("SELECT 'positive' AS test, bool_and(o_totalprice > 0) AS all_match FROM orders UNION ALL SELECT 'dear', bool_and(o_totalprice > 50000) FROM orders")
 def flow_all_match(t: Tables) -> DataFrame:
+    tests = {"positive": F.col("o_totalprice") > 0, "dear": F.col("o_totalprice") > 50000}
+    first, second = (flow.all_match(t.orders, c).select(F.lit(n).alias("test"), "all_match") for n, c in tests.items())
+    return flow.concat(first, second)
+
+
+@case("SELECT coalesce(bool_and(o_totalprice > 0), TRUE) AS all_match FROM orders WHERE o_orderkey < 0")
+def flow_all_match_of_none(t: Tables) -> DataFrame:
     return flow.all_match(t.orders.where("o_orderkey < 0"), F.col("o_totalprice") > 0)
 
 
@@ -222,7 +248,7 @@ def flow_collect_set(t: Tables) -> DataFrame:
 @case("SELECT o_orderkey, o_orderdate < TIMESTAMP '1995-01-01' AS early FROM orders WHERE o_orderdate <= TIMESTAMP '1995-03-15' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")
 def flow_floor_entry(t: Tables) -> DataFrame:
     key = F.struct("o_orderdate", "o_orderkey")
-    found = flow.floor_entry(t.orders.where("o_orderdate <= timestamp_ntz '1995-03-15'"), key, F.struct(F.lit("9999-01-01").cast("timestamp_ntz"), F.lit(0).cast("long")))
+    found = flow.floor_entry(t.orders, key, F.struct(F.lit("1995-03-15").cast("timestamp_ntz"), F.lit((1 << 63) - 1)))
     return found.select("o_orderkey", (F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz")).alias("early"))
 
 

@@ -252,4 +252,4 @@ def str_range(t: Tables) -> DataFrame:
 
 @case("SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]{4}')")
 def str_predicate(t: Tables) -> DataFrame:
-    return Collection(t.documents, "doc_id").query(judged(F.col("text").rlike("[0-9]{4}"))).df().select("doc_id")
+    return Collection(t.documents, "doc_id").query(K.TextKey("text").matches(lambda c: c.rlike("[0-9]{4}"))).df().select("doc_id")

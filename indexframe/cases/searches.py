@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fulltext as ft
+from ..operators.postings import StoredText
+from ..sources.shared import shared_dir
 from ..operators.vector import COSINE, DOT_PRODUCT, EUCLIDEAN, VectorIndex
 from .registry import Tables, case
 
@@ -117,6 +121,33 @@ def fts_signed_query(t: Tables) -> DataFrame:
     return _ids(t, "+the -moron~1 +n_chars:[200 TO 900} and")
 
 
+def _stored(t: Tables) -> StoredText:
+    return StoredText.write(_index(t), f"{shared_dir(t.spark)}/text-{uuid.uuid4().hex}")
+
+
+@case(
+    _FOUND + "(list_contains(tok, 'idiot') OR contains(' ' || array_to_string(tok, ' ') || ' ', ' of the ') OR len(list_filter(tok, lambda x: starts_with(x, 'pathe'))) > 0)"
+    " AND lang <> 'de' AND NOT list_contains(tok, 'clown') AND n_chars <= 5000"
+)
+def fts_stored_query(t: Tables) -> DataFrame:
+    found = _stored(t).matches('(idiot OR "of the" OR text:pathe*) AND NOT lang:de AND NOT clown AND n_chars:[* TO 5000]')
+    return found.select(F.col("id").alias("doc_id"))
+
+
+@case(_bm25({"idiot": 3.0, "clown": 1.0}, "tf0 + tf1 > 0", "LIMIT 20"))
+def fts_stored_search(t: Tables) -> DataFrame:
+    return _stored(t).search("idiot^3 OR clown", 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@case(_FOUND + "list_contains(tok, 'the') AND (doc_id % 3 = 0 OR doc_id % 3 = 1)")
+def fts_stored_updates(t: Tables) -> DataFrame:
+    """A first part, a second one added, and a third added and removed again."""
+    index = _index(t)
+    part = lambda k: t.documents.where(F.col("doc_id") % 3 == k)
+    stored = StoredText.write(ft.TextIndex(part(0), index.id, index.fields, index.default_field), f"{shared_dir(t.spark)}/text-{uuid.uuid4().hex}")
+    return stored.add(part(1)).add(part(2)).remove(part(2).select("doc_id")).matches("the").select(F.col("id").alias("doc_id"))
+
+
 @case(_FOUND + "n_chars > 500 AND n_chars <= 1000")
 def fts_numeric_range(t: Tables) -> DataFrame:
     return _ids(t, "n_chars:{500 TO 1000]")

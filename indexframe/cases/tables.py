@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import flow, retention
+from ..operators import flow, retention, rollup
 from ..operators.collection import Collection, Custom, Unique
 from ..plans import keys as K
-from ..sources import csv_convert, store
+from ..sources import csv_convert
+from ..sources import tables as saved
+from ..sources.shared import shared_dir
 from ..streaming import windows
 from .registry import Tables, case
 
 
 def _folder(t: Tables) -> str:
-    """A folder that executors see too: beside the checkpoints, else (tests) a local one."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared or 'file://' + tempfile.gettempdir()}/store-{next(tempfile._get_candidate_names())}"
+    return f"{shared_dir(t.spark)}/saved-{uuid.uuid4().hex}"
 
 
 _TYPED = "n_nationkey % 2 = 0 AS even, [n_name, CAST(n_regionkey AS VARCHAR)] AS tags"
@@ -43,38 +43,54 @@ def csv_dialect(t: Tables) -> DataFrame:
 @case("SELECT event_type, count(*) AS n FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 ORDER BY 1 LIMIT 2) GROUP BY 1")
 def export_import_types(t: Tables) -> DataFrame:
     folder = _folder(t)
-    store.export_types(t.events, folder, "event_type")
-    back = store.import_types(t.spark, folder)
+    saved.export_types(t.events, folder, "event_type")
+    back = saved.import_types(t.spark, folder)
     wanted = [r[0] for r in t.events.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    return store.load_by_type(back, "event_type", *wanted).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return saved.load_by_type(back, "event_type", *wanted).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @case("SELECT * FROM customer WHERE c_custkey IN (1, 17, 33)")
 def load_by_ids(t: Tables) -> DataFrame:
-    return store.load_by_ids(t.customer, "c_custkey", [1, 17, 33])
+    return saved.load_by_ids(t.customer, "c_custkey", [1, 17, 33])
 
 
 @case("SELECT s_suppkey, s_name AS supplier_name, CAST(s_acctbal AS DOUBLE) AS s_acctbal, CAST(NULL AS VARCHAR) AS note FROM supplier")
 def schema_evolution(t: Tables) -> DataFrame:
     target = T.StructType().add("s_suppkey", "long").add("supplier_name", "string").add("S_AcctBal", "double").add("note", "string")
-    return store.evolve(t.supplier, target, {"supplier_name": "s_name", "note": None}).withColumnRenamed("S_AcctBal", "s_acctbal")
+    return saved.evolve(t.supplier, target, {"supplier_name": "s_name", "note": None}).withColumnRenamed("S_AcctBal", "s_acctbal")
 
 
-@case(None)
+@case("SELECT count(*) AS rows, TRUE AS has_files, TRUE AS has_bytes FROM orders")
 def file_statistics(t: Tables) -> DataFrame:
-    return store.file_statistics(t.orders).groupBy().agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("files"))
+    files = saved.file_statistics(t.orders)
+    return files.groupBy().agg(F.sum("rows").alias("rows"), (F.count(F.lit(1)) > 0).alias("has_files"), (F.min("file_size") > 0).alias("has_bytes"))
+
+
+@case("SELECT 'nation' AS root, count(*) AS entries FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+def root_listing(t: Tables) -> DataFrame:
+    folder = _folder(t)
+    for name, rows in (("nation", t.nation), ("region", t.region)):
+        saved.save_root(rows, folder, name)
+    return saved.roots({name: saved.load_root(t.spark, folder, name) for name in ("nation", "region")})
+
+
+@case("""SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n BETWEEN 3 AND 5""")
+def viewer_nested_page(t: Tables) -> DataFrame:
+    """A page of the elements of a list field, for every customer."""
+    owners = t.orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("orders"))
+    return saved.element_page(owners, "orders", 2, 3).select("o_custkey", F.explode("orders").alias("o_orderkey"))
 
 
 @case("SELECT doc_id, substr(text, 6, 20) AS text, substr(lang, 6, 20) AS lang, substr(source, 6, 20) AS source, n_chars FROM documents WHERE doc_id = 7")
 def viewer_members(t: Tables) -> DataFrame:
-    return store.members(t.documents, "doc_id", 7, 5, 20)
+    return saved.members(t.documents, "doc_id", 7, 5, 20)
 
 
 _REFS = """SELECT 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst FROM customer UNION ALL SELECT 'orders:' || o_orderkey, 'customer:' || o_custkey FROM orders"""
 
 
 def _references(t: Tables) -> DataFrame:
-    return store.adjacency({"customer": (t.customer, "c_custkey", {"c_nationkey": "nation"}), "orders": (t.orders, "o_orderkey", {"o_custkey": "customer"})})
+    return saved.adjacency({"customer": (t.customer, "c_custkey", {"c_nationkey": "nation"}), "orders": (t.orders, "o_orderkey", {"o_custkey": "customer"})})
 
 
 @case(_REFS)
@@ -175,6 +191,49 @@ def cache_put(t: Tables) -> DataFrame:
     return retention.put(old, new, "k")
 
 
+_NEW = "SELECT c_custkey AS k, 'new' AS v FROM customer WHERE c_custkey % 3 = 0"
+_OLD = "SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 2 = 0"
+
+
+def _cache(t: Tables) -> tuple[DataFrame, DataFrame]:
+    old = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    return old, t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.lit("new").alias("v"))
+
+
+@case(f"SELECT o.k, coalesce(n.v, o.v) AS v FROM ({_OLD}) o LEFT JOIN ({_NEW}) n USING (k)")
+def cache_replace(t: Tables) -> DataFrame:
+    return retention.replace_existing(*_cache(t), "k")
+
+
+@case(f"SELECT * FROM ({_OLD}) UNION ALL SELECT * FROM ({_NEW}) WHERE k % 2 <> 0")
+def cache_put_if_absent(t: Tables) -> DataFrame:
+    return retention.put(*_cache(t), "k", only_absent=True)
+
+
+@case(f"SELECT * FROM ({_OLD}) WHERE k IN (2, 3, 4, 88)")
+def cache_get_all(t: Tables) -> DataFrame:
+    return retention.get_all(_cache(t)[0], "k", [2, 3, 4, 88])
+
+
+@case(f"SELECT * FROM ({_OLD}) WHERE k NOT IN (2, 3, 4, 88)")
+def cache_remove(t: Tables) -> DataFrame:
+    return retention.remove(_cache(t)[0], "k", [2, 3, 4, 88])
+
+
+@case(f"SELECT k, CASE WHEN k IN (4, 6, 7) THEN upper(v) || '!' ELSE v END AS v FROM ({_OLD})")
+def cache_invoke(t: Tables) -> DataFrame:
+    return retention.invoke(_cache(t)[0], "k", [4, 6, 7], {"v": F.concat(F.upper("v"), F.lit("!"))})
+
+
+@case("SELECT event_type, count(*) AS n, count(value) AS value_count, round(sum(value), 4) AS total, min(ts) AS first, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def rollup_incremental(t: Tables) -> DataFrame:
+    """Aggregates of one part of the events, with the rest merged in as two deltas."""
+    r = rollup.Rollup(("event_type",), sums=("value",), least=("ts",), most=("value",))
+    parts = [t.events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i) for i in range(3)]
+    state = r.merge(r.merge(r.build(parts[0]), r.build(parts[1])), r.build(parts[2]))
+    return r.read(state).select("event_type", "n", "value_count", F.round("value_sum", 4).alias("total"), F.col("ts_min").alias("first"), F.col("value_max").alias("most"), F.round("value_avg", 6).alias("mean"))
+
+
 @case("SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS version FROM orders WHERE o_orderkey <= 5000 GROUP BY 1")
 def version_asof(t: Tables) -> DataFrame:
     return retention.as_of(t.orders, ["o_custkey"], "o_orderkey", 5000).select("o_custkey", F.col("o_orderkey").alias("version"))

@@ -10,13 +10,14 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans import keys as K
 from ..plans.condition import Condition
 from ..plans.query import ID, Query, apply_condition
+from . import flow
 
 
 class ConstraintViolation(ValueError):
@@ -63,9 +64,8 @@ class Collection:
 
     @staticmethod
     def of(rows: DataFrame, order: Sequence[Column | str], *more: Any, start: int = 0) -> Collection:
-        """A collection of rows without ids: they get ids in a total order.  One global order, so one sorted pass."""
-        numbered = rows.withColumn(ID, F.row_number().over(Window.orderBy(*order)).cast("long") + (start - 1))
-        return Collection(numbered, ID, {k.name: k for k in more if isinstance(k, K.Key)})
+        """A collection of rows without ids: they get ids in a total order, a range of it a task."""
+        return Collection(flow.numbered(rows, ID, order, start), ID, {k.name: k for k in more if isinstance(k, K.Key)})
 
     # --- keys ---
 
@@ -163,8 +163,8 @@ class Collection:
     def add(self, rows: DataFrame, order: Sequence[Column | str]) -> Collection:
         """All rows or, if they break a constraint, none; their ids ascend in ``order`` above all ids ever given."""
         start = self.highest_used_id() + 1
-        numbered = rows.withColumn(self.id, F.row_number().over(Window.orderBy(*order)).cast("long") + (start - 1))
-        return self._next(self.df.unionByName(numbered.select(*self.df.columns)), next_id=start + rows.count())
+        numbered = flow.numbered(rows, self.id, order, start)
+        return self._next(self.df.unionByName(numbered.select(*self.df.columns)), next_id=start + numbered.count())
 
     def _issued(self, ids: Iterable[int]) -> list[int]:
         wanted, top = list(ids), self.highest_used_id()

@@ -93,15 +93,44 @@ def floor_entry(rows: DataFrame, key: Column, point) -> DataFrame:
 def floor_join(left: DataFrame, right: DataFrame, by: str, at: str, key: str, values: Sequence[str]) -> DataFrame:
     """Each left row with the values of the right row of equal ``by`` whose ``key`` is greatest at or before ``at``.
 
-    Both sides are laid on one timeline per ``by`` and the last right row seen is carried on: one shuffle,
-    no pair of rows is made.  Null where there is none.
+    Both sides are laid on one timeline, which is dealt out in ranges of ``by`` and time, so one ``by`` may have any share of the rows;
+    in a range the last right row seen is carried on, and what a range begins with comes from the ranges before it: one row a
+    range.  No pair of rows is made.  Null where there is none; null ``by`` are equal.  Writes a checkpoint, which fixes the ranges.
     """
+    from ..sources.shared import checkpoint
+
     carried = F.struct(F.col(key), *values)
     events = right.select(F.col(by).alias("__by"), F.col(key).alias("__at"), F.lit(0).alias("__side"), carried.alias("__row"), F.lit(None).cast(left.schema).alias("__left"))
     asks = left.select(F.col(by).alias("__by"), F.col(at).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(events.schema["__row"].dataType).alias("__row"), F.struct(*left.columns).alias("__left"))
-    timeline = Window.partitionBy("__by").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = events.unionByName(asks).withColumn("__last", F.last("__row", ignorenulls=True).over(timeline))
-    return seen.where("__side = 1").select("__left.*", *[F.col(f"__last.{v}").alias(v) for v in values])
+    width = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpoint(events.unionByName(asks).repartitionByRange(width, "__by", "__at", "__side").withColumn("__part", F.spark_partition_id()))
+    latest = F.max_by(F.when(F.col("__side") == 0, F.struct("__by", "__row")), F.when(F.col("__side") == 0, F.struct("__by", "__at")))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = dealt.groupBy(F.col("__part").alias("__p")).agg(latest.alias("__top")).withColumn("__part", F.col("__p"))
+    starts = starts.select(F.col("__p"), F.last("__top", ignorenulls=True).over(before).alias("__begin"))
+    timeline = Window.partitionBy("__part", "__by").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = dealt.withColumn("__own", F.last("__row", ignorenulls=True).over(timeline)).where("__side = 1")
+    seen = seen.join(F.broadcast(starts), F.col("__part") == F.col("__p"), "left")
+    last = F.coalesce("__own", F.when(F.col("__begin.__by").eqNullSafe(F.col("__by")), F.col("__begin.__row")))
+    return seen.withColumn("__last", last).select("__left.*", *[F.col(f"__last.{v}").alias(v) for v in values])
+
+
+def numbered(rows: DataFrame, name: str, order: Sequence[Column | str], start: int = 0) -> DataFrame:
+    """Adds gapless numbers from ``start`` in a total order.
+
+    Rows are dealt into ranges of the order and numbered in each, from the sum of the sizes before it: no task gets all
+    rows.  Writes a checkpoint, which fixes the ranges.
+    """
+    from ..sources.shared import checkpoint
+
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpoint(rows.repartitionByRange(width, *order).withColumn("__part", F.spark_partition_id()))
+    ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sizes = dealt.groupBy(F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    bases = sizes.select("__p", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    placed = dealt.withColumn("__at", inside).join(F.broadcast(bases), F.col("__part") == F.col("__p"))
+    return placed.withColumn(name, (F.col("__base") + F.col("__at") + F.lit(start - 1)).cast("long")).drop("__part", "__p", "__base", "__at")
 
 
 def reachable(edges: DataFrame, roots: DataFrame, source: str = "src", target: str = "dst", most: int = 100) -> DataFrame:
@@ -119,7 +148,7 @@ def reachable(edges: DataFrame, roots: DataFrame, source: str = "src", target: s
         front = checkpoint(reached.join(seen.select("node"), "node", "left_anti").withColumn("steps", F.lit(step)))
         if front.isEmpty():
             return seen
-        seen = checkpoint(seen.unionByName(front))
+        seen = seen.unionByName(front)  # every front is a table of its own
     raise RecursionError(f"more than {most} steps")
 
 

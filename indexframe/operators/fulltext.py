@@ -36,6 +36,8 @@ class Clause:
     on_term: Callable[[Column], Column] | None = None
     on_tokens: Callable[[Column], Column] | None = None
     weight: float = 1.0
+    #: Of a phrase: its words.
+    words: tuple[str, ...] = ()
 
     def boost(self, factor: float) -> Clause:
         return replace(self, weight=self.weight * factor)
@@ -94,7 +96,7 @@ def phrase(name: str, text: str) -> Clause:
         # Bound once: inside the lambda of exists the tokens would be made anew for every start.
         return F.get(F.transform(F.array(own), found), F.lit(0))
 
-    return Clause(name, on_tokens=test)
+    return Clause(name, on_tokens=test, words=tuple(words))
 
 
 @dataclass(frozen=True)

@@ -291,6 +291,15 @@ class CompositeKey(Key):
 # --- dates and times --------------------------------------------------------------------------
 
 
+def _from(column: Column, low: Any, high: Any | None) -> Condition:
+    """``low <= key < high``; without end where the calendar ends."""
+    return compare(column, ">=", low) if high is None else span(column, low, high, open_end=True)
+
+
+def _day_after(day: dt.date) -> dt.date | None:
+    return None if day == dt.date.max else day + dt.timedelta(1)
+
+
 def _check(name: str, value: int, low: int, high: int) -> int:
     if not low <= value <= high:
         raise ValueError(f"{name} must be {low} to {high}")
@@ -304,7 +313,8 @@ class DateFields(Key):
         return day
 
     def is_year(self, year: int) -> Condition:
-        return span(self.column, self._start(dt.date(year, 1, 1)), self._start(dt.date(year + 1, 1, 1)), open_end=True)
+        after = _day_after(dt.date(year, 12, 31))
+        return _from(self.column, self._start(dt.date(year, 1, 1)), after and self._start(after))
 
     def is_month(self, month: int) -> Condition:
         return equals(F.month(self.column), _check("month", month, 1, 12))
@@ -314,7 +324,8 @@ class DateFields(Key):
 
     def is_date(self, year: int, month: int, day: int) -> Condition:
         at = dt.date(year, month, day)
-        return span(self.column, self._start(at), self._start(at + dt.timedelta(1)), open_end=True)
+        after = _day_after(at)
+        return _from(self.column, self._start(at), after and self._start(after))
 
     def is_leap_year(self) -> Condition:
         y = F.year(self.column)
@@ -387,7 +398,9 @@ class YearMonthKey(_Timeline):
     def _compare(self, op: str, bound: Any) -> Condition:
         # Truncate the bound instead of the key, so that the scan can use it.
         first = _need(bound).replace(day=1)
-        after = (first + dt.timedelta(31)).replace(day=1)
+        if first >= dt.date(9999, 12, 1) and op in ("<=", ">"):  # the last month has no next one
+            return Always(False) if op == ">" else null_false(self.raw.isNotNull(), self.raw)
+        after = None if op in ("<", ">=") else (first + dt.timedelta(31)).replace(day=1)
         return compare(self.raw, *{"<": ("<", first), "<=": ("<", after), ">": (">=", after), ">=": (">=", first)}[op])
 
     def is_(self, value: dt.date | None) -> Condition:
@@ -397,7 +410,7 @@ class YearMonthKey(_Timeline):
         return self.is_(dt.date(year, _check("month", month, 1, 12), 1))
 
     def is_year(self, year: int) -> Condition:
-        return span(self.raw, dt.date(year, 1, 1), dt.date(year + 1, 1, 1), open_end=True)
+        return _from(self.raw, dt.date(year, 1, 1), _day_after(dt.date(year, 12, 31)))
 
     def is_month(self, month: int) -> Condition:
         return equals(F.month(self.raw), _check("month", month, 1, 12))
@@ -450,6 +463,27 @@ class InstantKey(SecondsKey):
         return span(self.column, at, at + self._second, open_end=True)
 
 
+class ZonedKey(SecondsKey):
+    """Local times with a zone, compared as instants in UTC at the precision of seconds; so are bounds with a zone.
+
+    ``zone``: names or offsets (``+02:00``), by row or one for all.  A null time or zone is a null key.
+    """
+
+    def __init__(self, name: str, local: Column | str, zone: Column | str) -> None:
+        self.local, self.zone = _column(local), _column(zone)
+        super().__init__(name, F.convert_timezone(self.zone, F.lit("UTC"), self.local))
+
+    @staticmethod
+    def _utc(bound: dt.datetime) -> dt.datetime:
+        return bound.astimezone(dt.timezone.utc).replace(tzinfo=None) if bound.tzinfo else bound
+
+    def _compare(self, op: str, bound: dt.datetime) -> Condition:
+        return super()._compare(op, self._utc(_need(bound)))
+
+    def is_(self, value: dt.datetime | None) -> Condition:
+        return super().is_(None if value is None else self._utc(value))
+
+
 class TimeOfDayKey(TimeFields, _Timeline):
     """Times of day of a timestamp, compared in seconds."""
 
@@ -489,22 +523,28 @@ class SpatialKey(Key):
         return equals(self.lat, None) & equals(self.lon, None)
 
     def latitude_between(self, low: float, high: float) -> Condition:
-        return span(self.lat, geo.fixed_number(low), geo.fixed_number(high), open_end=False)
+        return self.latitude_above(low) & self.latitude_below(high)
 
     def latitude_above(self, bound: float) -> Condition:
-        return compare(self.lat, ">=", geo.fixed_number(bound))
+        return self._beyond(self.latitude, self.lat, ">=", bound)
 
     def latitude_below(self, bound: float) -> Condition:
-        return compare(self.lat, "<=", geo.fixed_number(bound))
+        return self._beyond(self.latitude, self.lat, "<=", bound)
+
+    @staticmethod
+    def _beyond(raw: Column, fixed: Column, op: str, bound: float) -> Condition:
+        """A bound in fixed-point numbers, and a slightly wider one on the degrees themselves, which the scan can use."""
+        slack = -2e-7 if op == ">=" else 2e-7
+        return compare(raw, op, float(bound) + slack) & compare(fixed, op, geo.fixed_number(bound))
 
     def longitude_between(self, low: float, high: float) -> Condition:
-        return span(self.lon, geo.fixed_number(low), geo.fixed_number(high), open_end=False)
+        return self.longitude_above(low) & self.longitude_below(high)
 
     def longitude_above(self, bound: float) -> Condition:
-        return compare(self.lon, ">=", geo.fixed_number(bound))
+        return self._beyond(self.longitude, self.lon, ">=", bound)
 
     def longitude_below(self, bound: float) -> Condition:
-        return compare(self.lon, "<=", geo.fixed_number(bound))
+        return self._beyond(self.longitude, self.lon, "<=", bound)
 
     def within_box(self, south: float, north: float, west: float, east: float) -> Condition:
         """A box that crosses the antimeridian has ``west > east``."""
@@ -521,8 +561,9 @@ class SpatialKey(Key):
         return self.within_box(south, north, west, east)
 
     def within_radius(self, latitude: float, longitude: float, km: float) -> Condition:
-        """The exact circle; rows without coordinates are outside."""
-        return judged(self.distance(latitude, longitude) <= km)
+        """The exact circle, looked for in its bounding box; rows without coordinates are outside."""
+        circle = judged(self.distance(latitude, longitude) <= km)
+        return self.near(latitude, longitude, km * (1 + 1e-9) + 1e-3) & circle if km >= 0 else circle
 
     def distance(self, latitude: float, longitude: float) -> Column:
         return geo.haversine(self.latitude, self.longitude, F.lit(float(latitude)), F.lit(float(longitude)))

@@ -4,14 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in spark.checkpoint.dir; where that is unset (tests), in a folder of its own."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset on a local master (tests), a folder of its own."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='checkpoint')}")
+        if not found:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            found = f"file://{tempfile.mkdtemp(prefix='checkpoint')}"
+        context.setCheckpointDir(found)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: written to the shared folder, lineage cut."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

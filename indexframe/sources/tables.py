@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def store_root(df: DataFrame, path: str, root: str, *, append: bool = False) -> None:
+def save_root(df: DataFrame, path: str, root: str, *, append: bool = False) -> None:
     """Writes a named root; ``append`` adds a batch."""
     df.write.mode("append" if append else "overwrite").parquet(f"{path}/{root}")
 
@@ -62,6 +62,22 @@ def file_statistics(df: DataFrame) -> DataFrame:
     return df.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path", "file_size").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def roots(named: Mapping[str, DataFrame]) -> DataFrame:
+    """root and entries of each named table."""
+    found = None
+    for name, rows in named.items():
+        one = rows.agg(F.count(F.lit(1)).alias("entries")).select(F.lit(name).alias("root"), "entries")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        raise ValueError("no roots")
+    return found
+
+
+def element_page(df: DataFrame, column: str, offset: int, length: int) -> DataFrame:
+    """Rows with their list cut to a page of its elements; rows without elements there go."""
+    return df.withColumn(column, F.slice(F.col(column), F.lit(offset + 1), F.lit(length))).where(F.size(column) > 0)
+
+
 def type_dictionary(df: DataFrame) -> str:
     return df.schema.json()
 

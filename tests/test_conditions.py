@@ -149,3 +149,24 @@ def test_filters_reach_the_scan(spark, tmp_path, rows):
     plan = apply_condition(stored, condition)._jdf.queryExecution().toString()
     pushed = plan.split("PushedFilters:")[-1].split("]")[0]
     assert "GreaterThanOrEqual(a,2)" in pushed and "IsNull(a)" in pushed and "EqualNullSafe(b,x)" in pushed
+
+
+def test_places_reach_the_scan(spark, tmp_path):
+    spark.range(10).selectExpr("id", "id * 1.5D AS lat", "id * 2.5D AS lon").write.parquet(str(tmp_path / "places"))
+    saved = spark.read.parquet(str(tmp_path / "places"))
+    key = K.SpatialKey("place", "lat", "lon")
+    for condition in (key.near(5, 5, 300), key.within_radius(5, 5, 300), key.within_box(1, 2, 3, 4)):
+        plan = apply_condition(saved, condition)._jdf.queryExecution().executedPlan().toString()
+        pushed = plan.split("PushedFilters:")[1]  # longer ones are cut
+        assert "LessThanOrEqual(lon," in pushed and "GreaterThanOrEqual(lon," in pushed, plan
+
+
+def test_ends_of_the_calendar(spark):
+    import datetime as dt
+
+    rows = spark.createDataFrame([(1, dt.datetime(9999, 12, 31, 5)), (2, dt.datetime(9998, 1, 1)), (3, None)], "_id long, t timestamp_ntz")
+    s, m = K.SecondsKey("t"), K.YearMonthKey("t")
+    assert ids(apply_condition(rows, s.is_year(9999))) == ids(apply_condition(rows, s.is_date(9999, 12, 31))) == [1]
+    assert ids(apply_condition(rows, ~s.is_year(9999))) == [2, 3]
+    assert ids(apply_condition(rows, m.is_year(9999))) == ids(apply_condition(rows, m.is_year_month(9999, 12))) == [1]
+    assert ids(apply_condition(rows, m.after(dt.date(9999, 12, 1)))) == [] and ids(apply_condition(rows, m.before_equal(dt.date(9999, 12, 5)))) == [1, 2]

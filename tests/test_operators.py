@@ -11,7 +11,7 @@ from indexframe.operators import flow, fulltext, retention
 from indexframe.operators.collection import Collection, ConstraintViolation, Custom, CustomChange, Unique
 from indexframe.operators.vector import VectorIndex, VectorIndices, vectorized
 from indexframe.plans import keys as K
-from indexframe.sources import csv_convert, store
+from indexframe.sources import csv_convert, tables
 from indexframe.streaming import windows
 
 
@@ -147,18 +147,18 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(rows)
 
 
-def test_store(spark, tmp_path):
-    path = str(tmp_path / "store")
+def test_saved_tables(spark, tmp_path):
+    path = str(tmp_path / "saved")
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, kind string")
-    store.store_root(df, path, "things")
-    store.store_root(df.withColumn("more", F.lit(1)), path, "things", append=True)
-    loaded = store.load_root(spark, path, "things")
+    tables.save_root(df, path, "things")
+    tables.save_root(df.withColumn("more", F.lit(1)), path, "things", append=True)
+    loaded = tables.load_root(spark, path, "things")
     assert loaded.count() == 4 and set(loaded.columns) == {"id", "kind", "more"}
     target = T.StructType().add("ID", "long").add("sort", "string").add("new", "double")
-    assert [tuple(r) for r in store.evolve(df, target, {"sort": "kind"}).orderBy("ID").collect()] == [(1, "a", None), (2, "b", None)]
-    store.backup(df, path + "/copy")
+    assert [tuple(r) for r in tables.evolve(df, target, {"sort": "kind"}).orderBy("ID").collect()] == [(1, "a", None), (2, "b", None)]
+    tables.backup(df, path + "/copy")
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
-        store.backup(df, path + "/copy")
+        tables.backup(df, path + "/copy")
 
 
 def test_windows_on_a_stream(spark, tmp_path):
@@ -244,3 +244,49 @@ def test_batches_of_many_small_blocks(spark):
     for q in range(150):
         assert near[q] == np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[:5].tolist()
     assert set(near) == set(range(150))
+
+
+def test_numbers_and_floor_joins_across_ranges(spark):
+    """One key has all rows: they are spread over the tasks, and numbers and last rows go on from range to range."""
+    rows = spark.range(1000).selectExpr("(id * 7919) % 1000 AS x")
+    got = flow.numbered(rows, "n", ["x"], 5)
+    assert {(r.x, r.n) for r in got.collect()} == {(i, i + 5) for i in range(1000)}
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+    right = spark.createDataFrame([(None, 3, "n"), ("a", 10, "first"), ("a", 500, "later"), ("b", 0, "b")], "k string, at int, v string")
+    left = spark.range(1000).selectExpr("'a' AS k", "cast(id AS int) AS t").unionByName(spark.createDataFrame([(None, 2), (None, 4), ("b", 7), ("c", 1)], "k string, t int"))
+    found = {(r.k, r.t): r.v for r in flow.floor_join(left, right, "k", "t", "at", ["v"]).collect()}
+    assert len(found) == 1004
+    assert all(found["a", t] == (None if t < 10 else "first" if t < 500 else "later") for t in range(1000))
+    assert (found[None, 2], found[None, 4], found["b", 7], found["c", 1]) == (None, "n", "b", None)
+
+
+def test_rollups_take_rows_off(spark):
+    from indexframe.operators.rollup import Rollup
+
+    r = Rollup(("k",), sums=("x",))
+    rows = spark.createDataFrame([("a", 1), ("a", None), ("b", 5), (None, 2)], "k string, x int")
+    kept = r.without(r.merge(r.build(rows), r.build(rows)), r.build(rows.where("k = 'b' or x is null")))
+    kept = r.without(kept, r.build(rows.where("k = 'b'")))
+    assert {(x.k, x.n, x.x_count, x.x_sum, x.x_avg) for x in r.read(kept).collect()} == {("a", 3, 2, 2, 1.0), (None, 2, 2, 4, 2.0)}
+    with pytest.raises(ValueError):
+        Rollup(("k",), least=("x",)).without(kept, kept)
+
+
+def test_stored_text_answers_as_the_scan_does(spark, tmp_path):
+    from indexframe.operators import fulltext as ft
+    from indexframe.operators.postings import StoredText
+
+    rows = [(1, "The quick brown fox", "en", 5), (2, "quick red fox fox", "en", 10), (3, "brown bear brown", "de", 15), (4, None, None, None), (5, "the the quick", "fr", 20)]
+    df = spark.createDataFrame(rows, "id long, body string, lang string, year int")
+    index = ft.TextIndex.of(df, "id", ft.Field("body", F.col("body")), ft.Field("lang", F.col("lang"), analyzed=False), ft.Field("year", F.col("year"), number=True), default="body")
+    stored = StoredText.write(index, str(tmp_path / "text"))
+    for text in ("fox", '"quick brown"', '"the the"', '"fox fox"', "lang:(de OR fr)", "year:{5 TO 15]", "br*n -bear", "*:* -fox", "quikc~2", "-fox", "+quick +lang:en", "[bear TO brown]"):
+        assert {r.id for r in stored.matches(text).collect()} == {r.id for r in index.query(text).collect()}, text
+    for text in ("fox OR brown^2", "quick", "fox AND quick"):
+        scan = [(r.id, round(r.score, 9)) for r in index.search(text).collect()]
+        assert [(r.id, round(r.score, 9)) for r in stored.search(text).collect()] == scan, text
+    assert stored.search("fox", 0).count() == 0
+    plan = stored.hits(ft.term("body", "fox"))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(field,body)" in plan and "EqualTo(term,fox)" in plan
+    stored.remove(spark.createDataFrame([(1,)], "id long")).add(spark.createDataFrame([(9, "a new fox", "en", 1)], df.schema))
+    assert {r.id for r in stored.matches("fox").collect()} == {2, 9}
