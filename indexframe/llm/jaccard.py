@@ -1,17 +1,19 @@
 """Near-duplicates by an exact join of shingle sets: texts whose sets of five-word shingles have a Jaccard likeness of at least 0.8.
 
 All sets are put into one order of shingles, common ones last.  The first shingle that two sets of likeness 0.8 share comes so early in
-both that those from there on can make up all they need to share (prefix filter with positions).  Of pairs
-that have such a shingle the common ones of their prefixes are counted; where those after them could make up the rest, all are.  Equal sets are one node.  So that a large group of near copies isn't paired
-out, each node is first compared with one node of its groups that comes first, then with one that comes last, and pairs that links
-connect by then are left out.  No link is lost: a pair is counted exactly, ruled out by a bound, or connected by other links already.
-
-The order only decides how many pairs are looked at, never which are found.
+both that those from there on can make up all they need to share (prefix filter with positions).  Sets that have such
+a shingle are compared where they meet, by bit sketches from which at least so many elements differ as bits do, and only pairs that may
+be alike leave the group.  Equal sets are one node.  So that a large group of near copies isn't paired out, links that are known
+(``first``, and then rounds in which each node is counted against the nearest one it isn't connected with) come
+before the rest, and connected nodes aren't compared.  No link is lost: a pair is counted exactly, ruled out by a bound, or connected
+by other links already.
+
+The order and the sketches only decide how many pairs are looked at, never which are found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shuffle_width, tidy
+from .common import checkpoint, shuffle_width, tidy, written_by_hash
 from .components import connected
 from .wordhash import SPACE, Prefix, bounds, mix, slices
 
@@ -30,8 +32,10 @@ _SEED_BITS = 24
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(range(256)).lower()
 _CHUNK = 1 << 18
-#: Groups of more rows than this are first joined up by stars.
-_LARGE = 8
+#: Pairs whose sketches are compared at once, and the bits of a sketch.
+_PAIRS, _SKETCH_BITS = 1 << 16, 1024
+#: Rounds of nearest nodes, each over another part of the groups.
+_ROUNDS = 2
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -85,26 +89,35 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["slot"] for r in got], np.int64), np.array([r["n"] for r in got], np.int32)
 
 
-def keyed(docs: DataFrame, *carry: str) -> DataFrame:
-    """``carry``, key (of the shingle set), n (its size) and prefix of all rows; a row without words has n = 0."""
+def sketch(s: np.ndarray) -> bytes:
+    """One bit a slot, whether an odd number of elements falls there: two sets differ in as many elements as their sketches in bits, or more."""
+    slot = ((s >> np.uint64(20)) & np.uint64(_SKETCH_BITS - 1)).astype(np.int64)
+    return np.packbits(np.bincount(slot, minlength=_SKETCH_BITS) & 1).tobytes()
+
+
+def keyed(docs: DataFrame, *carry: str, sign: Callable[[str | None], int]) -> DataFrame:
+    """``carry``, key (of the shingle set), n (its size), prefix and fp (``sign`` of the text, 64 bits) of all rows; a row without words has n = 0."""
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs))  # at most _MOST pairs
     last = len(carry)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema), "key long, n long, prefix binary"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema), "key long, n long, prefix binary, fp long"])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(1 << _COUNT_BITS, np.int32)
         count[shared.value[0]] = shared.value[1]
         for batch in batches:
-            keys, sizes, prefixes = [], [], []
+            keys, sizes, prefixes, fps = [], [], [], []
             for t in batch.column(last):
-                s = shingles(t.as_py())
+                text = t.as_py()
+                s = shingles(text)
                 order = np.argsort(count[(s >> np.uint64(64 - _COUNT_BITS)).astype(np.int64)], kind="stable")
                 keys.append(_key(s))
                 sizes.append(len(s))
                 prefixes.append(s[order[: len(s) - (4 * len(s) + 4) // 5 + 1]].tobytes())
-            arrays = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], *arrays], [*carry, "key", "n", "prefix"])
+                fps.append(sign(text))
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps)]
+            arrays = [signed[0], pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), signed[1]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], *arrays], [*carry, "key", "n", "prefix", "fp"])
 
     return docs.select(*carry, "text").mapInArrow(run, schema)
 
@@ -124,10 +137,10 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns in pieces that hold whole groups of equal h (the first column, sorted)."""
+    """The columns in pieces that hold whole groups of equal h (the first column, sorted); sketches are rows of a matrix."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        now = [c.to_numpy() for c in batch.columns]
+        now = [np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1) if c.type == pa.binary() else c.to_numpy() for c in batch.columns]
         if not len(now[0]):
             continue
         cut = int(np.searchsorted(now[0], now[0][-1]))  # the last group may go on
@@ -144,92 +157,107 @@ def _starts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.concatenate((start, [len(h)])))
 
 
-@tidy
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for h, key, n, at in _groups(batches):
-        size = _starts(h)[1]
-        keep = np.repeat(size, size) > 1
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (h, key, n, at)], ["h", "key", "n", "at"])
-
-
 def _may(n: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether rows ``a`` and ``b`` may be alike if what stands at their places is the first shingle that they share."""
     need = (4 * (n[a] + n[b]) + 8) // 9
     return (at[a] + need <= n[a]) & (at[b] + need <= n[b])
 
 
+def _unlinked(h: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of equal h and unlike root that may be alike by their places; the rows are sorted by h and root."""
+    n = n.astype(np.int64)
+    start, size = _starts(h)
+    end = np.repeat(start + size, size)
+    new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (root[1:] != root[:-1]))))
+    block = np.diff(np.concatenate((new, [len(h)])))
+    after = np.repeat(new + block, block)  # the first row of another root
+    rows = np.flatnonzero(after < end)
+    for part in np.split(rows, np.flatnonzero(np.diff(np.cumsum((end - after)[rows]) // _PAIRS)) + 1):
+        if len(part):
+            m = (end - after)[part]
+            a = np.repeat(part, m)
+            b = after[a] + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            ok = _may(n, at, a, b)
+            if ok.any():
+                yield a[ok], b[ok]
+
+
+def _near(h: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, odd: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Those pairs that may be alike by their sketches too, and the bits in which these differ."""
+    for a, b in _unlinked(h, n, at, root):
+        apart = np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64)
+        ok = 9 * apart <= n[a].astype(np.int64) + n[b]  # as in alike(): of all elements of both a ninth may differ
+        if ok.any():
+            yield a[ok], b[ok], apart[ok]
+
+
 @tidy
-def _stars(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
-    """h, key, n, at, root -> rows of large groups (v) with the group's first or last, if it has another root (u)."""
-    for h, key, n, at, root in _groups(batches):
-        start, size = _starts(h)
-        lead = np.repeat(start + size - 1 if last else start, size)
-        rows = np.flatnonzero((np.repeat(size, size) > _LARGE) & (root != root[lead]))
-        rows = rows[_may(n.astype(np.int64), at, lead[rows], rows)]
-        if len(rows):
-            both = np.unique(np.stack((key[lead[rows]], key[rows]), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["u", "v"])
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, key, n, at, root -> the rows that have such a pair in their group."""
+    for columns in _groups(batches):
+        h, _, n, at, root = columns
+        keep = np.zeros(len(h), bool)
+        for a, b in _unlinked(h, n, at, root):
+            keep[a] = keep[b] = True
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["h", "key", "n", "at", "root"])
 
 
 @tidy
-def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, key, n, at, root -> u < v: pairs of unlike root that may be alike."""
-    for h, key, n, at, root in _groups(batches):
-        n = n.astype(np.int64)
-        start, size = _starts(h)
-        end = np.repeat(start + size, size)
-        rows = np.flatnonzero(np.arange(len(h)) + 1 < end)
-        more = end[rows] - rows - 1
-        for part in np.split(rows, np.flatnonzero(np.diff(np.cumsum(more) // _CHUNK)) + 1):
-            if not len(part):
-                continue
-            m = end[part] - part - 1
-            a = np.repeat(part, m)
-            b = a + 1 + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            ok = root[a] != root[b]
-            a, b = a[ok], b[ok]
-            ok = _may(n, at, a, b)
-            if ok.any():
-                found = np.unique(np.stack((key[a[ok]], key[b[ok]]), axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["u", "v"])
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, key, n, at, root, sketch -> each row (v) with the row of unlike root whose sketch is nearest (u), if one may be alike."""
+    for h, key, n, at, root, odd in _groups(batches):
+        none = np.iinfo(np.int64).max
+        best = np.full(len(h), none)
+        for a, b, apart in _near(h, n, at, root, odd):
+            np.minimum.at(best, a, apart << 40 | b)
+            np.minimum.at(best, b, apart << 40 | a)
+        v = np.flatnonzero(best < none)
+        if len(v):
+            columns = [key[best[v] & ((1 << 40) - 1)], key[v], (best[v] >> 40).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "apart"])
 
 
 @tidy
-def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """u, v and n and prefix of both -> the pairs whose prefixes share so many shingles that those after them can make up the rest."""
-    for batch in batches:
-        a, b = (batch.column(i).to_numpy() for i in (2, 4))
-        # Of two sets, the one whose prefix ends first has all other common shingles after it.
-        need = (4 * (a + b) + 8) // 9 - np.maximum((4 * a + 4) // 5 - 1, (4 * b + 4) // 5 - 1)
-        common = [len(np.intersect1d(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), assume_unique=True)) for x, y in zip(batch.column(3), batch.column(5), strict=True)]
-        yield batch.select([0, 1]).filter(pa.array(np.array(common, np.int64) >= need, pa.bool_()))
+def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, key, n, at, root, sketch -> u < v: pairs of unlike root that may be alike."""
+    for h, key, n, at, root, odd in _groups(batches):
+        for a, b, _ in _near(h, n, at, root, odd):
+            found = np.unique(np.stack((np.minimum(key[a], key[b]), np.maximum(key[a], key[b])), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["u", "v"])
 
 
-def _exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs of keys that are alike by the exact count."""
-    ends = pairs.select(F.col("u").alias("k")).unionByName(pairs.select(F.col("v").alias("k"))).distinct()
-    # 2**24 bits at most, which keep most sets that no pair asks for from leaving Python; the joins are exact.
+def _sets(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """k, s (the whole set) and sketch of the keys that ``ends`` (k) holds."""
+    # 2**24 bits at most, which keep most other sets from leaving Python; the join is exact.
     bits = ends.groupBy(F.expr(f"bitmap_bucket_number(shiftrightunsigned(k, {64 - _SEED_BITS}) + 1)").alias("b")).agg(
         F.expr(f"bitmap_construct_agg(bitmap_bit_position(shiftrightunsigned(k, {64 - _SEED_BITS}) + 1))").alias("m")
     )
-    asked = np.zeros(1 << _SEED_BITS, bool)
-    for r in bits.collect():
-        at = (int(r["b"]) - 1) * 32768
-        asked[at : at + 32768] = np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little")
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(asked))
+    asked = np.zeros(1 << (_SEED_BITS - 3), np.uint8)
+    for r in bits.toLocalIterator():
+        at = (int(r["b"]) - 1) * 4096
+        asked[at : at + 4096] = np.packbits(np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little"))
+    shared = docs.sparkSession.sparkContext.broadcast(asked)
 
     @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            keys, found = [], []
+            keys, found, sketches = [], [], []
             for t in batch.column(0):
                 s = shingles(t.as_py())
                 k = _key(s)
                 if wanted[k >> (64 - _SEED_BITS)]:
                     keys.append(k)
                     found.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(found, pa.binary())], ["key", "s"])
+                    sketches.append(sketch(s))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(found, pa.binary()), pa.array(sketches, pa.binary())], ["key", "s", "sketch"])
+
+    found = docs.select("text").mapInArrow(sets, "key long, s binary, sketch binary").join(ends, F.col("key") == F.col("k"), "left_semi")
+    return found.dropDuplicates(["key"]).select(F.col("key").alias("k"), "s", "sketch")
+
+
+def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) of keys that are alike by the exact count; of a pair without sets, nothing."""
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,41 +268,39 @@ def _exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 ok.append(bool(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    found = docs.select("text").mapInArrow(sets, "key long, s binary").join(ends, F.col("key") == F.col("k"), "left_semi")
-    found = found.dropDuplicates(["key"])
-    both = pairs.join(found.select(F.col("key").alias("ku"), F.col("s").alias("su")), F.col("u") == F.col("ku"))
-    both = both.join(found.select(F.col("key").alias("kv"), F.col("s").alias("sv")), F.col("v") == F.col("kv"))
+    both = pairs.join(sets.select(F.col("k").alias("ku"), F.col("s").alias("su")), F.col("u") == F.col("ku"))
+    both = both.join(sets.select(F.col("k").alias("kv"), F.col("s").alias("sv")), F.col("v") == F.col("kv"))
     return both.select("u", "v", "su", "sv").mapInArrow(count, "u long, v long")
 
 
-def components(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, root) of the keys of ``rows`` (as of ``keyed``) that links join to a lesser key; other keys stand alone."""
+def components(docs: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
+    """(node, root) of the keys of ``rows`` (as of ``keyed``) that links join to a lesser key; other keys stand alone.
+
+    ``first`` (u, v) are pairs of keys that are counted before all others.
+    """
     width = shuffle_width(docs.sparkSession)
     nodes = rows.where("n > 0").select("key", "n", "prefix").dropDuplicates(["key"])
-    posted = nodes.mapInArrow(_post, "h long, key long, n int, at int").repartition(width, "h").sortWithinPartitions("h", "key")
-    shared = checkpoint(posted.mapInArrow(_shared, "h long, key long, n int, at int"))  # groups of one are gone
-
-    def grouped(links: DataFrame | None) -> DataFrame:
-        """The groups, whole and sorted by key, with the root that links give each row by now."""
-        if links is None:
-            return shared.withColumn("root", F.col("key"))
-        roots = connected(links).select(F.col("node").alias("k"), F.col("root").alias("r"))
-        rooted = shared.join(roots, F.col("key") == F.col("k"), "left").select("h", "key", "n", "at", F.coalesce("r", "key").alias("root"))
-        return rooted.repartition(width, "h").sortWithinPartitions("h", "key")
-
-    links, looked = None, None
-    for last in (False, True):
-        stars = grouped(links).mapInArrow(lambda rows, last=last: _stars(rows, last), "u long, v long").groupBy("v").agg(F.min("u").alias("u"))  # one a row
-        stars = checkpoint(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        if stars.head(1):
-            found = checkpoint(_exact(docs, stars))
-            links, looked = (found, stars) if links is None else (links.unionByName(found), looked.unionByName(stars))
-    rest = grouped(links).mapInArrow(_all_pairs, "u long, v long").distinct()
-    rest = checkpoint(rest if looked is None else rest.join(looked, ["u", "v"], "left_anti"))
-    side = lambda x: nodes.select(F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
-    both = rest.join(side("u"), F.col("u") == F.col("ku")).join(side("v"), F.col("v") == F.col("kv"))
-    rest = checkpoint(both.select("u", "v", "nu", "pu", "nv", "pv").mapInArrow(_enough, "u long, v long"))
-    if rest.head(1):
-        found = _exact(docs, rest)
-        links = found if links is None else links.unionByName(found)
-    return connected(rest.where("false") if links is None else links)
+    row = "h long, key long, n int, at int, root long"
+    posted = nodes.mapInArrow(_post, "h long, key long, n int, at int").repartition(width, "h").sortWithinPartitions("h", "key").withColumn("root", F.col("key"))
+    shared = checkpoint(posted.mapInArrow(_met, row).drop("root"))  # a row that meets no other is gone
+    ends = checkpoint(shared.select(F.col("key").alias("k")).distinct())  # no other key has a link
+    sets = written_by_hash(_sets(docs, ends), "shingle_sets", "k", width)  # the pairs move to the sets
+    sketches = sets.select("k", "sketch")
+    least = lambda pairs: pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    def grouped(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """The groups that aren't connected, whole and sorted by root, with the root that links give each row by now and the sketches."""
+        rooted = rows.join(roots, F.col("key") == F.col("node"), "left").select("h", "key", "n", "at", F.coalesce("root", "key").alias("root"))
+        met = rooted.repartition(width, "h").sortWithinPartitions("h", "root").mapInArrow(_met, row)
+        return met.join(sketches, F.col("key") == F.col("k")).drop("k").repartition(width, "h").sortWithinPartitions("h", "root", "key")
+
+    def more(roots: DataFrame, found: DataFrame) -> DataFrame:
+        return connected(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)) if found.head(1) else roots
+
+    roots = connected(_exact(least(first), sets))
+    for i in range(_ROUNDS):
+        part = shared.where(F.pmod("h", F.lit(_ROUNDS)) == i)
+        near = grouped(part, roots).mapInArrow(_nearest, "u long, v long, apart int").groupBy("v").agg(F.min(F.struct("apart", "u")).alias("to"))  # one a row
+        roots = more(roots, checkpoint(_exact(least(near.select(F.col("to.u").alias("u"), "v")), sets)))
+    rest = grouped(shared, roots).mapInArrow(_all_pairs, "u long, v long").distinct()
+    return more(roots, checkpoint(_exact(rest, sets)))

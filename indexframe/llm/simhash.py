@@ -221,15 +221,29 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def close_pairs(rows: DataFrame) -> DataFrame:
+    """Links (u, v) between the keys of ``rows`` (fp, key) whose fingerprints differ by at most 4 bits, enough to connect all of them."""
+    marked = checkpoint(rows.select("fp", "key").distinct())
+    nodes = checkpoint(marked.groupBy("fp").agg(F.min("key").alias("rep")))
+    equal = marked.join(nodes.select(F.col("fp").alias("f"), "rep"), F.col("fp") == F.col("f")).select(F.col("key").alias("u"), F.col("rep").alias("v"))
+    return links(nodes).unionByName(equal).where("u <> v")
+
+
+def _sign(text: str | None) -> int:
+    return fingerprint(text, jaccard.WORDS)
+
+
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts that are 0.8 alike (Jaccard, sets of five-word shingles) are linked; of each component one row stays.
 
+    Fingerprints of five-word shingles and the anchors above give the first links, each checked exactly; near copies that
+    differ in more bits are found by the exact join of ``jaccard``, so none is lost.
     All texts without words are alike.  The row of least doc_id stays, one without doc_id only if none has one (ties go by a hash of the
     row, so reruns agree).  Rows are told apart by their texts: unlike texts under one doc_id, or under none, are unlike rows.
     """
     whole = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
-    rows = checkpoint(jaccard.keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("row"), "text"), "doc_id", "row"))
-    roots = jaccard.components(docs, rows)
+    rows = checkpoint(jaccard.keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("row"), "text"), "doc_id", "row", sign=_sign))
+    roots = jaccard.components(docs, rows, close_pairs(rows.where("n > 0")))
     named = rows.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "row", F.coalesce("root", "key").alias("root"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
     stays = checkpoint(best.select(F.col("least.row").alias("__stays")).distinct())

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from indexframe.llm import jaccard, simhash
@@ -89,3 +90,53 @@ def test_rows_without_or_of_one_doc_id(spark):
     docs = spark.createDataFrame(rows, DOCUMENTS)
     got = [tuple(r) for r in simhash.stage_simhash(spark, docs.repartition(3), "").collect()]
     assert sorted(got, key=str) == sorted((rows[i] for i in (0, 2, 3, 4, 5, 8)), key=str)
+
+
+def test_stage_takes_links_of_the_anchors(spark, texts, monkeypatch):
+    """The fingerprints' links come first; what they join isn't left to the exact join."""
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts.items()], DOCUMENTS)
+    made, links = [], simhash.links
+
+    def spied(nodes):
+        found = links(nodes)
+        made.append({(r.u, r.v) for r in found.collect()})
+        return found
+
+    monkeypatch.setattr(simhash, "links", spied)
+    first = []
+    components = jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda docs, rows, pairs: first.append({(r.u, r.v) for r in pairs.collect()}) or components(docs, rows, pairs))
+    got = {r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()}
+    assert got == {i for i, root in plain_roots(texts).items() if i == root}
+    assert len(made) == 1 and len(made[0]) > 20 and {p for p in made[0] if p[0] != p[1]} <= first[0]
+
+
+def one_group(sets):
+    """All sets as one group of a shingle, as it reaches the comparison: no two of them connected."""
+    keys = np.arange(len(sets), dtype=np.int64)
+    columns = [np.zeros_like(keys), keys, np.array([len(s) for s in sets], np.int32), np.zeros(len(keys), np.int32), keys]
+    arrays = [*(pa.array(c) for c in columns), pa.array([jaccard.sketch(s) for s in sets], pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, ["h", "key", "n", "at", "root", "sketch"])
+
+
+def near_sets(count, size, share):
+    rng = np.random.default_rng(5)
+    core = rng.integers(0, 1 << 63, round(size * share), np.uint64)
+    return [np.unique(np.concatenate((core, rng.integers(0, 1 << 63, size - len(core), np.uint64)))) for _ in range(count)]
+
+
+def test_group_of_unlike_copies_is_not_paired_out():
+    batch = one_group(near_sets(200, 300, 0.8))  # any two have a likeness of 2/3
+    assert sum(len(b) for b in jaccard._all_pairs(iter([batch]))) == 0  # of 19900 pairs
+    alike = one_group(near_sets(200, 300, 0.95))
+    assert sum(len(b) for b in jaccard._nearest(iter([alike]))) == 200
+
+
+def test_sketches_rule_out_no_alike_pair():
+    rng = np.random.default_rng(7)
+    for size in (5, 40, 400, 4000):
+        whole = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+        sets = [whole, *(np.delete(whole, rng.choice(size, k, replace=False)) for k in (1, size // 10, size // 8, size // 6))]
+        got = {(int(u), int(v)) for b in jaccard._all_pairs(iter([one_group(sets)])) for u, v in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), strict=True)}
+        want = {(i, j) for j in range(len(sets)) for i in range(j) if jaccard.alike(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+        assert want <= got
