@@ -18,21 +18,27 @@ def _hang_on_least(neighbours: DataFrame, keep: str) -> DataFrame:
     return neighbours.where(keep).join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, rows_a_task: int | None = None) -> DataFrame:
     """``links`` (u, v) long -> (node, root): every linked node but the roots with the least node that it reaches.
 
     Works in about log(longest path) rounds, each cut off by a checkpoint; links of one node may be
-    any share of all (joins on it are split, sums are combined before they move).
+    any share of all (joins on it are split, sums are combined before they move).  With ``rows_a_task`` small tables
+    are read by fewer tasks than they have partitions.
     """
+
+    def read(table: DataFrame, most: int) -> DataFrame:
+        return table if rows_a_task is None else table.coalesce(1 + most // rows_a_task)
+
     edges = checkpoint(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(edges)
+    edges = read(edges, before[0])
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = checkpoint(_hang_on_least(both, "v > u").distinct())
+        large = read(checkpoint(_hang_on_least(both, "v > u").distinct()), before[0])
         least = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
         moved = large.join(least, F.col("u") == F.col("c"))
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
-        edges = checkpoint(small.distinct())
+        edges = read(checkpoint(small.distinct()), 2 * before[0])
         now = _state(edges)
         if now == before:
             break

@@ -36,6 +36,8 @@ _CHUNK = 1 << 18
 _PAIRS, _SKETCH_BITS = 1 << 16, 1024
 #: Rounds of nearest nodes, each over another part of the groups.
 _ROUNDS = 2
+#: Rows of a link table that one task reads.
+_ROWS_A_TASK = 1 << 16
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -295,9 +297,9 @@ def components(docs: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
         return met.join(sketches, F.col("key") == F.col("k")).drop("k").repartition(width, "h").sortWithinPartitions("h", "root", "key")
 
     def more(roots: DataFrame, found: DataFrame) -> DataFrame:
-        return connected(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)) if found.head(1) else roots
+        return connected(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found), _ROWS_A_TASK) if found.head(1) else roots
 
-    roots = connected(_exact(least(first), sets))
+    roots = connected(_exact(least(first), sets), _ROWS_A_TASK)
     for i in range(_ROUNDS):
         part = shared.where(F.pmod("h", F.lit(_ROUNDS)) == i)
         near = grouped(part, roots).mapInArrow(_nearest, "u long, v long, apart int").groupBy("v").agg(F.min(F.struct("apart", "u")).alias("to"))  # one a row
