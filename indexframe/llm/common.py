@@ -76,6 +76,15 @@ def written_by_hash(df: DataFrame, name: str, key: str, buckets: int) -> DataFra
     return found
 
 
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def tidy(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """A function over Arrow batches that gives the memory it freed back to the system at its end.
 
@@ -87,11 +96,7 @@ def tidy(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
         try:
             yield from run(*args, **named)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            trim()
 
     return tidied
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import no_null_text, table, tidy
+from .common import no_null_text, table, tidy, trim
 from .wordhash import SPACE, Prefix, bounds, mix, slices
 
 BITS = 18
@@ -243,6 +243,7 @@ def keep_if(docs: DataFrame, model_score, wanted) -> DataFrame:
             for lo in range(0, batch.num_rows, 1000):
                 some = batch.slice(lo, 1000)
                 yield some.filter(pa.array([bool(wanted(score(t.as_py()))) for t in some.column(at)], pa.bool_()))
+                trim()
 
     return docs.mapInArrow(run, docs.schema)
 

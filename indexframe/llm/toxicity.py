@@ -13,7 +13,7 @@ without itself) makes scores of them.  The nearest neighbours are the evidence.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tidy
+from .common import table, tidy, trim
 from .quality import keep_if, labelled_sample, logistic, remainder
 from .wordhash import Prefix, bounds, mix, slices
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
 _HEADS = (4, 5)
+#: Postings that are worked on at once, but for those of one term.
+_SPAN = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -106,6 +108,15 @@ class Vocabulary:
         return at, w / np.linalg.norm(w) if len(at) else w
 
 
+def _spans(first: np.ndarray) -> Iterator[tuple[int, int, slice]]:
+    """Runs of terms lo to hi and their postings, so many at a time that what is worked out of them stays small."""
+    lo, n = 0, len(first) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + _SPAN, "right")) - 1)
+        yield lo, hi, slice(int(first[lo]), int(first[hi]))
+        lo = hi
+
+
 class BlockMaxIndex:
     """Postings of example vectors by term and block, with the largest weight of each.
 
@@ -129,23 +140,25 @@ class BlockMaxIndex:
         return made
 
     def _tables(self, doc: np.ndarray, weight: np.ndarray, first: np.ndarray) -> None:
-        self.doc, self.weight, self.first = doc.astype(np.int32), weight, first
+        self.doc, self.weight, self.first = doc.astype(np.uint16 if max(self.n, self.block) < 1 << 16 else np.int32, copy=False), weight, first
         self.blocks = max(1, -(-self.n // self.block))
         df = np.diff(first)
         # Most terms stand in one example; the others have rows in the tables.
         self.row = np.where(df > 1, np.cumsum(df > 1) - 1, -1).astype(np.int32)
         rows = int((df > 1).sum())
         self.most = np.zeros((rows, self.blocks))
-        self.start = np.empty((rows, self.blocks + 1), np.int32)  # a term's postings of block b are start[b] to start[b + 1]
+        self.start = np.zeros((rows, self.blocks + 1), np.int32)  # a term's postings of block b are start[b] to start[b + 1]
         self.start[:, 0] = first[:-1][df > 1]
-        row, own = np.repeat(self.row, df), self.doc // self.block
-        for b in range(self.blocks):
-            here = np.flatnonzero((own == b) & (row >= 0))
-            r, w = row[here], weight[here]
-            self.start[:, b + 1] = self.start[:, b] + np.bincount(r, minlength=rows)
-            at = np.flatnonzero(np.diff(r, prepend=-1))
-            if len(at):
-                self.most[r[at], b] = np.maximum.reduceat(w, at)
+        for lo, hi, here in _spans(first):
+            row, own = np.repeat(self.row[lo:hi], df[lo:hi]), self.doc[here] // self.block
+            for b in range(self.blocks):
+                at = np.flatnonzero((own == b) & (row >= 0))
+                r, w = row[at], weight[here][at]
+                new = np.flatnonzero(np.diff(r, prepend=-1))
+                if len(new):
+                    self.start[r[new], b + 1] = np.diff(new, append=len(r))
+                    self.most[r[new], b] = np.maximum.reduceat(w, new)
+        np.cumsum(self.start, axis=1, out=self.start)
 
     def _add(self, score: np.ndarray, blocks: np.ndarray, start: np.ndarray, w: np.ndarray, lone: tuple[np.ndarray, ...]) -> None:
         """Adds the cosines of all examples of some blocks: of terms with tables first, then of lone postings."""
@@ -216,19 +229,24 @@ class Model:
         doc = np.repeat(np.arange(len(examples), dtype=np.int32), [len(x[2]) for x in examples])[order]
         self.counts = small(np.concatenate([x[3] for x in examples] or [np.empty(0, np.int64)]))[order]
         del term, order
-        weigh = lambda at, n: (1 + np.log(n)) * vocabulary.idf[at]
+        weigh = lambda at, n: (1 + np.log(n, dtype=np.float64)) * vocabulary.idf[at]
         self.norms = np.array([np.linalg.norm(weigh(x[2], x[3])) if len(x[2]) else 1.0 for x in examples])
         self._open(doc)
+        del doc
+        trim()
         votes = [self.vote(*self.index.search(x[2], weigh(x[2], x[3]) / self.norms[i], self.k, but=i)) for i, x in enumerate(examples)]
         self.slope, self.offset = logistic(np.array(votes), np.where(y == 1, 1, -1)) if len(y) else (1.0, 0.0)
         if self.slope < 0:  # so few examples that likeness tells nothing
             self.slope, self.offset = 0.0, float(np.log(self.base / (1 - self.base)))
 
     def _open(self, doc: np.ndarray) -> None:
-        weight = np.log(self.counts.astype(np.float64))
-        weight += 1
-        weight *= np.repeat(self.vocabulary.idf, np.diff(self.first)[: len(self.vocabulary.idf)])
-        weight /= self.norms[doc]
+        weight = np.empty(len(doc))
+        for lo, hi, here in _spans(self.first[: len(self.vocabulary.idf) + 1]):
+            w = weight[here]
+            np.log(self.counts[here], out=w, dtype=np.float64)
+            w += 1
+            w *= np.repeat(self.vocabulary.idf[lo:hi], np.diff(self.first[lo : hi + 1]))
+            w /= self.norms[doc[here]]
         self.index = BlockMaxIndex.of_postings(len(self.ids), self.p.block, doc, weight, self.first)
 
     def __getstate__(self) -> dict:
@@ -264,7 +282,11 @@ class Model:
 def learn(examples: list[tuple[int, int, np.ndarray, np.ndarray]], p: Params = Params()) -> Model:
     """A model of examples: doc_id, label, distinct terms and their counts.  Uses the list up, to hold less memory."""
     n = len(examples)
-    hashes, df = np.unique(np.concatenate([x[2] for x in examples] or [np.empty(0, np.uint64)]), return_counts=True)
+    held = np.concatenate([x[2] for x in examples] or [np.empty(0, np.uint64)])
+    held.sort()
+    last = np.flatnonzero(np.append(held[1:] != held[:-1], True)[: len(held)])
+    hashes, df = held[last], np.diff(last, prepend=-1)
+    del held, last
     stop = df > max(p.stop * n, p.stop_least)
     vocabulary, stops = Vocabulary(hashes[~stop], np.log(1 + n / df[~stop])), hashes[stop]
     del hashes, df, stop
@@ -274,26 +296,52 @@ def learn(examples: list[tuple[int, int, np.ndarray, np.ndarray]], p: Params = P
         own = np.flatnonzero(np.isin(h, stops, assume_unique=True))
         common = int(h[own[np.argmax(count[own])]]) if len(own) else -1
         at, count = vocabulary.known(h, count)
-        w = (1 + np.log(count)) * vocabulary.idf[at]
+        w = (1 + np.log(count, dtype=np.float64)) * vocabulary.idf[at]
         keys.append((common, y, int(at[np.argmax(w)]) if len(at) else -1, doc_id))
         examples[i] = (doc_id, y, at, count)
+    trim()
     return Model(vocabulary, [examples[i] for i in sorted(range(n), key=keys.__getitem__)], p)
 
 
 class Packed:
-    """A model as bytes, which a process opens when it first needs it; all that the driver holds of it."""
+    """A model as bytes, all that the driver and idle workers hold of it.
+
+    ``parts`` are the arrays' own bytes, which an opened model reads where they are.  Each reading of ``model`` opens it anew,
+    so it goes with the task that opened it; Python workers of an executor are more than its tasks at a time.
+    """
 
-    def __init__(self, data: bytes) -> None:
-        self.data, self._model = data, None
+    def __init__(self, data: bytes, parts: Iterable[bytes] = ()) -> None:
+        self.data, self.parts = data, tuple(parts)
+
+    @classmethod
+    def of(cls, model: Model) -> Packed:
+        arrays: list[pickle.PickleBuffer] = []
+        data = pickle.dumps(model, protocol=5, buffer_callback=arrays.append)
+        return cls(data, [bytes(a.raw()) for a in arrays])
 
     @property
     def model(self) -> Model:
-        if self._model is None:
-            self._model, self.data = pickle.loads(self.data), b""
-        return self._model
+        model = pickle.loads(self.data, buffers=self.parts)
+        trim()
+        return model
 
     def __reduce__(self) -> tuple:
-        return Packed, (self.data or pickle.dumps(self._model),)
+        return Packed, (self.data, self.parts)
+
+
+def narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes each as the largest needs."""
+    return n.astype(np.min_scalar_type(n.max()).newbyteorder("<") if len(n) else np.uint8)
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Examples of batches of doc_id, label, hashes and narrow counts as bytes, copied out of them."""
+    examples = []
+    for batch in batches:
+        for i, y, h, n in zip(*batch.columns, strict=True):
+            h, n = np.frombuffer(h.as_buffer(), "<u8").copy(), n.as_py()
+            examples.append((i.as_py(), y.as_py(), h, np.frombuffer(n, f"<u{len(n) // max(1, len(h))}") if len(h) else np.empty(0, np.uint8)))
+    return examples
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, p: Params = Params(), label: str = "toxic") -> Packed:
@@ -304,19 +352,19 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, p: Params = Params(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [counted(t.as_py()) for t in batch.column(2)]
-            arrays = [pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary())]
+            arrays = [pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([narrow(n).tobytes() for _, n in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "y", "h", "n"])
 
     @tidy
     def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = []
-        for b in batches:
-            for i, y, h, n in zip(*b.columns, strict=True):
-                examples.append((i.as_py(), y.as_py(), np.frombuffer(h.as_buffer(), "<u8").copy(), np.frombuffer(n.as_buffer(), "<i4").copy()))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(examples, p))], pa.binary())], ["model"])
+        examples = gathered(batches)  # by now the batches are gone
+        trim()
+        model = Packed.of(learn(examples, p))
+        yield pa.RecordBatch.from_arrays([pa.array([model.data], pa.binary()), pa.array([model.parts], pa.list_(pa.binary()))], ["data", "parts"])
 
     counts = sample.select("doc_id", "y", "text").mapInArrow(count, "doc_id long, y int, h binary, n binary")
-    return Packed(bytes(counts.repartition(1).mapInArrow(teach, "model binary").head()[0]))
+    row = counts.repartition(1).mapInArrow(teach, "data binary, parts array<binary>").head()
+    return Packed(bytes(row["data"]), map(bytes, row["parts"]))
 
 
 def scored(docs: DataFrame, model: Packed) -> DataFrame:
@@ -363,4 +411,9 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     model = fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
     shared = spark.sparkContext.broadcast(model)
-    return keep_if(docs, lambda: shared.value.model.score, lambda s: s < CUT or not len(shared.value.model.labels))
+
+    def scorer() -> Callable[[str | None], float]:
+        m = shared.value.model
+        return m.score if len(m.labels) else lambda text: 0.0
+
+    return keep_if(docs, scorer, lambda s: s < CUT)

@@ -3,10 +3,13 @@
 import math
 import pickle
 import re
+import tracemalloc
+import weakref
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from indexframe.llm import queries, toxicity
@@ -115,3 +118,39 @@ def test_a_model_comes_through_bytes_as_it_was():
     again = toxicity.Packed(pickle.dumps(m)).model
     for text in ("word1 vile", "calm2 more3", "", "word6 " * 70_000):
         assert again.explain(text) == m.explain(text)
+
+
+def test_an_opened_model_goes_with_its_task_and_reads_the_bytes_in_place():
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    m = toxicity.learn(examples([(i % 2, f"{word(i % 37)} x{word(i % 29)} " * (1 + i % 300)) for i in range(400)]))
+    packed = pickle.loads(pickle.dumps(toxicity.Packed.of(m)))
+    opened = packed.model
+    assert all(opened.explain(t) == m.explain(t) for t in ("b xc", "bd " * 400, "", None)) and opened.explain("b")[1]
+    parts = [np.frombuffer(x, np.uint8) for x in packed.parts]
+    assert all(any(np.shares_memory(a, x) for x in parts) for a in (opened.counts, opened.first, opened.vocabulary.hashes, opened.index.doc))
+    gone = weakref.ref(opened)
+    del opened
+    assert gone() is None
+    empty = toxicity.Packed.of(toxicity.learn([])).model
+    assert not len(empty.labels) and empty.score("anything") == 0.5
+
+
+def test_opening_a_model_takes_little_more_than_the_model():
+    rng = np.random.default_rng(5)
+    draw = lambda: np.unique(rng.integers(0, 1 << 40, 600) % 60_000).astype(np.uint64) * np.uint64(1 << 40)
+    packed = toxicity.Packed(pickle.dumps(toxicity.learn([(i, i % 2, h, np.ones(len(h), np.int64)) for i, h in ((i, draw()) for i in range(2000))])))
+    tracemalloc.start()
+    opened = packed.model
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(opened.counts) > 1_100_000 and peak - kept < 12e6
+
+
+def test_counts_of_any_size_reach_the_learner():
+    counts = [[1, 2], [1, 300], [70_000], [], [1, 1 << 33]]
+    hashes = [np.arange(len(n), dtype=np.uint64) for n in counts]
+    columns = [range(5), [0, 1, 0, 1, 0], [h.tobytes() for h in hashes], [toxicity.narrow(np.array(n, np.int64)).tobytes() for n in counts]]
+    got = toxicity.gathered(iter([pa.RecordBatch.from_pydict(dict(zip("iyhn", columns, strict=True)))]))
+    assert [x[:2] for x in got] == list(zip(*columns[:2], strict=True))
+    assert [x[3].tolist() for x in got] == counts and [x[2].tolist() for x in got] == [h.tolist() for h in hashes]
+    assert [len(n) for n in columns[3]] == [2, 4, 4, 0, 16]
