@@ -244,6 +244,21 @@ def test_recall_of_blocks_of_production_density(spark, kind):
     assert recall_of(spark, rows, ann.Params(block=2000)) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["uneven dimensions", "uneven lengths", "tight clusters"])
+def test_no_neighbour_is_missed(spark, kind):
+    """Vectors whose codes of one level tell few of them apart: all of the nearest are found."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    if kind == "uneven dimensions":
+        x *= np.exp(2 * rng.normal(size=64))
+    elif kind == "uneven lengths":
+        x *= np.exp(2 * rng.normal(size=(6000, 1)))
+    else:
+        x = rng.normal(size=(5, 64))[rng.integers(0, 5, 6000)] + 1e-6 * x
+    rows = [(i, [float(t) for t in v]) for i, v in enumerate(x)]
+    assert recall_of(spark, rows, ann.Params(block=2000)) == 1.0
+
+
 def test_vectors_of_several_lengths_meet_their_own(spark, tmp_path):
     vectors = [(i, [1.0 + i, 2.0], 0) for i in range(60)] + [(i, [float(i % 7), 1.0, float(i % 5)], 0) for i in range(60, 100)]
     path = write_tables(spark, tmp_path, [], embeddings=vectors)
