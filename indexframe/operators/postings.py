@@ -1,15 +1,20 @@
 """A stored full-text index: postings with positions, written once and read by term.
 
-``postings`` has a row a term and document of each text or exact field, in the order of field and term, so that a query reads the
-row groups of its terms only; ``numbers`` has the values of number fields in their order; ``lengths`` the tokens of each
+``postings`` has the documents of each term of each text or exact field, how often each has it and where.  Rows are packed where they are
+read, some million tokens at a time, and no row is moved: a file is a run of such parts, each in the order of field and term, so that a query
+reads the pages of its terms only; ``numbers`` has the values of number fields in their order; ``lengths`` the tokens of each
 document and field.  Clauses and query strings are those of ``fulltext``.  New documents are added as a further segment, removed
 ones are noted and left out; ``write`` again makes one segment of all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +22,64 @@ from . import fulltext as ft
 
 _REMOVED = "removed"
 
+#: Tokens that are packed at once, about: they bound a task's memory.
+TOKENS = 1 << 20
+_PACKED = "field string, term string, ids array<long>, tf array<int>, at array<array<int>>"
+
+
+def _packer(tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of field, id, words -> rows as ``_PACKED`` of so many tokens at a time.  Workers needn't import this package."""
+
+    def packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.sort_by([("field", "ascending"), ("id", "ascending")]).combine_chunks()
+        field, id_, words = (c.chunk(0) for c in rows.columns)
+        sizes = words.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        terms = words.flatten().dictionary_encode()
+        if len(terms.dictionary) == 0:
+            return
+        place = np.empty(len(terms.dictionary), np.int64)
+        place[pc.sort_indices(terms.dictionary).to_numpy()] = np.arange(len(place))
+        code = terms.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        own = field.dictionary_encode().indices.to_numpy()  # rises, as rows are in its order
+        key = own[row] * len(place) + place[code]
+        order = np.argsort(np.where(code < 0, np.iinfo(np.int64).max, key), kind="stable")[: np.count_nonzero(code >= 0)]
+        key, row, at, code = key[order], row[order], at[order], code[order]
+        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]))))  # of a term and document
+        lead = np.flatnonzero(np.concatenate(([True], key[first[1:]] != key[first[:-1]])))  # of a term
+        ends = pa.array(np.append(lead, len(first)), pa.int32())
+        wheres = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(at, pa.int32()))
+        columns = [
+            field.take(pa.array(row[first[lead]])),
+            terms.dictionary.take(pa.array(code[first[lead]])),
+            pa.ListArray.from_arrays(ends, id_.take(pa.array(row[first]))),
+            pa.ListArray.from_arrays(ends, pa.array(np.diff(np.append(first, len(at))), pa.int32())),
+            pa.ListArray.from_arrays(ends, wheres),
+        ]
+        made = pa.RecordBatch.from_arrays(columns, ["field", "term", "ids", "tf", "at"])
+        for lo in range(0, made.num_rows, 4096):
+            yield made.slice(lo, 4096)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = np.cumsum(batch.column(2).value_lengths().to_numpy()) // tokens
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                piece = batch.slice(lo, hi - lo)
+                held.append(piece)
+                n += pc.sum(piece.column(2).value_lengths()).as_py()
+                if n >= tokens:
+                    yield from packed(pa.Table.from_batches(held))
+                    held, n = [], 0
+        if n:
+            yield from packed(pa.Table.from_batches(held))
+
+    return run
+
 
 @dataclass(frozen=True)
 class StoredText:
@@ -55,10 +118,10 @@ class StoredText:
         spark = rows.sparkSession
         texts = spark.createDataFrame([], "field string, id long, words array<string>") if texts is None else texts
         numbers = spark.createDataFrame([], "field string, id long, value double") if numbers is None else numbers
-        spread = texts.select("field", "id", F.posexplode("words").alias("at", "term")).where("term is not null")
-        postings = spread.groupBy("field", "term", "id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("at")).alias("at"))
         width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        postings.repartitionByRange(width, "field", "term", "id").sortWithinPartitions("field", "term", "id").write.mode(mode).parquet(f"{self.path}/postings")
+        # Short pages, so that of a term little else is read.
+        postings = texts.mapInArrow(_packer(TOKENS), _PACKED)
+        postings.write.mode(mode).option("parquet.page.row.count.limit", 1000).parquet(f"{self.path}/postings")
         numbers.repartitionByRange(width, "field", "value", "id").sortWithinPartitions("field", "value").write.mode(mode).parquet(f"{self.path}/numbers")
         texts.select("field", "id", F.size("words").alias("length")).write.mode(mode).parquet(f"{self.path}/lengths")
 
@@ -69,6 +132,11 @@ class StoredText:
     def _table(self, name: str) -> DataFrame:
         return self._spark.read.parquet(f"{self.path}/{name}")
 
+    def _postings(self, name: str, on_term: Column, more: str) -> DataFrame:
+        """field, term, id and ``more`` (tf or at) of the terms of a field that pass a test, a row a document."""
+        rows = self._table("postings").where(F.col("field") == name).where(on_term)
+        return rows.select("field", "term", F.inline(F.arrays_zip("ids", more))).toDF("field", "term", "id", more)
+
     def documents(self) -> DataFrame:
         """id of all documents that are there."""
         known = self._table("lengths").select("id").unionByName(self._table("numbers").select("id")).distinct()
@@ -82,18 +150,17 @@ class StoredText:
         if f.number:
             rows = self._table("numbers").where(F.col("field") == f.name).where(clause.on_tokens(F.array("value")))
             return rows.select("id", F.lit(1).cast("long").alias("tf")).distinct()
-        rows = self._table("postings").where(F.col("field") == f.name)
         if clause.on_term is not None:
-            return rows.where(clause.on_term(F.col("term"))).groupBy("id").agg(F.sum("tf").alias("tf"))
+            return self._postings(f.name, clause.on_term(F.col("term")), "tf").groupBy("id").agg(F.sum("tf").alias("tf"))
         if not clause.words:
-            return rows.where(F.lit(False)).select("id", F.col("tf"))
-        rows = rows.where(F.col("term").isin(*set(clause.words)))
+            return self._postings(f.name, F.lit(False), "tf").select("id", F.col("tf").cast("long"))
+        rows = self._postings(f.name, F.col("term").isin(*set(clause.words)), "at")
 
         def begin(k: int) -> Column:
             return F.transform("at", lambda x: x - k)
 
         # Where the phrase would begin, by each of its words.
-        begins = [F.max(F.when(F.col("term") == w, begin(k))).alias(f"b{k}") for k, w in enumerate(clause.words)]
+        begins = [F.flatten(F.collect_list(F.when(F.col("term") == w, begin(k)))).alias(f"b{k}") for k, w in enumerate(clause.words)]
         common = F.col("b0")
         for k in range(1, len(clause.words)):
             common = F.array_intersect(common, F.col(f"b{k}"))

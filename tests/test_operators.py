@@ -290,3 +290,23 @@ def test_stored_text_answers_as_the_scan_does(spark, tmp_path):
     assert "EqualTo(field,body)" in plan and "EqualTo(term,fox)" in plan
     stored.remove(spark.createDataFrame([(1,)], "id long")).add(spark.createDataFrame([(9, "a new fox", "en", 1)], df.schema))
     assert {r.id for r in stored.matches("fox").collect()} == {2, 9}
+
+
+@pytest.mark.parametrize("tokens", [5, 1 << 20])
+def test_stored_text_is_packed_where_it_is_read(spark, tmp_path, monkeypatch, tokens):
+    """A term has a row for each part of the rows that are packed at once, not one a document, and no row is moved."""
+    from indexframe.operators import fulltext as ft
+    from indexframe.operators import postings
+
+    monkeypatch.setattr(postings, "TOKENS", tokens)
+    rows = [(i, " ".join(["the", "fox", f"w{i}", "fox"] if i % 2 else ["no", f"w{i % 7}"]) if i % 5 else None, None if i % 3 else "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, body string, lang string").coalesce(1)
+    index = ft.TextIndex.of(df, "id", ft.Field("body", F.col("body")), ft.Field("lang", F.col("lang"), analyzed=False), default="body")
+    stored = postings.StoredText.write(index, str(tmp_path / "text"))
+    for text in ("fox", '"the fox w3 fox"', '"fox w3"', "lang:en", "w* -the", "w3 OR no"):
+        assert sorted(r.id for r in stored.matches(text).collect()) == sorted(r.id for r in index.query(text).collect()), text
+    scan = [(r.id, round(r.score, 9)) for r in index.search("fox OR w3^2").collect()]
+    assert [(r.id, round(r.score, 9)) for r in stored.search("fox OR w3^2").collect()] == scan
+    fox = spark.read.parquet(str(tmp_path / "text" / "postings")).where("term = 'fox'").collect()
+    assert sum(len(r.ids) for r in fox) == 24 and all(r.tf == [2] * len(r.ids) for r in fox)
+    assert len(fox) == 1 if tokens > 5 else 1 < len(fox)
