@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import COSINE, DOT_PRODUCT, EUCLIDEAN, dot, similarity, unit
+from ..sources.shared import checkpoint
 
 #: Parameters of graph indices; taken and without effect, as search here is exact.
 PRESETS = {"small": (8, 50), "medium": (16, 100), "large": (32, 200), "high_precision": (64, 400)}
@@ -21,10 +22,6 @@ PRESETS = {"small": (8, 50), "medium": (16, 100), "large": (32, 200), "high_prec
 BLOCK = 4096
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
 def _scores(q: np.ndarray, x: np.ndarray, kind: str) -> np.ndarray:
     """All scores of the rows of ``q`` with those of ``x``, in double precision."""
     if kind == DOT_PRODUCT:
@@ -35,45 +32,101 @@ def _scores(q: np.ndarray, x: np.ndarray, kind: str) -> np.ndarray:
     return (q / np.where(lengths[0] > 0, lengths[0], 1)[:, None]) @ (x / np.where(lengths[1] > 0, lengths[1], 1)[:, None]).T
 
 
-def _blocks_of(rows: DataFrame, size: int) -> int:
-    """Blocks for about so many rows each, from a count."""
-    return max(1, -(-rows.count() // size))
+def _number(rows: DataFrame) -> type:
+    """What the numbers of v are stored as."""
+    return np.float32 if rows.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
 
 
-def _meeting(left: DataFrame, right: DataFrame, n: int, m: int, upper: bool = False) -> DataFrame:
-    """Rows (side, i, v) of both sides dealt into blocks, every pair (x, y) of blocks once; ``upper``: pairs with x <= y."""
-    block = lambda k: F.pmod(F.xxhash64("i"), F.lit(k)).cast("int")
-    others = lambda k: F.sequence(F.lit(0), F.lit(k - 1))
-    a = left.withColumn("x", block(n)).withColumn("y", F.explode(F.sequence("x", F.lit(m - 1)) if upper else others(m)))
-    b = right.withColumn("y", block(m)).withColumn("x", F.explode(F.sequence(F.lit(0), "y") if upper else others(n)))
-    both = a.select("x", "y", F.lit(0).alias("side"), "i", "v").unionByName(b.select("x", "y", F.lit(1).alias("side"), "i", "v"))
-    pairs = n * (n + 1) // 2 if upper else n * m
-    return both.repartition(min(pairs, 8192), "x", "y").sortWithinPartitions("x", "y", "side", "i")
+def _packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Rows (i, v) as blocks of about ``size`` rows, a row each (x, ids and v as bytes, ids ascending), and how many blocks there may be."""
+    n = max(1, -(-rows.count() // size))
+    number = _number(rows)
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """ids and vectors of both sides of each pair of blocks."""
-    held: list[pa.RecordBatch] = []
-
-    def made():
-        t = pa.Table.from_batches(held).combine_chunks()
-        cut = int(np.searchsorted(t.column(2).to_numpy(), 1))
-        ids, v = t.column(3).to_numpy(), t.column(4).combine_chunks()
-        if 0 < cut < len(ids):
-            yield ids[:cut], _matrix(v[:cut]), ids[cut:], _matrix(v[cut:])
+        def made():
+            t = pa.Table.from_batches(held).combine_chunks()
+            v = t.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(number)
+            raw = (t.column(1).to_numpy().tobytes(), v.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([held[0].column(0)[0].as_py()], pa.int32()), *(pa.array([r], pa.binary()) for r in raw)], ["x", "ids", "v"])
 
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if held and held[0].column(0)[0].as_py() != key[lo]:
+                    yield made()
+                    held.clear()
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield made()
+
+    dealt = rows.select(F.pmod(F.xxhash64("i"), F.lit(n)).cast("int").alias("x"), "i", "v")
+    dealt = dealt.repartitionById(min(n, 1024), F.col("x")).sortWithinPartitions("x", "i")
+    return checkpoint(dealt.mapInArrow(pack, "x int, ids binary, v binary")), n
+
+
+def _meeting(left: tuple[DataFrame, int], right: tuple[DataFrame, int], upper: bool = False) -> DataFrame:
+    """Every pair of packed blocks, (x, ids, v) with (y, others, w); ``upper``: those with x <= y.
+
+    Blocks are read from where they were packed for each pair, so nothing is moved or written a second time.  Pairs of one left block
+    come one after another in a task, as far as there are enough left blocks to keep all cores busy.
+    """
+    (a, n), (b, m) = left, right
+    b = b.toDF("y", "others", "w").hint("shuffle_replicate_nl")
+    met = a.join(b, F.col("x") <= F.col("y")) if upper else a.crossJoin(b)
+    width = max(2, int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return met.coalesce(min(n, 1024) * min(m, -(-width // n)))
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch], number: type) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
+    """Number, ids and vectors of both sides of each pair of blocks."""
+    ids_of = lambda r: np.frombuffer(r.as_buffer(), np.int64)
+    vectors_of = lambda r, n: np.frombuffer(r.as_buffer(), number).astype(np.float64).reshape(n, -1)
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
-        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != tuple(key[lo].tolist()):
-                yield from made()
-                held = []
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield from made()
+        for i in range(batch.num_rows):
+            x, ids, v, y, others, w = (c[i] for c in batch.columns)
+            ids, others = ids_of(ids), ids_of(others)
+            yield x.as_py(), ids, vectors_of(v, len(ids)), y.as_py(), others, vectors_of(w, len(others))
+
+
+def _nearest(pairs: Iterator[tuple], k: int, kind: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """query ids, ids and scores of the k best of each query among the blocks that its block meets one after another; ties by id."""
+    now, qids, held = None, None, None
+
+    def found():
+        return qids[held[0]], held[1], held[2]
+
+    for x, asking, q, _, ids, v in pairs:
+        if x != now:
+            if held is not None:
+                yield found()
+            now, qids = x, asking
+            held = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            least = np.full(len(qids), -np.inf)  # the k-th best score so far
+        new = [held]
+        for at in range(0, len(q), 256):
+            score = _scores(q[at : at + 256], v, kind)
+            key = score if np.isfinite(score.sum()) else np.where(np.isnan(score), np.inf, score)
+            edge = least[at : at + 256]
+            if len(ids) > k and np.isneginf(edge).any():
+                edge = np.maximum(edge, np.partition(key, len(ids) - k, axis=1)[:, len(ids) - k])
+            row, near = np.nonzero(key >= edge[:, None] - 1e-9)  # ties are cut below, where the order is known
+            new.append((row + at, ids[near], score[row, near]))
+        row, id_, score = (np.concatenate(c) for c in zip(*new, strict=True))
+        key = np.where(np.isnan(score), np.inf, score)
+        order = np.lexsort((id_, -key, row))
+        row, id_, score, key = row[order], id_[order], score[order], key[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == k - 1
+        least[row[last]] = key[last]
+        keep = place < k
+        held = row[keep], id_[keep], score[keep]
+    if held is not None:
+        yield found()
 
 
 @dataclass(frozen=True)
@@ -118,11 +171,15 @@ class VectorIndex:
         """Search with a row's own vector; the row itself is among the results."""
         return self.search(self.vector_of(entity_id), k)
 
+    def _rows_of(self, block: int) -> int:
+        """Rows of a block: so many, or what 16 MB hold."""
+        return max(64, min(block, (16 << 20) // (8 * max(1, self.dimension))))
+
     def search_batch(self, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
         """k rows a query (query_id long, query_vector): query_id, rank, id, score.  Ids are whole numbers and unique.
 
-        Index and queries are dealt into blocks of at most about ``block`` rows; every pair of blocks is one matrix product, of
-        which each query's k best are kept, so the merge gets k rows a query and block.
+        Index and queries are packed into blocks of at most about ``block`` rows, once; every pair of blocks is one matrix product. The
+        blocks that a query's block meets in a task are merged there, so what is moved grows with the rows and not with the pairs.
         """
         if k <= 0:
             raise ValueError("k must be positive")
@@ -130,21 +187,13 @@ class VectorIndex:
         rows = self.df.where(F.col(self.vector).isNotNull()).select(F.col(self.id).cast("long").alias("i"), F.col(self.vector).alias("v"))
         asks = queries.where(F.col("query_vector").isNotNull()).select(F.col("query_id").cast("long").alias("i"), F.col("query_vector").cast(rows.schema["v"].dataType).alias("v"))
 
+        number = _number(rows)
+
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for qids, q, ids, x in _block_pairs(batches):
-                for at in range(0, len(qids), 256):
-                    score = _scores(q[at : at + 256], x, kind)
-                    out = []
-                    for qid, s in zip(qids[at : at + 256], score, strict=True):
-                        near = np.arange(len(s))
-                        if len(s) > k:
-                            edge = np.partition(s, len(s) - k)[len(s) - k]
-                            near = np.flatnonzero(s >= edge - 1e-9)  # ids ascend, so ties are cut where the order is known
-                            near = near[np.lexsort((ids[near], -s[near]))[:k]]
-                        out.append((np.full(len(near), qid), ids[near], s[near]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "i", "score"])
-
-        found = _meeting(asks, rows, _blocks_of(asks, block), _blocks_of(rows, block)).mapInArrow(best, "query_id long, i long, score double")
+            for columns in _nearest(_block_pairs(batches, number), k, kind):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "i", "score"])
+
+        found = _meeting(_packed(asks, self._rows_of(block)), _packed(rows, self._rows_of(block))).mapInArrow(best, "query_id long, i long, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "i")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("i").alias(self.id), "score")
 
@@ -169,20 +218,20 @@ class VectorIndex:
         """
         if not tables:
             plain = self.df.where(F.col(self.vector).isNotNull()).select(F.col(self.id).cast("long").alias("i"), F.col(self.vector).alias("v"))
-            n = _blocks_of(plain, BLOCK)
+            blocks, number = _packed(plain, self._rows_of(BLOCK)), _number(plain)
 
             def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for ids, x, others, y in _block_pairs(batches):
+                for m, ids, x, n, others, y in _block_pairs(batches, number):
                     for at in range(0, len(ids), 512):
                         score = _scores(x[at : at + 512], y, COSINE)
                         a, b = np.nonzero(score >= least)
                         u, v, s = ids[at : at + 512][a], others[b], score[a, b]
                         # A block with itself sees a pair twice, two blocks once; either way the smaller id comes first.
                         low, high = np.minimum(u, v), np.maximum(u, v)
-                        keep = (u < v) if np.array_equal(ids, others) else u != v
+                        keep = (u < v) if m == n else u != v
                         yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (low, high, s)], ["a", "b", "score"])
 
-            return _meeting(plain, plain, n, n, upper=True).mapInArrow(near, "a long, b long, score double")
+            return _meeting(blocks, blocks, upper=True).mapInArrow(near, "a long, b long, score double")
         rows = self.df.where(F.col(self.vector).isNotNull()).select(F.col(self.id).alias("i"), unit(F.col(self.vector)).alias("v"))
         plane = lambda t, b: F.transform(F.sequence(F.lit(1), F.lit(self.dimension)), lambda d: F.when(F.xxhash64(F.lit(seed), F.lit(t), F.lit(b), d) % 2 == 0, 1.0).otherwise(-1.0))
         side = lambda t, b: F.when(F.aggregate(F.zip_with("v", plane(t, b), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x) >= 0, F.lit(1 << b)).otherwise(F.lit(0))

@@ -310,3 +310,40 @@ def test_stored_text_is_packed_where_it_is_read(spark, tmp_path, monkeypatch, to
     fox = spark.read.parquet(str(tmp_path / "text" / "postings")).where("term = 'fox'").collect()
     assert sum(len(r.ids) for r in fox) == 24 and all(r.tf == [2] * len(r.ids) for r in fox)
     assert len(fox) == 1 if tokens > 5 else 1 < len(fox)
+
+
+@pytest.mark.parametrize("kind", ["DOT_PRODUCT", "EUCLIDEAN", "COSINE"])
+def test_batches_over_many_blocks_copy_no_rows(spark, kind):
+    """Blocks meet where they were packed: no row is multiplied by the blocks it meets; ties go to the smaller id, over all blocks."""
+    import numpy as np
+
+    from indexframe.operators import vector
+
+    x = np.random.default_rng(5).integers(-3, 4, (300, 4)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "id long, v array<float>")
+    index = vector.VectorIndex(rows, "id", "v", 4, kind)
+    found = index.search_batch(rows.where("id % 3 = 0").selectExpr("id query_id", "v query_vector"), 7, block=70)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.score))
+    assert set(got) == set(range(0, 300, 3))
+    for q, near in got.items():
+        score = vector._scores(x[[q]], x, kind)[0]
+        want = np.lexsort((np.arange(300), -np.round(score, 9)))[:7]
+        assert [s for _, s in near] == pytest.approx(score[want].tolist())
+        if kind != "COSINE":  # whole numbers, so equal scores are equal to the last bit
+            assert [i for i, _ in near] == want.tolist()
+
+
+def test_near_duplicates_over_many_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from indexframe.operators import vector
+
+    monkeypatch.setattr(vector, "BLOCK", 70)
+    x = np.random.default_rng(6).normal(size=(300, 3))
+    pairs = vector.VectorIndex(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "id", "v", 3).near_duplicates(0.95)
+    assert "Generate" not in pairs._jdf.queryExecution().executedPlan().toString()
+    score = vector._scores(x, x, "COSINE")
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [(a, b) for a in range(300) for b in range(a + 1, 300) if score[a, b] >= 0.95]
